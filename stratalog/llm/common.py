@@ -234,3 +234,17 @@ def per_row(mask: np.ndarray, of: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(mask) + 1, dtype=np.int64)
     np.cumsum(mask, out=sums[1:])
     return sums[of[1:]] - sums[of[:-1]]
+
+
+# -- bounded training samples -----------------------------------------------------------------
+
+
+def hash_rank(*columns: str) -> Column:
+    """A number in [0, 1) that the values of the columns decide."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / float(1 << 53)
+
+
+def sampled(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most limit rows, chosen by the hash of a key, alike on every run; a sieve by expected share goes first."""
+    share = min(1.0, 1.2 * limit / max(1, df.count()))
+    return df.withColumn("__rank", hash_rank(key)).where(F.col("__rank") < share).orderBy("__rank", key).limit(limit).drop("__rank")
