@@ -145,16 +145,12 @@ class Words:
         return np.repeat(np.arange(len(self.of) - 1), np.diff(self.of))
 
     def hashes(self, seed: int = 1) -> np.ndarray:
-        """64 bits for each word, from sums of byte codes times powers modulo 2^64 (in blocks, so that long rows need no long tables)."""
-        codes, out = _codes(seed), np.empty(len(self), dtype=np.uint64)
-        at = 0
-        while at < len(self):
-            base = self.starts[at]
-            stop = max(at + 1, int(np.searchsorted(self.ends, base + BLOCK, side="right")))
-            data, starts, ends = self.data[base : self.ends[stop - 1]], self.starts[at:stop] - base, self.ends[at:stop] - base
-            out[at:stop] = _spans(codes[data], starts, ends, seed)
-            at = stop
-        return out
+        """64 bits for each word."""
+        return _span_hashes(self.data, self.starts, self.ends, seed)
+
+    def some_hashes(self, some: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+        """64 bits for the beginnings of some words, up to the given ends."""
+        return _span_hashes(self.data, self.starts[some], ends, seed)
 
     def windows(self, word_hashes: np.ndarray, n: int, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
         """The first word of each n-word window that lies in one row, and the window's 64-bit hash."""
@@ -177,6 +173,18 @@ class Words:
         return b" ".join(data[a:b].tobytes() for a, b in zip(self.starts[first : first + n], self.ends[first : first + n], strict=True))
 
 
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits for each span of bytes, from sums of byte codes times powers modulo 2^64 (in blocks, so that long rows need no long tables)."""
+    codes, out = _codes(seed), np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
+        out[at:stop] = _spans(codes[data[base : ends[stop - 1]]], starts[at:stop] - base, ends[at:stop] - base, seed)
+        at = stop
+    return out
+
+
 def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     """A hash of values[start:end] for each span, that does not depend on where the span is."""
     up, down = _powers(len(values), seed)
