@@ -65,11 +65,21 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder."""
-    path = scratch(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Removes a query's shuffle files when it ends, so that steps do not add up on disk; a table is all that is read again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """Cuts the lineage: df as a Parquet table in the shared folder, in one folder for each value of a column if asked."""
+    spark = df.sparkSession
+    path, before = scratch(spark, what), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
