@@ -18,8 +18,9 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
-import pyarrow as pa
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,11 @@ CHUNK, OVERLAP = 16_384, 512
 KEPT_PIECES = 150_000
 
 
+def vocabulary(name: str = VOCABULARY) -> str:
+    """Where a rank file of the installed public vocabularies is."""
+    return public_tokenizers.path(name)
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -48,7 +54,7 @@ class Codec:
         self.find = regex.compile(pattern)
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.chunk, self.overlap = chunk, overlap
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, tuple[int, str, bytes, bytes]] = {}
 
     # -- pieces ---------------------------------------------------------------------------
 
@@ -115,33 +121,39 @@ class Codec:
             i = right[i]
         return out
 
-    def encoded(self, piece: str) -> tuple[int, str, bytes]:
-        """Number of ids of a piece, the ids in decimal, and the bytes they decode to."""
+    def encoded(self, piece: str) -> tuple[int, str, bytes, bytes]:
+        """Number of ids of a piece, the ids in decimal, the bytes they decode to, and the ids as 32-bit numbers."""
         ids = self.merge(piece)
-        out = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        out = (len(ids), " ".join(map(str, ids)), self.decode(ids), np.array(ids, dtype="<i4").tobytes())
         if len(self.known) >= KEPT_PIECES:
             self.known.clear()
         if len(piece) <= 64:
             self.known[piece] = out
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return [i for piece in self.pretokenise(text) for i in self.merge(piece)]
+    def blocks(self, text: str) -> Iterator[list[tuple[int, str, bytes, bytes]]]:
+        """The encoded pieces of a text, a bounded number at a time."""
+        known, made = self.known, self.encoded
+        pieces = self.pretokenise(text)
+        for at in range(0, len(pieces), 65_536):
+            yield [known.get(p) or made(p) for p in pieces[at : at + 65_536]]
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(d[3] for done in self.blocks(text) for d in done), dtype="<i4")
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, digest of the ids in decimal, digest of the decoded bytes; long texts are hashed as they go."""
-        ids, raw, count = hashlib.sha256(), hashlib.sha256(), 0
-        known, made = self.known, self.encoded
-        pieces = self.pretokenise(text)
-        for at in range(0, len(pieces), 65_536):
-            done = [known.get(p) or made(p) for p in pieces[at : at + 65_536]]
-            count += sum([d[0] for d in done])
-            ids.update(((" " if at else "") + " ".join([d[1] for d in done])).encode())
+    def digest(self, text: str, with_ids: bool = False) -> tuple[int, str, str, bytes]:
+        """Number of ids, digest of the ids in decimal, digest of the decoded bytes, and the ids if asked for."""
+        ids, raw, count, numbers = hashlib.sha256(), hashlib.sha256(), 0, []
+        for done in self.blocks(text):
+            ids.update(((" " if count else "") + " ".join([d[1] for d in done])).encode())
             raw.update(b"".join([d[2] for d in done]))
-        return count, ids.hexdigest(), raw.hexdigest()
+            count += sum([d[0] for d in done])
+            if with_ids:
+                numbers += [d[3] for d in done]
+        return count, ids.hexdigest(), raw.hexdigest(), b"".join(numbers)
 
 
 _CODECS: dict[str, Codec] = {}
@@ -154,32 +166,24 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each document: id, number of ids, digest of the ids, digest of the decoded bytes."""
-    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(path)
-        for piece in common.pieces(batches, "text"):
-            n, ids, raw = zip(*(tool.digest(t or "") for t in piece.column("text").to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(raw)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = dict(narrow.dtypes)["doc_id"]
-    return narrow.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", id_column)
-
-
-def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each document: id and ``ids``, an array of ints."""
+def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row for each document: id, number of ids, digest of the ids, digest of the decoded bytes; ``ids`` too with with_ids."""
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for piece in common.pieces(batches, "text"):
-            ids = [tool.encode(t or "") for t in piece.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            n, ids, raw, numbers = zip(*(tool.digest(t or "", with_ids) for t in piece.column("text").to_pylist()), strict=True)
+            columns = [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(raw)]
+            if with_ids:
+                values = pa.array(np.frombuffer(b"".join(numbers), dtype="<i4"), pa.int32())
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), values))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = dict(narrow.dtypes)["doc_id"]
-    return narrow.mapInArrow(run, f"doc_id {kind}, ids array<int>").withColumnRenamed("doc_id", id_column)
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return narrow.mapInArrow(run, schema).withColumnRenamed("doc_id", id_column)
 
 
 def decode(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
@@ -198,4 +202,4 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9_bpe: every document of the table encoded and decoded."""
-    return digests(common.read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return digests(common.read(spark, sf_dir, "documents"), vocabulary())

@@ -235,4 +235,4 @@ def _with_verdict(docs: DataFrame, benchmark: DataFrame, limit: int) -> DataFram
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1_decontaminate: the verdict on every document of the table."""
-    return scan(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items")
+    return scan(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

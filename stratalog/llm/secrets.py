@@ -106,7 +106,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 
 def redact(docs: DataFrame, drop: bool = False) -> DataFrame:
-    """docs with every span replaced by ``<kind>``, all columns as they were; with drop, without the rows that have spans."""
+    """docs with every span replaced by ``<kind>``, and n_chars, if it is there, the new length; with drop, without the rows that have spans."""
     shared = docs.sparkSession.sparkContext.broadcast(Scanner())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +117,9 @@ def redact(docs: DataFrame, drop: bool = False) -> DataFrame:
             texts = [cut(t, spans) if spans else t for t, spans in zip(piece.column("text").to_pylist(), found, strict=True)]
             columns = [*piece.columns]
             columns[at] = pa.array(texts, piece.schema.field("text").type)
+            if "n_chars" in piece.schema.names:
+                k = piece.schema.names.index("n_chars")
+                columns[k] = pa.array([len(t) if x else n for t, x, n in zip(texts, found, columns[k].to_pylist(), strict=True)], columns[k].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(x) for x in found], pa.bool_())], names=[*piece.schema.names, "__found"])
 
     out = docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__found", BooleanType()))
