@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+language    documents whose language is undecided (no text, no letter, or a score below the least) go
+near_dedup  of each component of near-duplicate documents the one with the smallest id stays
+decontaminate  documents go of whose words a twentieth or more lie in passages of the benchmark
+secrets     every secret span is replaced by its kind; all documents stay
+bpe         token ids of what is left, with digests of the ids and of the bytes they decode to
+"""
 
 from __future__ import annotations
 
@@ -6,16 +13,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalog.llm import bpe, common, decontaminate, language, secrets, simhash
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
-#: The language network, the fingerprints and the merges have no SQL form; tests/llm hold run() against brute force.
+
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.keep_known(docs, language.train(docs))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicate(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_documents(docs, common.read(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs, bpe.vocabulary(), with_ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", known_languages),
+    ("near_dedup", one_of_each_group),
+    ("decontaminate", without_benchmark),
+    ("secrets", without_secrets),
+    ("bpe", tokens),
+]
+#: The network, the fingerprints and the merges have no SQL form; tests/llm hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stratalog.llm import common
-
     docs = common.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)
