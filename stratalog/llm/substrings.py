@@ -40,12 +40,12 @@ BATCHES = 2
 #: Text that is combined before anything is sent.
 PIECE = 8 << 20
 _WORD = common.byte_class([b for b in range(256) if b not in common.SPACES])
-#: Rows of the first step: wants (doc, fps), entries and runs (fps, docs, many: parallel arrays as bytes).
-_FOUND = {"kind": pa.int32(), "bucket": pa.int32(), "doc": pa.int64(), "fps": pa.binary(), "docs": pa.binary(), "many": pa.binary()}
+#: Rows of both steps are parallel arrays as bytes.  First step: wants (docs, fps), entries and runs (fps, docs, many).
+_FOUND = {"kind": pa.int32(), "bucket": pa.int32(), "fps": pa.binary(), "docs": pa.binary(), "many": pa.binary()}
 _WANT, _RUN, _ENTRY = 0, 1, 2
-#: Rows of the second step: hits (doc, text_key, starts), places seen (parallel arrays) and runs (digests).
-_SEEN_ROW = {"kind": pa.int32(), "bucket": pa.int32(), "doc": pa.int64(), "text_key": pa.int64(), "starts": pa.binary(), "digests": pa.binary(), "docs": pa.binary(), "keys": pa.binary(), "old": pa.binary()}
-_CHECKED = {k: _SEEN_ROW[k] for k in ("kind", "bucket", "doc", "text_key", "starts", "digests")}
+#: Second step: hits (docs, keys, starts), places seen (the same, digests and old) and runs (digests).
+_SEEN_ROW = {"kind": pa.int32(), "bucket": pa.int32(), "docs": pa.binary(), "keys": pa.binary(), "starts": pa.binary(), "digests": pa.binary(), "old": pa.binary()}
+_CHECKED = {k: v for k, v in _SEEN_ROW.items() if k != "old"}
 _HIT, _DIGESTS, _SEEN = 0, 1, 2
 _SPARK = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
 
@@ -105,10 +105,34 @@ def window_digests(raw: bytes, starts: list[int]) -> bytes:
     return b"".join([hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(edge[starts].tolist(), (edge[np.asarray(starts) + WIDTH] - 1).tolist(), strict=True)])
 
 
-def wants(docs: np.ndarray, fps: np.ndarray, buckets: int) -> list[dict]:
-    order = np.lexsort((fps, docs))
+def dealt(kind: int, where: np.ndarray, **columns: np.ndarray) -> list[dict]:
+    """Parallel arrays as one row for each bucket."""
+    order = np.argsort(where, kind="stable")
+    where, columns = where[order], {c: v[order] for c, v in columns.items()}
+    return [{"kind": kind, "bucket": k, **{c: v[a:b].tobytes() for c, v in columns.items()}} for k, a, b in slices(where)]
+
+
+def shard(docs: np.ndarray, buckets: int) -> np.ndarray:
+    return (common.mixed(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def wants_by_document(table: pa.Table) -> pa.Table:
+    """A row for each document of a shard: doc_id and its wanted fingerprints."""
+    docs, fps = array_of(table, _WANT, "docs", np.int64), array_of(table, _WANT, "fps", np.uint64)
+    order = np.argsort(docs, kind="stable")
     docs, fps = docs[order], fps[order]
-    return [{"kind": _WANT, "bucket": doc % buckets, "doc": doc, "fps": fps[a:b].tobytes()} for doc, a, b in slices(docs)]
+    cut = list(slices(docs))
+    return pa.table({"doc_id": pa.array([d for d, _, _ in cut], pa.int64()), "wanted": pa.array([fps[a:b].tobytes() for _, a, b in cut], pa.binary())})
+
+
+def hits_by_document(table: pa.Table) -> pa.Table:
+    """A row for each text of a shard: doc_id, text_key and the starts of its repeats."""
+    docs, keys, at = (array_of(table, _HIT, c, t) for c, t in (("docs", np.int64), ("keys", np.int64), ("starts", np.int32)))
+    order = np.lexsort((at, keys, docs))
+    docs, keys, at = docs[order], keys[order], at[order]
+    starts = begins(docs, keys)
+    blobs = [at[a:b].tobytes() for a, b in zip(starts.tolist(), ends(starts, len(docs)).tolist(), strict=True)]
+    return pa.table({"doc_id": pa.array(docs[starts]), "text_key": pa.array(keys[starts]), "starts": pa.array(blobs, pa.binary())})
 
 
 def repeats(digests: np.ndarray, docs: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,13 +144,6 @@ def repeats(digests: np.ndarray, docs: np.ndarray, old: np.ndarray) -> tuple[np.
     return order, ~old & (np.repeat(old[starts], sizes) | (docs > np.repeat(docs[starts], sizes))), starts[old[starts]]
 
 
-def hits(docs: np.ndarray, keys: np.ndarray, at: np.ndarray, buckets: int) -> list[dict]:
-    order = np.lexsort((at, keys, docs))
-    docs, keys, at = docs[order], keys[order], at[order]
-    starts = begins(docs, keys)
-    return [{"kind": _HIT, "bucket": int(docs[a]) % buckets, "doc": int(docs[a]), "text_key": int(keys[a]), "starts": at[a:b].tobytes()} for a, b in zip(starts.tolist(), ends(starts, len(docs)).tolist(), strict=True)]
-
-
 class Index:
     """A fingerprint index in the shared folder, filled batch by batch."""
 
@@ -150,7 +167,7 @@ class Index:
             self.history = docs if self.history is None else self.history.unionByName(docs)
             if len(self.runs) > MOST_RUNS:
                 self.compact()
-        return checked.where(F.col("kind") == _HIT).select(F.col("doc").alias("doc_id"), "text_key", "starts")
+        return checked.where(F.col("kind") == _HIT).groupBy("bucket").applyInArrow(hits_by_document, "doc_id long, text_key long, starts binary")
 
     def _find(self, docs: DataFrame) -> DataFrame:
         """Wants of the batch and its run."""
@@ -170,12 +187,9 @@ class Index:
                 starts = begins(fps)
                 sizes = np.diff(np.append(starts, len(fps)))
                 shared = np.repeat(sizes > 1, sizes)
-                rows = wants(docs[shared], fps[shared], buckets)
+                rows = dealt(_WANT, shard(docs[shared], buckets), docs=docs[shared], fps=fps[shared])
                 docs, fps, many = docs[starts], fps[starts], sizes > 1
-                where = (fps % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                docs, fps, many = docs[order], fps[order], many[order]
-                rows += [{"kind": _ENTRY, "bucket": k, "fps": fps[a:b].tobytes(), "docs": docs[a:b].tobytes(), "many": many[a:b].tobytes()} for k, a, b in slices(where[order])]
+                rows += dealt(_ENTRY, (fps % np.uint64(buckets)).astype(np.int64), fps=fps, docs=docs, many=many)
                 yield batch_of(rows, _FOUND)
 
         def merge(table: pa.Table) -> pa.Table:
@@ -199,7 +213,8 @@ class Index:
                 asked_docs.append(np.frombuffer(run["docs"], dtype=np.int64)[place[alone]])
                 asked_fps.append(unique[alone])
             asked = np.repeat(several, sizes) & ~many  # pieces in which several have it have asked already
-            rows = wants(np.concatenate([docs[asked], *asked_docs]), np.concatenate([fps[asked], *asked_fps]), buckets)
+            who, what = np.concatenate([docs[asked], *asked_docs]), np.concatenate([fps[asked], *asked_fps])
+            rows = dealt(_WANT, shard(who, buckets), docs=who, fps=what)
             rows.append({"kind": _RUN, "bucket": table.column("bucket")[0].as_py(), "fps": unique.tobytes(), "docs": least.tobytes(), "many": several.tobytes()})
             return pa.concat_tables([passed, pa.Table.from_batches([batch_of(rows, _FOUND)]).cast(passed.schema)])
 
@@ -214,7 +229,7 @@ class Index:
         texts = docs.withColumn("fresh", F.lit(True))
         if self.history is not None:
             texts = texts.unionByName(self.history.withColumn("fresh", F.lit(False)))
-        asked = wanted.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("fps").alias("wanted"))
+        asked = wanted.groupBy("bucket").applyInArrow(wants_by_document, "doc_id long, wanted binary")
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for piece in common.pieces(batches, "text", PIECE):
@@ -222,9 +237,9 @@ class Index:
                 first, fps = window_fingerprints(words)
                 bounds = np.searchsorted(first, words.of)
                 raw, at, row = [], [], []
-                for r, lists in enumerate(piece.column("wanted").to_pylist()):
+                for r, mine_wanted in enumerate(piece.column("wanted").to_pylist()):
                     mine = slice(bounds[r], bounds[r + 1])
-                    starts = first[mine][np.isin(fps[mine], np.frombuffer(b"".join(lists), dtype=np.uint64))] - words.of[r]
+                    starts = first[mine][np.isin(fps[mine], np.frombuffer(mine_wanted, dtype=np.uint64))] - words.of[r]
                     if len(starts):
                         raw.append(window_digests(words.data[words.offsets[r] : words.offsets[r + 1]].tobytes(), starts))
                         at.append(starts)
@@ -235,15 +250,15 @@ class Index:
                 docs, keys, old = (piece.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "text_key", "fresh"))
                 order, hit, led = repeats(digests, docs, old := ~old)
                 digests, docs, keys, at, old = digests[order], docs[order], keys[order], at[order], old[order]
-                rows = hits(docs[hit], keys[hit], at[hit], buckets)
+                rows = dealt(_HIT, shard(docs[hit], buckets), docs=docs[hit], keys=keys[hit], starts=at[hit])
                 # on go the fresh places that are not decided yet, and one old place of a digest that has any
                 on = ~hit & ~old
                 on[led] = True
                 digests, docs, keys, at, old = digests[on], docs[on], keys[on], at[on], old[on]
-                where = (digests[:, 0] % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((at, docs, where))
-                digests, docs, keys, at, old = digests[order], docs[order], keys[order], at[order], old[order]
-                rows += [{"kind": _SEEN, "bucket": k, "starts": at[a:b].tobytes(), "digests": digests[a:b].tobytes(), "docs": docs[a:b].tobytes(), "keys": keys[a:b].tobytes(), "old": old[a:b].tobytes()} for k, a, b in slices(where[order])]
+                # by place again: what is alike lies together, and is packed better
+                order = np.lexsort((at, docs))
+                where = (digests[order, 0] % np.uint64(buckets)).astype(np.int64)
+                rows += dealt(_SEEN, where, docs=docs[order], keys=keys[order], starts=at[order], digests=digests[order], old=old[order])
                 yield batch_of(rows, _SEEN_ROW)
 
         def merge(table: pa.Table) -> pa.Table:
@@ -255,7 +270,7 @@ class Index:
             n = len(past)
             order, hit, _ = repeats(np.concatenate([past, digests]), np.concatenate([np.zeros(n, np.int64), docs]), np.concatenate([np.ones(n, dtype=bool), old]))
             mine = order[hit] - n
-            rows = hits(docs[mine], keys[mine], at[mine], buckets)
+            rows = dealt(_HIT, shard(docs[mine], buckets), docs=docs[mine], keys=keys[mine], starts=at[mine])
             rows.append({"kind": _DIGESTS, "bucket": table.column("bucket")[0].as_py(), "digests": np.unique(digests, axis=0).tobytes()})
             return pa.concat_tables([passed, pa.Table.from_batches([batch_of(rows, _CHECKED)]).cast(passed.schema)])
 
@@ -288,7 +303,7 @@ class Index:
 
 
 def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The repeats of a whole table: it is cut into batches by id, lower ids first, and each is added to an index."""
+    """The repeats of a whole table, one row for each text that has any: the table is cut into batches by id, lower ids first, and each is added to an index."""
     least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     index, out = Index(docs.sparkSession), None
     if least is None:
@@ -303,18 +318,18 @@ def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
     """One row for each document: id, n_words, n_removed, kept_sha256; the kept words joined by one space too with keep_text."""
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    found = repeated_windows(narrow).groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"))
+    found = repeated_windows(narrow)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * keep_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches, "text"):
             data, offsets = common.utf8(piece.column("text"))
             n_words, n_removed, kept = [], [], []
-            for r, lists in enumerate(piece.column("starts").to_pylist()):
+            for r, repeated in enumerate(piece.column("starts").to_pylist()):
                 words = data[offsets[r] : offsets[r + 1]].tobytes().split()
                 n_words.append(len(words))
-                if lists:
-                    gone = common.covered(np.frombuffer(b"".join(lists), dtype=np.int32).astype(np.int64), WIDTH, len(words))
+                if repeated:
+                    gone = common.covered(np.frombuffer(repeated, dtype=np.int32).astype(np.int64), WIDTH, len(words))
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words))
