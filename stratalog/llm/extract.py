@@ -2,7 +2,7 @@
 
 Of each host a few reference pages (``REFERENCES``, those with the smallest hashes) are parsed and aligned with the smallest
 of them by simple tree matching: children are matched in order so that most nodes pair up, equal tags
-only.  Nodes whose own text is the same in every reference are the host's template, all others are
+only.  Nodes whose own text is the same in most references are the host's template, all others are
 slots.  Each page is then aligned with its host's wrapper; what falls on a template node with its text is
 dropped, what fills slots or has no counterpart is content, unless the page itself says otherwise: navigation, headers, footers, asides,
 forms, scripts, adverts, notices and reader comments go by tag, role or class, and where there is an article or main element, only what it holds counts.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as references
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -116,12 +117,11 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in FENCES and tag not in FENCES:
-                    break
+            inside = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag or stack[d].tag in FENCES and tag not in FENCES), 0)
+            if inside and stack[inside].tag == tag:
+                del stack[inside:]
+            else:
+                stack[-1].kids.append(Node(tag))  # it closes nothing, but a block's end parts what is around it
             continue
         ended = ENDS.get(tag) or ({"p"} if tag in PARAGRAPH_ENDS else None)
         if ended:
@@ -200,17 +200,16 @@ def induce(pages: list[str]) -> Node | None:
     if len(trees) < LEAST_REFERENCES:
         return None
     pivot = trees[0]
-    same = {id(n): (n, n.own_text()) for n in pivot.walk()}
-    same = {k: v for k, v in same.items() if v[1]}
-    for tree in trees[1:]:
-        kept = {}
+    texts: dict[int, tuple[Node, Counter[str]]] = {}
+    for tree in trees:
         for x, y in align(pivot, tree)[1]:
-            if id(x) in same and y.own_text() == same[id(x)][1]:
-                kept[id(x)] = same[id(x)]
-        same = kept
-    for node, text in same.values():
-        node.template = text_key(text)
-    return pivot if same else None
+            texts.setdefault(id(x), (x, Counter()))[1][y.own_text()] += 1
+    found = False
+    for node, seen in texts.values():
+        text, count = min(seen.items(), key=lambda item: (-item[1], item[0]))
+        if text and count >= LEAST_REFERENCES and 2 * count > len(trees):
+            node.template, found = text_key(text), True
+    return pivot if found else None
 
 
 def packed(node: Node) -> bytes:
