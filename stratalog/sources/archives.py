@@ -58,7 +58,7 @@ def entries(archives: DataFrame, with_payload: bool = False, key: str = "path",
         for batch in batches:
             for archive, data in zip(batch["key"], batch["content"], strict=True):
                 rows, error = read(bytes(data)) if data is not None else ([], "no content")
-                made = pd.DataFrame(rows or [{"path": None}], dtype=object).reindex(columns=[*containers.FIELDS, *["payload"] * with_payload])
+                made = pd.DataFrame([{c: r.get(c) for c in (*containers.FIELDS, "payload")} for r in rows or [{}]], dtype=object)
                 yield _named(made).assign(archive_id=archive, error=error)[columns]
 
     schema = SCHEMA + ", payload binary" * with_payload
