@@ -30,6 +30,12 @@ def test_checksums(rows):
     assert found[5].sha256 == hashlib.sha256(b"hello " * 2000).hexdigest() and found[4].crc64 is None and found[0].adler32 == 1
 
 
+def test_checksums_in_step():
+    rng = random.Random(2)
+    data = [rng.randbytes(n) for n in (0, 1, 255, 256, 257, 1000, 5120)]
+    assert payload.crc64_all(data) == [payload._crc64_step((1 << 64) - 1, d) ^ (1 << 64) - 1 for d in data]
+
+
 def test_checksums_combine():
     rng = random.Random(1)
     for _ in range(50):
