@@ -219,8 +219,10 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 def _with_verdict(docs: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
     rows = benchmark_rows(benchmark, limit)
     if rows is None:
-        bad = scan_by_join(docs.select("doc_id", "text"), benchmark, WIDTH).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad.withColumn("__hit", F.lit(True)), "doc_id", "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+        key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.coalesce("text", F.lit("")), 256))
+        keyed = docs.withColumn("__key", key)
+        bad = scan_by_join(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark, WIDTH).where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
+        return keyed.join(bad.withColumn("__hit", F.lit(True)), "__key", "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(WindowSet(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

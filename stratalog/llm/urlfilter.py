@@ -35,7 +35,7 @@ class Rule(NamedTuple):
 RULES = (Rule("com", "/", False), Rule("example.com", "/en/", True), Rule("www.example.com", "/en/", False), Rule("net", "/es/", True), Rule("net", "/fr/", True))
 LEARN_ROWS, AFFIX_VALUES, BINS = 20_000, 1024, 16
 AFFIXES = ("suffix", "section")
-TREES, DEPTH, RATE, SMOOTH = 12, 2, 0.5, 1.0
+TREES, DEPTH, RATE, SMOOTH = 8, 2, 0.6, 1.0
 FEATURES = ("url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_share", "host_entropy", "parameters", "hyphens", "suffix_blocked", "suffix_share", "section_blocked", "section_share")
 
 
