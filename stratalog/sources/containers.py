@@ -1,4 +1,4 @@
-"""ZIP and TAR catalogues from bytes: entries, payloads, extra fields, salvage and compliance issues.  Plain Python, no Spark."""
+"""ZIP, TAR and 7z catalogues from bytes: entries, payloads, extra fields, salvage and compliance issues.  Plain Python, no Spark."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
+from stratalog.sources import sevenz
+
 #: Columns of an entry, in the order of the entries schema.
 FIELDS = ("entry_idx", "path", "uncompressed_size", "compressed_size", "crc32", "mtime_epoch", "mode", "is_directory", "is_encrypted", "method", "link_target", "extra")
 ENTRY_DDL = "entry_idx int, path string, uncompressed_size long, compressed_size long, crc32 long, mtime_epoch long, mode int, is_directory boolean, is_encrypted boolean, method string, link_target string, extra map<string,string>"
@@ -162,6 +164,8 @@ def salvage_tar(data: bytes) -> Iterator[dict]:
 def kind_of(data: bytes) -> str:
     if data[:2] == b"PK" or b"PK\x05\x06" in data[-65_557:]:
         return "zip"
+    if data[:6] == sevenz.MAGIC:
+        return "7z"
     if data[257:262] == b"ustar" or data[:2] in (b"\x1f\x8b", b"BZ") or data[:6] == b"\xfd7zXZ\0":
         return "tar"
     return "unknown"
@@ -175,7 +179,9 @@ def entries(data: bytes, with_payload: bool = False) -> tuple[str, list[dict], s
             return kind, list(zip_entries(data, with_payload)), None
         if kind == "tar":
             return kind, list(tar_entries(data, with_payload)), None
-    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, ValueError, zlib.error, lzma.LZMAError, struct.error) as e:
+        if kind == "7z":
+            return kind, list(sevenz.entries(data, with_payload)), None
+    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, ValueError, zlib.error, lzma.LZMAError, struct.error, NotImplementedError, IndexError, MemoryError, RuntimeError) as e:
         return kind, [], f"{type(e).__name__}: {e}"
     return kind, [], "unknown format"
 
