@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 def batched(kind: str) -> Callable:
@@ -20,13 +20,15 @@ def batched(kind: str) -> Callable:
     def wrap(f: Callable) -> Callable[..., Column]:
         made: list = []
 
-        @functools.wraps(f)
-        def apply(*columns: Column | str) -> Column:
+        def function() -> Callable[..., Column]:
             if not made:
                 made.append(F.pandas_udf(f, kind))
-            return made[0](*columns)
+            return made[0]
+
+        def apply(*columns: Column | str) -> Column:
+            return function()(*columns)
 
-        del apply.__wrapped__
+        apply.__name__, apply.__doc__, apply.function = f.__name__, f.__doc__, function
         return apply
 
     return wrap
@@ -338,6 +340,15 @@ def sanitize(path: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([sanitized_path(p) if p is not None else dict.fromkeys(keys) for p in path], columns=keys)
 
 
+# -- SQL --------------------------------------------------------------------------------------
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the functions that Spark lacks known to SQL, by their own names."""
+    for f in (crc64, adler32, entropy, byte_histogram, charset, decoded, safe_filename, sanitize, hex_diff, t_pvalue):
+        spark.udf.register(f.__name__, f.function())
+
+
 # -- differences ------------------------------------------------------------------------------
 
 
