@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalog.functions import dsl, fuzzy, globs, paths, payload, signatures
-from stratalog.operators import audit, bench, diff, search, security, tree, volumes
+from stratalog.functions import dsl, fuzzy, globs, parity, paths, payload, signatures
+from stratalog.operators import audit, bench, codecs, diff, search, security, tree, volumes
 from stratalog.plans import catalog
 from stratalog.sources import archives, reports
 from stratalog.streaming import throttle
@@ -387,6 +387,20 @@ def _(spark, sf_dir):
     return volumes.offsets(rows, "archive_id", "entry_idx", F.col("uncompressed_size"), volumes.local_header(F.col("path"))).select(F.col("entry_idx").cast("long").alias("page_id"), "offset")
 
 
+@query("parity_round_trip", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def _(spark, sf_dir):
+    rows = _payloads(spark, sf_dir)
+    middle = F.greatest(F.lit(1), (F.length("payload") / 2).cast("int"))
+    hurt = F.concat(F.substring(F.col("payload"), F.lit(1), middle), F.when(F.length("payload") > middle, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(""))), F.substring(F.col("payload"), middle + 2, F.length("payload")))
+    return parity.repaired(rows.withColumn("payload", hurt), parity.recovery_records(rows, "doc_id"), "doc_id").select("doc_id", F.sha2("payload", 256).alias("sha256"))
+
+
+@query("codec_matrix", "SELECT codec, level, CAST(sum(strlen(text)) AS BIGINT) AS original, true AS round_trip FROM documents, (VALUES ('deflate', 1), ('deflate', 6), ('zstd', 1), ('zstd', 3), ('lz4', 1), ('snappy', 1)) AS c(codec, level) WHERE text <> '' GROUP BY codec, level")
+def _(spark, sf_dir):
+    configs = [("deflate", 1), ("deflate", 6), ("zstd", 1), ("zstd", 3), ("lz4", 1), ("snappy", 1)]
+    return codecs.matrix_points(codecs.matrix(_payloads(spark, sf_dir), "doc_id", configs)).select("codec", "level", "original", "round_trip")
+
+
 # -- safety -----------------------------------------------------------------------------------
 
 
