@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from stratalog.llm import common
 
 POSITIVES, UNLABELLED, SAMPLE_BYTES = 3000, 6000, 48 << 20
-#: Bytes of the word beginnings that are features, features kept, and how much oftener a candidate must occur in the positives.
-PREFIXES, FEATURES, LEAST_LIFT = (4, 5, 6), 4096, 3.0
+#: Bytes of the word beginnings that are features, features kept, and the share of a candidate's texts that must be positive by the prior.
+PREFIXES, FEATURES, LEAST_PURITY = (4, 5, 6), 4096, 0.6
 #: How often a word or beginning occurs in a text to be a second feature of it.
 OFTEN = 3
 #: Longer texts are scored like any other, but not learned from.
@@ -103,7 +103,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     usual = len(positive) * (other + 0.5) / (len(unlabelled) + 1)
     lift = seen / usual
     surprise = seen * np.log(lift) - seen + usual
-    good = np.flatnonzero((lift >= LEAST_LIFT) & (surprise >= np.log(len(keys)) + 1))
+    good = np.flatnonzero((lift * prior >= LEAST_PURITY) & (surprise >= np.log(len(keys)) + 1))
     good = np.sort(good[np.lexsort((good, -surprise[good]))][:FEATURES])
     keys = keys[good]
     p, u = matrix(positive, keys), matrix(unlabelled, keys)
