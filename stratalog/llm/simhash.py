@@ -15,7 +15,7 @@ of distance 0; a row without an id gets its component's smallest id.  Only the i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,19 +117,16 @@ def forest(keys: np.ndarray, fps: np.ndarray, depth: int = 0) -> tuple[np.ndarra
         members = place[start : start + size]
         if size > HUGE and depth < len(ROTATIONS):
             some = rotated(nodes[members], ROTATIONS[depth])
-            by = {}
             for v in range(BITS):
-                a, b = forest(signature(some, v), some, depth + 1)
-                by[v] = np.searchsorted(nodes, rotated(a, 64 - ROTATIONS[depth])), np.searchsorted(nodes, rotated(b, 64 - ROTATIONS[depth]))
-                link(*by[v])
+                link(*(np.searchsorted(nodes, rotated(end, BITS - ROTATIONS[depth])) for end in forest(signature(some, v), some, depth + 1)))
         else:
-            blocks(nodes, members, joined, link)
+            compare_all(nodes, members, link)
     a, b = (np.array(x, dtype=np.int64) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
     return nodes[a], nodes[b]
 
 
-def blocks(nodes: np.ndarray, members: np.ndarray, joined: components.Union, link) -> None:
-    """Compares all members with all, a row of a block at a time; of each row, one link for each tree it does not join yet."""
+def compare_all(nodes: np.ndarray, members: np.ndarray, link: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Compares all members with all, one against all later ones at a time: memory follows their number, not its square."""
     fps = nodes[members]
     for i in range(len(members)):
         hits = members[i + 1 :][near(fps[i + 1 :], fps[i])]
