@@ -167,13 +167,21 @@ class _ArchiveReader(DataSourceReader):
         return True
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.value, "rb") as file:
-            _, rows, error = containers.entries(file.read())
-        for row in rows or [{"path": None}]:
+        def shaped(row: dict, error: str | None) -> dict:
             name = None if row["path"] is None else row["path"].rsplit("/", 1)[-1]
-            row |= {"archive_id": partition.value, "name": name, "ext": name.rsplit(".", 1)[1] if name and "." in name[1:] and not name.endswith(".") else "" if name is not None else None, "error": error}
-            if self.passes(row):
-                yield tuple(row.get(c) for c in self.columns)
+            ext = None if name is None else name.rsplit(".", 1)[1] if "." in name[1:] and not name.endswith(".") else ""
+            return row | {"archive_id": partition.value, "name": name, "ext": ext, "error": error}
+
+        with open(partition.value, "rb") as file:
+            try:
+                for row in containers.file_entries(file):
+                    row = shaped(row, None)
+                    if self.passes(row):
+                        yield tuple(row.get(c) for c in self.columns)
+            except containers.BROKEN as e:
+                row = shaped({"path": None}, f"{type(e).__name__}: {e}")
+                if self.passes(row):
+                    yield tuple(row.get(c) for c in self.columns)
 
 
 def register(spark: SparkSession) -> None:

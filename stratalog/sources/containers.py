@@ -11,6 +11,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from typing import BinaryIO
 
 from stratalog.sources import sevenz
 
@@ -56,9 +57,9 @@ def _civil(parts: tuple[int, ...]) -> int | None:
         return None
 
 
-def zip_entries(data: bytes, with_payload: bool = False) -> Iterator[dict]:
+def zip_entries(data: bytes | BinaryIO, with_payload: bool = False) -> Iterator[dict]:
     """Rows of the central directory; payloads, where asked for, are None if encrypted, broken or of an unknown method."""
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+    with zipfile.ZipFile(_file(data)) as archive:
         for k, info in enumerate(archive.infolist()):
             extra = extra_fields(info.extra)
             method = METHODS.get(int(extra.get("aes_method", info.compress_type)), str(info.compress_type))
@@ -116,9 +117,9 @@ def salvage_zip(data: bytes, with_payload: bool = False) -> Iterator[dict]:
 # -- tar --------------------------------------------------------------------------------------
 
 
-def tar_entries(data: bytes, with_payload: bool = False) -> Iterator[dict]:
+def tar_entries(data: bytes | BinaryIO, with_payload: bool = False) -> Iterator[dict]:
     """Rows of a TAR file, plain or compressed; sizes packed and checksums are unknown in this format."""
-    with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as archive:
+    with tarfile.open(fileobj=_file(data), mode="r:*") as archive:
         for k, info in enumerate(archive):
             extra = {key: str(value) for key, value in info.pax_headers.items()}
             extra |= {"uid": str(info.uid), "gid": str(info.gid), "uname": info.uname, "gname": info.gname, "typeflag": info.type.decode("latin-1")}
@@ -161,6 +162,30 @@ def salvage_tar(data: bytes) -> Iterator[dict]:
 # -- both -------------------------------------------------------------------------------------
 
 
+def _file(data: bytes | BinaryIO) -> BinaryIO:
+    return io.BytesIO(data) if isinstance(data, bytes) else data
+
+
+#: What a container that is broken, cut or of an unknown kind makes the parsers raise.
+BROKEN = (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, ValueError, zlib.error, lzma.LZMAError, struct.error, NotImplementedError, IndexError, MemoryError, RuntimeError)
+
+
+def file_entries(file: BinaryIO) -> Iterator[dict]:
+    """Rows of an open file; of ZIP files only the directory is read, of plain TAR files only the headers.  Raises what is in BROKEN."""
+    size = file.seek(0, io.SEEK_END)
+    file.seek(max(0, size - 65_557))
+    tail = file.read()
+    file.seek(0)
+    head = file.read(512)
+    file.seek(0)
+    kind = kind_of(head + tail)
+    if kind == "7z":
+        return sevenz.entries(file.read())
+    if kind == "unknown":
+        raise ValueError("unknown format")
+    return zip_entries(file) if kind == "zip" else tar_entries(file)
+
+
 def kind_of(data: bytes) -> str:
     if data[:2] == b"PK" or b"PK\x05\x06" in data[-65_557:]:
         return "zip"
@@ -181,7 +206,7 @@ def entries(data: bytes, with_payload: bool = False) -> tuple[str, list[dict], s
             return kind, list(tar_entries(data, with_payload)), None
         if kind == "7z":
             return kind, list(sevenz.entries(data, with_payload)), None
-    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, ValueError, zlib.error, lzma.LZMAError, struct.error, NotImplementedError, IndexError, MemoryError, RuntimeError) as e:
+    except BROKEN as e:
         return kind, [], f"{type(e).__name__}: {e}"
     return kind, [], "unknown format"
 
