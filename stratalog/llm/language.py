@@ -51,6 +51,10 @@ CLASSES = 158
 _TABLE = byte_classes()
 
 
+def has_letter(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False)
+
+
 def windowed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The windows of each row, padded with class 0 at the end, and the n + 1 offsets into them."""
     sizes = np.diff(offsets)
@@ -147,7 +151,7 @@ class Network:
         if self.languages and len(column):
             windows, of = windowed(*common.utf8(column))
             means = np.add.reduceat(self.probabilities(windows).astype(np.float64), of[:-1], axis=0) / np.diff(of)[:, None]
-            letters = pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False)
+            letters = has_letter(column)
             best[letters] = means.argmax(axis=1)[letters]
             score[letters] = np.clip(means.max(axis=1)[letters], 0, 1)
         return names[best].tolist(), score
@@ -172,7 +176,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network:
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches, "text"):
             windows, of = windowed(*common.utf8(piece.column("text")))
-            letters = pc.fill_null(pc.match_substring_regex(piece.column("text"), r"\pL"), False).to_pylist()
+            letters = has_letter(piece.column("text"))
             rows = [(r, i) for r in range(piece.num_rows) if letters[r] for i in np.unique(np.linspace(of[r], of[r + 1] - 1, WINDOWS_PER_TEXT).astype(int))]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array([r for r, _ in rows], pa.int64())), piece.column("lang").take(pa.array([r for r, _ in rows], pa.int64())), pa.array([windows[i].tobytes() for _, i in rows], pa.binary())], names=["doc_id", "lang", "w"])
 
@@ -202,13 +206,16 @@ def predict(docs: DataFrame, network: Network, id_column: str = "doc_id", text_c
 
 
 def keep_known(docs: DataFrame, network: Network, least: float = LEAST_SCORE) -> DataFrame:
-    """docs without the texts whose language is undecided or scored below the least, all columns as they were."""
+    """docs without the texts whose language is undecided or scored below the least, all columns as they were.  Where nothing could be learned, texts with a letter stay."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches, "text"):
-            names, score = shared.value.judge(piece.column("text"))
-            known = (np.array(names, dtype=object) != UNDECIDED) & (score >= least)
+            if shared.value.languages:
+                names, score = shared.value.judge(piece.column("text"))
+                known = (np.array(names, dtype=object) != UNDECIDED) & (score >= least)
+            else:
+                known = has_letter(piece.column("text"))
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(known)], names=[*piece.schema.names, "__known"])
 
     out = docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__known", BooleanType()))

@@ -2,9 +2,10 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 
-from stratalog.llm import decontaminate
+from stratalog.llm import decontaminate, sql
 from tests.llm.conftest import by_id
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -58,6 +59,17 @@ def test_against_brute_force(spark, docs_of, limit):
     assert got == brute(docs, items)
 
 
+def test_sql_agrees_with_brute_force():
+    docs, items = cases(7)
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in docs[:-1]])
+    connection.executemany("INSERT INTO benchmark VALUES (?, ?)", [list(r) for r in items])
+    found = connection.execute(sql.ORACLES["op1_decontaminate"]).fetchall()
+    assert {r[0]: tuple(r[1:]) for r in found} == brute(docs[:-1], items)
+
+
 def test_spans_can_be_removed(spark, docs_of):
     text = "Été one two three, end"
     benchmark = spark.createDataFrame([(1, "one two three")], "item_id long, text string")

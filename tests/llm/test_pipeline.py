@@ -48,6 +48,16 @@ def test_stages_take_nulls_and_empty_tables(spark, docs_of):
             assert stage(spark, docs, DIR).count() <= len(rows)
 
 
+def test_stages_take_columns_with_clashing_names(spark, docs_of):
+    docs = docs_of([(1, "the word " * 10), (2, None), (3, "other text of some length here")])
+    docs = docs.selectExpr("*", "1 AS fp", "2 AS score", "array(1) AS items", "'x' AS lang_pred", "map('a', 1) AS component_id", "current_date() AS held_out", "named_struct('a', 1) AS spans", "0 AS rank")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns, name
+        assert out.where("doc_id = 3").first().rank == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).count() == 3
+
+
 def test_entry_has_a_query_for_each_operator():
     names = list(__spark_entry__.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
