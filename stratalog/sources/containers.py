@@ -9,7 +9,7 @@ import struct
 import tarfile
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from typing import BinaryIO
 
@@ -216,11 +216,47 @@ def entries(data: bytes, with_payload: bool = False) -> tuple[str, list[dict], s
 
 def issues(data: bytes, kind: str) -> list[tuple[str, str, str, int | None]]:
     """(severity, section, message, offset) for what breaks the format's rules."""
-    return {"zip": _zip_issues, "tar": _tar_issues, "gzip": _gzip_issues, "bzip2": _bzip2_issues, "xz": _xz_issues, "zstd": _zstd_issues, "7z": _sevenz_issues}.get(kind, _unknown_issues)(data)
-
-
-def _unknown_issues(data: bytes) -> list:
-    return [("WARNING", "format", "no checker for this format", None)]
+    return {"zip": _zip_issues, "tar": _tar_issues, "gzip": _gzip_issues, "bzip2": _bzip2_issues, "xz": _xz_issues, "zstd": _zstd_issues, "7z": _sevenz_issues, "ar": _ar_issues}.get(kind, lambda d: _header_issues(d, kind))(data)
+
+
+def _number(data: bytes, at: int, size: int, order: str = "little") -> int:
+    return int.from_bytes(data[at : at + size], order)
+
+
+#: Rules of formats that are checked by their headers: (where, what must hold, severity, message).
+_HEADERS: dict[str, list[tuple[int, Callable[[bytes], bool], str, str]]] = {
+    "rar": [(0, lambda d: d[:6] == b"Rar!\x1a\x07", "ERROR", "no signature"), (7, lambda d: len(d) >= 20, "ERROR", "no main header")],
+    "cab": [(4, lambda d: _number(d, 4, 4) == 0, "ERROR", "reserved field is not zero"), (8, lambda d: _number(d, 8, 4) <= len(d), "ERROR", "size goes beyond the file"), (24, lambda d: d[24:26] == b"\3\1", "WARNING", "version is not 1.3")],
+    "xar": [(4, lambda d: _number(d, 4, 2, "big") >= 28, "ERROR", "header is too short"), (6, lambda d: _number(d, 6, 2, "big") == 1, "WARNING", "version is not 1"), (8, lambda d: 28 + _number(d, 8, 8, "big") <= len(d), "ERROR", "table of contents goes beyond the file")],
+    "wim": [(8, lambda d: _number(d, 8, 4) >= 208, "ERROR", "header is too short"), (12, lambda d: _number(d, 12, 4) in (0x10D00, 0xE00), "WARNING", "unusual version")],
+    "iso": [(0x8000, lambda d: d[0x8000:0x8001] == b"\1", "WARNING", "first descriptor is not the primary one"), (0x8006, lambda d: d[0x8006:0x8007] == b"\1", "WARNING", "descriptor version is not 1"), (0x8080, lambda d: _number(d, 0x8080, 2) == 2048, "WARNING", "blocks are not of 2048 bytes")],
+    "dmg": [(-508, lambda d: _number(d, len(d) - 508, 4, "big") == 4, "WARNING", "trailer version is not 4"), (-504, lambda d: _number(d, len(d) - 504, 4, "big") == 512, "ERROR", "trailer size is not 512")],
+    "lz4": [(4, lambda d: len(d) > 4 and d[4] >> 6 == 1, "ERROR", "frame version is not 1"), (4, lambda d: len(d) > 4 and not d[4] & 2, "ERROR", "reserved flag is set")],
+    "lzip": [(4, lambda d: d[4:5] == b"\1", "ERROR", "version is not 1"), (5, lambda d: len(d) > 5 and 12 <= d[5] & 31 <= 29, "ERROR", "dictionary size out of range")],
+    "lrzip": [(4, lambda d: d[4:5] == b"\0", "WARNING", "major version is not 0")],
+    "snappy": [(0, lambda d: d[:10] == b"\xff\x06\0\0sNaPpY", "ERROR", "no stream identifier")],
+    "lzfse": [(0, lambda d: d.rstrip(b"\0")[-4:] == b"bvx$", "WARNING", "no end block")],
+    "aar": [(4, lambda d: len(d) >= 6 and 6 <= _number(d, 4, 2) <= len(d) or d[:4] == b"AEA1", "ERROR", "header size goes beyond the file")],
+    "lzh": [(0, lambda d: d[6:7] == b"-", "ERROR", "method is not closed by a dash"), (20, lambda d: len(d) > 20 and d[20] <= 3, "WARNING", "header level is above 3")],
+}
+
+
+def _header_issues(data: bytes, kind: str) -> list:
+    if kind not in _HEADERS:
+        return [("WARNING", "format", "no checker for this format", None)]
+    return [(severity, "header", message, at if at >= 0 else len(data) + at) for at, holds, severity, message in _HEADERS[kind] if not holds(data)]
+
+
+def _ar_issues(data: bytes) -> list:
+    at = 8
+    while at < len(data):
+        header = data[at : at + 60]
+        if len(header) < 60 or header[58:60] != b"`\n":
+            return [("ERROR", "member", "header is cut or not closed", at)]
+        if not header[48:58].strip().isdigit():
+            return [("ERROR", "member", "size is no number", at + 48)]
+        at += 60 + int(header[48:58]) + int(header[48:58]) % 2
+    return [("ERROR", "member", "goes beyond the file", at)] if at > len(data) + 1 else []
 
 
 def _zip_issues(data: bytes) -> list:

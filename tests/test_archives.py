@@ -99,6 +99,11 @@ def test_compliance(spark, folder):
     wrong[0:4] = b"XXXX"
     assert ("WARNING", "local header") in {i[:2] for i in containers.issues(bytes(wrong), "zip")}
     assert containers.issues(b"\x1f\x8b\x09" + bytes(20), "gzip")[0][0] == "ERROR" and containers.issues(b"BZh0", "bzip2") and containers.issues(b"\xfd7zXZ\0", "xz")
+    assert containers.issues(b"!<arch>\n" + b"x/".ljust(48) + b"2".ljust(10) + b"`\nab", "ar") == [] and containers.issues(b"!<arch>\nshort", "ar")
+    assert containers.issues(b"\x04\x22\x4d\x18\x64", "lz4") == [] and containers.issues(b"\x04\x22\x4d\x18\x24", "lz4") and containers.issues(b"LZIP\1\x0c", "lzip") == []
+    for kind in containers._HEADERS:
+        assert all(i[0] in ("ERROR", "WARNING") for i in containers.issues(b"", kind))
+    assert containers.issues(b"x", "nothing")[0][1] == "format"
     rows = spark.createDataFrame([("a", "ERROR"), ("a", "WARNING")], "id string, severity string")
     r = security.issue_summary(rows, "id").first()
     assert (r.n_errors, r.n_warnings, r.is_compliant) == (1, 1, False)
