@@ -37,7 +37,7 @@ def held_out(doc_id: Column) -> Column:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors and the driver see: spark.checkpoint.dir, or one set here where it is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
