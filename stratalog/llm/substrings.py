@@ -35,8 +35,9 @@ from stratalog.llm import common
 
 WIDTH, GRAM = 13, 5
 MOST_RUNS = 3
-#: Batches that the query cuts the table into, by id.
-BATCHES = 2
+#: Batches that the query cuts the table into, by id, and the first one's share of the ids: a first load and smaller increments,
+#: so that what a step moves, the wanting documents of all batches and the digests of its own, is about the same for each.
+BATCHES, FIRST_SHARE = 2, 0.65
 #: Text that is combined before anything is sent.
 PIECE = 8 << 20
 _WORD = common.byte_class([b for b in range(256) if b not in common.SPACES])
@@ -308,7 +309,9 @@ def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     index, out = Index(docs.sparkSession), None
     if least is None:
         return index.add(docs, keep=False)
-    edges = [least + (most - least + 1) * k // batches for k in range(batches + 1)]
+    span, later = most - least + 1, batches - 1
+    first = int(span * FIRST_SHARE)
+    edges = [least, *(least + first + (span - first) * k // later for k in range(later)), most + 1]
     for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         found = index.add(docs.where(F.col("doc_id").between(low, high - 1)), keep=k < batches - 1)
         out = found if out is None else out.unionByName(found)
