@@ -1,9 +1,9 @@
 """Main-text extraction by wrapper induction.
 
-Of each host a few reference pages (``REFERENCES``, those with the smallest hashes) are parsed and aligned with the smallest
-of them by simple tree matching: children are matched in order so that most nodes pair up, equal tags
-only.  Nodes whose own text is the same in most references are the host's template, all others are
-slots.  Each page is then aligned with its host's wrapper; what falls on a template node with its text is
+Of each host a few different pages (``REFERENCES``, those with the smallest digests of their html) are parsed, and the smallest
+of them is the frame.  All pages of the host are aligned with it by simple tree matching: children are matched in order so that most nodes pair up, equal tags
+only.  Nodes whose own text is the same in most different pages are the host's template, all others are
+slots: counted over all pages, copies once.  Each page is then aligned with its host's wrapper; what falls on a template node with its text is
 dropped, what fills slots or has no counterpart is content, unless the page itself says otherwise: navigation, headers, footers, asides,
 forms, scripts, adverts, notices and reader comments go by tag, role or class, and where there is an article or main element, only what it holds counts.
 
@@ -11,7 +11,7 @@ Character references are decoded, white space inside a block becomes one space,
 joined by one space in page order.
 
 Defined results: null and empty html give an empty text; a null or hostless URL has the host ""; hosts with fewer than ``LEAST_REFERENCES``
-different references have no template; repeated pages are extracted alike; broken markup is read as far as it
+different pages have no template; repeated pages are extracted alike; broken markup is read as far as it
 goes; elements deeper than ``DEEPEST`` hang on their ancestor there.
 """
 
@@ -20,12 +20,11 @@ from __future__ import annotations
 import html as references
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm import common
@@ -195,21 +194,19 @@ def text_key(text: str) -> int:
 
 
 def induce(pages: list[str]) -> Node | None:
-    """The smallest reference with its template nodes marked; None if the different references are too few."""
+    """The smallest of the different references, the frame of the host's wrapper; None if they are too few."""
     trees = sorted((parse(p).measured() for p in sorted(set(pages))), key=lambda t: t.size)
-    if len(trees) < LEAST_REFERENCES:
-        return None
-    pivot = trees[0]
-    texts: dict[int, tuple[Node, Counter[str]]] = {}
-    for tree in trees:
-        for x, y in align(pivot, tree)[1]:
-            texts.setdefault(id(x), (x, Counter()))[1][y.own_text()] += 1
-    found = False
-    for node, seen in texts.values():
-        text, count = min(seen.items(), key=lambda item: (-item[1], item[0]))
-        if text and count >= LEAST_REFERENCES and 2 * count > len(trees):
-            node.template, found = text_key(text), True
-    return pivot if found else None
+    return trees[0] if len(trees) >= LEAST_REFERENCES else None
+
+
+def marks(places: dict[int, int], frame: Node, page: str) -> list[dict[str, int]]:
+    """The texts of a page that fall on nodes of the frame, by the nodes' places in it."""
+    found = ((places[id(x)], y.own_text()) for x, y in align(frame, parse(page).measured())[1])
+    return [{"node": k, "text": signed(text_key(text))} for k, text in found if text]
+
+
+def signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
 
 
 def packed(node: Node) -> bytes:
@@ -288,28 +285,71 @@ def host(url: object) -> object:
     return F.coalesce(F.when(at > 0, F.lower(F.regexp_extract(F.substring(url, at + 3, F.length(url)), r"^[^/?#]*", 0))), F.lit(""))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper for each host that has one, from pages (page_id, url, host, html)."""
-    known = pages.where(F.length("html") > 0)
-    # of each host and slot the page with the smallest hash: counted on narrow rows, so that only references carry their html
-    rank = F.xxhash64("page_id", "url")
-    chosen = common.written(known.groupBy("host", F.pmod(rank, F.lit(REFERENCES)).alias("slot")).agg(F.min(rank).alias("rank")), "references")
-    found = known.withColumn("rank", rank).join(chosen.select("host", "rank"), ["host", "rank"]).select("host", "html")
+def frames(known: DataFrame, different: DataFrame) -> DataFrame:
+    """host, wrapper without a template, for each host with enough different pages."""
+    # chosen on narrow rows, so that only references carry their html; a task passes on REFERENCES rows a host at most
+    place = F.row_number().over(Window.partitionBy("host").orderBy("digest"))
+    chosen = common.written(different.withColumn("place", place).where(F.col("place") <= REFERENCES).select("host", "digest", "rank"), "references")
+    found = known.join(chosen, ["host", "digest", "rank"]).select("host", "html")
 
     def run(table: pa.Table) -> pa.Table:
-        pivot = induce(table.column("html").to_pylist())
-        made = [(table.column("host")[0].as_py(), packed(pivot))] if pivot is not None else []
+        frame = induce(table.column("html").to_pylist())
+        made = [(table.column("host")[0].as_py(), packed(frame))] if frame is not None else []
         return pa.table({"host": pa.array([h for h, _ in made], pa.string()), "wrapper": pa.array([w for _, w in made], pa.binary())})
 
     return found.groupBy("host").applyInArrow(run, "host string, wrapper binary")
 
 
+def salted(pages: DataFrame, learned: DataFrame, how: str) -> DataFrame:
+    """Pages with their host's wrapper."""
+    shares = learned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(shares, ["host", "salt"], how)
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, wrapper for each host that has one, from pages (page_id, url, host, html)."""
+    known = pages.where(F.length("html") > 0).withColumns({"digest": F.unhex(F.md5(F.col("html").cast("binary"))), "rank": F.xxhash64("page_id", "url")})
+    different = common.written(known.groupBy("host", "digest").agg(F.min("rank").alias("rank")), "different")
+    learned = common.written(frames(known, different), "frames")
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, frame, places = None, Node(""), {}
+        for piece in common.pieces(batches, "html"):
+            found = []
+            for page, raw in zip(piece.column("html").to_pylist(), piece.column("wrapper").to_pylist(), strict=True):
+                if raw != last:
+                    last, frame = raw, unpacked(raw)
+                    places = {id(n): k for k, n in enumerate(frame.walk())}
+                found.append(marks(places, frame, page))
+            kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([piece.column("host"), piece.column("digest"), pa.array(found, kind)], names=["host", "digest", "marks"])
+
+    # every page of the host has its say, copies together one; only keys of texts travel
+    said = salted(known, learned, "inner").select("host", "digest", "html", "wrapper").mapInArrow(aligned, "host string, digest binary, marks array<struct<node: int, text: long>>")
+    counts = said.dropDuplicates(["host", "digest"]).select("host", F.inline("marks")).groupBy("host", "node", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_REFERENCES)
+    most = counts.join(different.groupBy("host").agg(F.count("*").alias("pages")), "host").where(2 * F.col("n") > F.col("pages"))
+    # more than half of the pages: one text a node at most
+    template = most.groupBy("host").agg(F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts"))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for raw, nodes, texts in zip(*(batch.column(c).to_pylist() for c in ("wrapper", "nodes", "texts")), strict=True):
+                frame = unpacked(raw)
+                every = list(frame.walk())
+                for k, text in zip(nodes, texts, strict=True):
+                    every[k].template = text % (1 << 64)
+                made.append(packed(frame))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.binary())], names=["host", "wrapper"])
+
+    return learned.join(template, "host").select("host", "wrapper", "nodes", "texts").mapInArrow(marked, "host string, wrapper binary")
+
+
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """One row for each page: id, url, text, n_chars."""
     narrow = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), host(F.col(url_column)).alias("host"), F.col(html_column).alias("html"))
-    learned = common.written(wrappers(narrow), "wrappers").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    both = salted.join(learned, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper")
+    learned = common.written(wrappers(narrow), "wrappers")
+    both = salted(narrow, learned, "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes | None, Node | None] = (None, None)

@@ -65,3 +65,23 @@ def test_constant_nodes_become_template_and_slots_content(spark):
 
 def test_copies_of_one_page_make_no_template():
     assert extract.induce([page("T", ["a"])] * 5) is None
+
+
+def test_all_different_pages_of_a_host_count(spark):
+    rows = [(10 * h + i, f"http://h{h}.org/{i}", page(f"T{h} {i}", [f"first {i}"])) for h in range(12) for i in range(3)]  # three different pages are enough on every host
+    rows += [(1000 + i, f"http://copies.org/{i}", page("Copy", ["same"])) for i in range(300)]
+    rows += [(2000 + i, f"http://copies.org/other/{i}", page(f"O{i}", [f"first {i}"])) for i in range(3)]
+    found = by_id(extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    for h in range(12):
+        assert [found[10 * h + i].text for i in range(3)] == [f"T{h} {i} first {i}" for i in range(3)]
+    assert {found[1000 + i].text for i in range(300)} == {"Copy same"}
+    assert [found[2000 + i].text for i in range(3)] == [f"O{i} first {i}" for i in range(3)]
+
+
+def test_template_is_what_most_pages_of_a_host_say(spark):
+    # the note is on 18 of 40 pages, so that some five of them may have it mostly, but most have not
+    rows = [(i, f"http://h.org/{i}", page(f"T{i}", [f"first {i}"], note="Rare note" if i % 20 < 9 else f"Own {i}")) for i in range(40)]
+    for shift in range(6):
+        moved = [(k, f"{u}?{shift}", h.replace("</body>", f"<i>{shift}</i></body>")) for k, u, h in rows]
+        found = by_id(extract.extract(spark.createDataFrame(moved, "page_id long, url string, html string")), "page_id")
+        assert all(("Rare note" if i % 20 < 9 else f"Own {i}") in found[i].text for i in range(40))
