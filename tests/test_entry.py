@@ -39,6 +39,13 @@ def test_query(spark, oracle, name):
     assert sorted([cell(r[c]) for c in sorted(frame.columns)] for r in rows) == wanted
 
 
+def test_sizes_of_very_long_documents(spark, tmp_path):
+    sizes = [1023, 1536, (1 << 20) - 1, 1 << 20, 5 << 19, 5 << 29]
+    spark.createDataFrame([(i, "text", "en", "src0", n) for i, n in enumerate(sizes)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.size_text for r in registry.QUERIES["size_and_mime"](spark, str(tmp_path)).collect()}
+    assert found == {0: "1023 B", 1: "1.5 KB", 2: "1024.0 KB", 3: "1.0 MB", 4: "2.5 MB", 5: "2.50 GB"}
+
+
 def test_flagship(spark):
     frame = __spark_entry__.entry(spark)
     assert frame.columns[0] == "dir" and frame.first().n_files > 0
