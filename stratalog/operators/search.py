@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stratalog.functions import paths
 
@@ -22,6 +23,12 @@ def natural_key(name: Column) -> Column:
 MODES = ("name_asc", "name_desc", "size_asc", "size_desc", "date_asc", "date_desc", "kind")
 
 
+def placed(rows: DataFrame, name: str = "pos") -> DataFrame:
+    """Ordered rows with their places from 1 on: the sorted partitions are counted, then numbered, never brought to one task."""
+    numbered = rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    return rows.sparkSession.createDataFrame(numbered, StructType([*rows.schema.fields, StructField(name, LongType())]), verifySchema=False)
+
+
 def ordered(items: DataFrame, mode: str) -> DataFrame:
     """Folders first, then by mode; unknown dates are last both ways; ties by natural name, then path."""
     name = natural_key(F.col("name"))

@@ -176,6 +176,12 @@ def _(spark, sf_dir):
     return first.select("s_suppkey", "s_name", place.cast("long").alias("pos"))
 
 
+@query("sort_natural_all", "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey % 10 DESC, p_partkey DESC) AS pos FROM part")
+def _(spark, sf_dir):
+    rows = catalog.table(spark, sf_dir, "part").select("p_partkey", "p_name", F.format_string("part%d vol %d", F.col("p_partkey") % 10, "p_partkey").alias("name"), F.lit(False).alias("is_directory"), F.lit(None).cast("long").alias("mtime"), F.lit("").alias("kind"), F.col("p_partkey").alias("size"), F.col("p_name").alias("path"))
+    return search.placed(search.ordered(rows, "name_desc").select("p_partkey", "p_name"))
+
+
 @query("complete_topk", "SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 'small') ORDER BY p_name, 'part ' || p_partkey LIMIT 15")
 def _(spark, sf_dir):
     rows = catalog.table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_name").alias("name"), F.lit(False).alias("is_directory"), F.lit(False).alias("is_archive"), F.format_string("part %d", "p_partkey").alias("path"))
@@ -192,6 +198,11 @@ def _(spark, sf_dir):
     return tree.deepest_first(catalog.page_entries(spark, sf_dir).select("path", paths.depth(F.col("path")).alias("depth"))).limit(100)
 
 
+@query("deepest_first_all", f"WITH {_PAGES} SELECT path, CAST(len([s FOR s IN string_split(path, '/') IF s != '']) AS INTEGER) AS depth FROM p ORDER BY depth DESC, path DESC")
+def _(spark, sf_dir):
+    return tree.deepest_first(catalog.page_entries(spark, sf_dir).select("path", paths.depth(F.col("path")).alias("depth")))
+
+
 @query("fuzzy_search")
 def _(spark, sf_dir):
     rows = catalog.table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type", "p_name").alias("path"), F.col("p_name").alias("name"))
