@@ -12,16 +12,19 @@ joined by one space in page order.
 
 Defined results: null and empty html give an empty text; a null or hostless URL has the host ""; hosts with fewer than ``LEAST_REFERENCES``
 different pages have no template; repeated pages are extracted alike; broken markup is read as far as it
-goes; elements deeper than ``DEEPEST`` hang on their ancestor there.
+goes, at any depth and length.
 """
 
 from __future__ import annotations
 
 import html as references
+import math
 import pickle
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,11 +33,10 @@ from pyspark.sql import functions as F
 from stratalog.llm import common
 
 REFERENCES, LEAST_REFERENCES = 5, 3
-DEEPEST = 150
 #: A host's pages meet its wrapper in so many shares, so that a host with a third of all pages is no single task.
 SALTS = 16
-#: Beyond so many pairs of unlike children, they are matched by tag in order.
-MOST_PAIRS = 250_000
+#: Scores of pairs of shapes are kept for the next pages; beyond so many, they are forgotten and found anew.
+KEPT_SCORES = 500_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -57,12 +59,13 @@ _NONE_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
 class Node:
-    __slots__ = ("dropped", "kids", "shape", "size", "tag", "template")
+    __slots__ = ("dropped", "inner", "kids", "shape", "size", "tag", "template")
 
     def __init__(self, tag: str, dropped: bool = False) -> None:
         self.tag, self.dropped, self.kids = tag, dropped, []
         self.template: int | None = None
         self.shape = self.size = 0
+        self.inner: list[Node] = []
 
     def elements(self) -> list[Node]:
         return [k for k in self.kids if isinstance(k, Node)]
@@ -71,9 +74,9 @@ class Node:
         return " ".join("".join(k if isinstance(k, str) else " " for k in self.kids).split())
 
     def measured(self) -> Node:
-        """Sets the shape (what tags are where) and the size of every subtree, in one walk without recursion."""
+        """Sets the shape (what tags are where), the size and the elements of every subtree, in one walk without recursion."""
         for node in reversed(list(self.walk())):
-            kids = node.elements()
+            kids = node.inner = node.elements()
             node.size = 1 + sum(k.size for k in kids)
             node.shape = hash((node.tag, *(k.shape for k in kids)))
         return self
@@ -103,6 +106,21 @@ def parse(page: str) -> Node:
     """The page as a tree; never fails."""
     root = Node("#root")
     stack, at, size = [root], 0, len(page)
+    # where the open elements of each tag are, and the fences: no search through a deep stack
+    places: dict[str, list[int]] = {}
+    fences: list[int] = []
+
+    def last(tag: str) -> int:
+        found = places.get(tag)
+        return found[-1] if found else 0
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in FENCES:
+                fences.pop()
+
     while at < size:
         found = _TOKEN.search(page, at)
         if found is None:
@@ -116,26 +134,26 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if closing:
-            inside = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag or stack[d].tag in FENCES and tag not in FENCES), 0)
-            if inside and stack[inside].tag == tag:
-                del stack[inside:]
+            inside = last(tag)
+            if inside and (tag in FENCES or not fences or inside > fences[-1]):
+                close(inside)
             else:
                 stack[-1].kids.append(Node(tag))  # it closes nothing, but a block's end parts what is around it
             continue
         ended = ENDS.get(tag) or ({"p"} if tag in PARAGRAPH_ENDS else None)
         if ended:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in ended:
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in FENCES:
-                    break
+            inside = max(last(t) for t in ended)
+            if inside and (not fences or inside >= fences[-1]):
+                close(inside)
         node = Node(tag, is_dropped(tag, attributes))
         stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
-        elif tag not in VOID and not attributes.endswith("/") and len(stack) < DEEPEST:
+        elif tag not in VOID and not attributes.endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
+            if tag in FENCES:
+                fences.append(len(stack))
             stack.append(node)
     return root
 
@@ -143,46 +161,121 @@ def parse(page: str) -> Node:
 # -- simple tree matching ---------------------------------------------------------------------
 
 
+_SCORES: dict[tuple[int, int], int] = {}
+
+
 def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """How many nodes of two measured trees pair up at most, and the pairs."""
     if a.tag != b.tag:
         return 0, []
-    pairs, left, right = [(a, b)], a.elements(), b.elements()
-    # like subtrees at both ends pair up wholly: nothing can be better
+    if len(_SCORES) > KEPT_SCORES:
+        _SCORES.clear()
+    pairs: list[tuple[Node, Node]] = []
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if x.shape == y.shape:
+            pairs += zip(x.walk(), y.walk(), strict=True)
+            continue
+        pairs.append((x, y))
+        left, right, like = unlike(x, y)
+        todo += like
+        if left and right:
+            todo += between(left, right)
+    return len(pairs), pairs
+
+
+def unlike(a: Node, b: Node) -> tuple[list[Node], list[Node], list[tuple[Node, Node]]]:
+    """The children between like subtrees at both ends, and those, which pair up wholly: nothing can be better."""
+    left, right = a.inner, b.inner
     head, tail = 0, 0
     most = min(len(left), len(right))
     while head < most and left[head].shape == right[head].shape:
         head += 1
     while tail < most - head and left[-1 - tail].shape == right[-1 - tail].shape:
         tail += 1
-    for x, y in [*zip(left[:head], right[:head], strict=True), *zip(left[len(left) - tail :], right[len(right) - tail :], strict=True)]:
-        pairs += zip(x.walk(), y.walk(), strict=True)
-    left, right = left[head : len(left) - tail], right[head : len(right) - tail]
-    if left and right:
-        pairs += between(left, right)
-    return len(pairs), pairs
+    ends = [*zip(left[:head], right[:head], strict=True), *zip(left[len(left) - tail :], right[len(right) - tail :], strict=True)]
+    return left[head : len(left) - tail], right[head : len(right) - tail], ends
+
+
+def score(a: Node, b: Node) -> int:
+    """How many nodes of two subtrees pair up at most: by shapes, each pair of shapes once, without recursion."""
+
+    def known(x: Node, y: Node) -> int | None:
+        return 0 if x.tag != y.tag else x.size if x.shape == y.shape else _SCORES.get((x.shape, y.shape))
+
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        if known(x, y) is not None:
+            todo.pop()
+            continue
+        left, right, like = unlike(x, y)
+        lefts, rights = {n.shape: n for n in left}.values(), {n.shape: n for n in right}.values()
+        missing = [(p, q) for p in lefts for q in rights if known(p, q) is None]
+        if missing:
+            todo += missing
+            continue
+        best = 0
+        if left and right:
+            best = int(rows_of(table(left, right), np.zeros(len(right) + 1, np.int64), 0, len(left))[0][0])
+        _SCORES[x.shape, y.shape] = 1 + sum(p.size for p, _ in like) + best
+        todo.pop()
+    found = known(a, b)
+    return found if found is not None else 0
+
+
+class Table(NamedTuple):
+    """The scores of all pairs of two lists by kinds of shapes: row by row without a cell for each pair."""
+
+    scores: np.ndarray
+    left: list[int]
+    right: np.ndarray
+
+
+def table(left: list[Node], right: list[Node]) -> Table:
+    """Of lists whose scores are known."""
+    lefts, rights = {n.shape: n for n in left}, {n.shape: n for n in right}
+    scores = np.array([[score(p, q) for q in rights.values()] for p in lefts.values()], dtype=np.int64)
+    rows, columns = {s: k for k, s in enumerate(lefts)}, {s: k for k, s in enumerate(rights)}
+    return Table(scores, [rows[n.shape] for n in left], np.array([columns[n.shape] for n in right]))
+
+
+def rows_of(t: Table, below: np.ndarray, start: int, stop: int, every: int = 0) -> list[np.ndarray]:
+    """The best sums from row start (first) to the given one below row stop - 1: only the first, or each that every divides, or all if every is 1."""
+    kept = []
+    for i in range(stop - 1, start - 1, -1):
+        pair = t.scores[t.left[i]][t.right]
+        row = np.empty_like(below)
+        row[-1] = 0
+        row[:-1] = np.where(pair > 0, np.maximum(below[:-1], pair + below[1:]), below[:-1])
+        below = np.maximum.accumulate(row[::-1])[::-1]
+        if i == start or every and i % every == 0:
+            kept.append(below)
+    return kept[::-1]
 
 
 def between(left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
-    """The pairs of an in-order matching of unlike children with the largest score."""
-    if len(left) * len(right) > MOST_PAIRS:
-        return [p for x, y in zip(left, right, strict=False) for p in align(x, y)[1]]
-    known = {(i, j): align(x, y) for i, x in enumerate(left) for j, y in enumerate(right) if x.tag == y.tag}
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i in range(len(left) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(right) - 1, -1, -1):
-            score = known[i, j][0] + below[j + 1] if (i, j) in known else 0
-            row[j] = max(score, below[j], row[j + 1])
+    """The pairs of an in-order matching of unlike children with the largest score; some rows are kept, the others found again block by block."""
+    # scores first: no pair of shapes is looked at twice
+    t, n = table(left, right), len(left)
+    block = math.isqrt(n - 1) + 1
+    last = np.zeros(len(right) + 1, np.int64)
+    marks = [*rows_of(t, last, 0, n, block), last]
     out, i, j = [], 0, 0
-    while i < len(left) and j < len(right):
-        if (i, j) in known and best[i][j] == known[i, j][0] + best[i + 1][j + 1]:
-            out += known[i, j][1]
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
+    for k in range(len(marks) - 1):
+        stop = min(n, (k + 1) * block)
+        rows = [*rows_of(t, marks[k + 1], k * block, stop, 1), marks[k + 1]]
+        while i < stop and j < len(right):
+            here, below = rows[i - k * block], rows[i - k * block + 1]
+            pair = t.scores[t.left[i], t.right[j]]
+            if pair and here[j] == pair + below[j + 1]:
+                out.append((left[i], right[j]))
+                i, j = i + 1, j + 1
+            elif here[j] == below[j]:
+                i += 1
+            else:
+                j += 1
     return out
 
 
@@ -210,21 +303,22 @@ def signed(key: int) -> int:
 
 
 def packed(node: Node) -> bytes:
-    """A wrapper as bytes: tags and template keys."""
-
-    def nested(n: Node) -> tuple:
-        return (n.tag, n.template, [nested(k) for k in n.elements()])
-
-    return pickle.dumps(nested(node))
+    """A wrapper as bytes: tags, template keys and numbers of children in page order."""
+    return pickle.dumps([(n.tag, n.template, len(n.elements())) for n in node.walk()])
 
 
 def unpacked(raw: bytes) -> Node:
-    def built(x: tuple) -> Node:
-        node = Node(x[0])
-        node.template, node.kids = x[1], [built(k) for k in x[2]]
-        return node
-
-    return built(pickle.loads(raw)).measured()
+    root = Node("")
+    open_nodes = [[root, 1]]
+    for tag, template, n in pickle.loads(raw):
+        while not open_nodes[-1][1]:
+            open_nodes.pop()
+        node = Node(tag)
+        node.template = template
+        open_nodes[-1][0].kids.append(node)
+        open_nodes[-1][1] -= 1
+        open_nodes.append([node, n])
+    return root.kids[0].measured()
 
 
 def main_text(page: str | None, wrapper: Node | None = None) -> str:
@@ -235,24 +329,21 @@ def main_text(page: str | None, wrapper: Node | None = None) -> str:
     template: set[int] = set()
     if wrapper is not None:
         template = {id(y) for x, y in align(wrapper, tree.measured())[1] if x.template is not None and text_key(y.own_text()) == x.template}
-    bodies = [n for n in shown(tree) if n.tag in ("article", "main")]
-    tops = [n for n in bodies if not any(n is not m and any(n is k for k in m.walk()) for m in bodies)] if len(bodies) > 1 else bodies
+    tops, todo = [], [tree]
+    while todo:  # the outermost bodies that are not inside a dropped element
+        node = todo.pop()
+        if node.dropped:
+            continue
+        if node.tag in ("article", "main"):
+            tops.append(node)
+        else:
+            todo += reversed(node.elements())
     blocks: list[str] = []
     for top in tops or [tree]:
         collect(top, template, blocks, bool(tops))
     return " ".join(t for b in blocks if (t := " ".join(b.split())))
 
 
-def shown(tree: Node) -> Iterator[Node]:
-    """All nodes that are not inside a dropped one."""
-    todo = [tree]
-    while todo:
-        node = todo.pop()
-        if not node.dropped:
-            yield node
-            todo += reversed(node.elements())
-
-
 def collect(top: Node, template: set[int], blocks: list[str], in_article: bool) -> None:
     """Appends the blocks of a subtree in page order."""
     current: list[str] = []

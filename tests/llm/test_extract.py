@@ -85,3 +85,46 @@ def test_template_is_what_most_pages_of_a_host_say(spark):
         moved = [(k, f"{u}?{shift}", h.replace("</body>", f"<i>{shift}</i></body>")) for k, u, h in rows]
         found = by_id(extract.extract(spark.createDataFrame(moved, "page_id long, url string, html string")), "page_id")
         assert all(("Rare note" if i % 20 < 9 else f"Own {i}") in found[i].text for i in range(40))
+
+
+def test_long_lists_are_matched_exactly():
+    rng = random.Random(5)
+    kinds = ["<div><b></b></div>", "<div><i></i><i></i></div>", "<p></p>", "<span><b></b></span>", "<div></div>", "<ul><li></li></ul>"]
+    for n, m in ((300, 900), (1, 40), (7, 3)):
+        a, b = (tree("<main>" + "".join(rng.choices(kinds, k=k)) + "</main>") for k in (n, m))
+        score, pairs = extract.align(a, b)
+        small = {(x.shape, y.shape): brute_score(x, y) for x in a.elements()[0].elements() for y in b.elements()[0].elements()} if n < 300 else None
+        if small is None:
+            seen = {}
+            best = [0] * (m + 1)
+            for x in a.elements()[0].elements():
+                row = [0]
+                for j, y in enumerate(b.elements()[0].elements()):
+                    key = (x.shape, y.shape)
+                    if key not in seen:
+                        seen[key] = brute_score(x, y)
+                    row.append(max(best[j + 1], row[j], best[j] + seen[key]))
+                best = row
+            assert score == best[-1] + 2
+        else:
+            assert score == brute_score(a, b)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs) == score
+
+
+def test_deep_elements_keep_their_place():
+    deep = "<div>" * 200
+    assert extract.main_text(f"<div><article>{deep}text</div>{'</div>' * 199}<p>more</p></article></div>out") == "text more"
+    assert extract.main_text(f"{deep}<nav>no<b>no</b></nav><aside>no</aside>yes") == "yes"
+    far = tree("<b>" * 30_000 + "x"), tree("<b>" * 29_000 + "<i>x</i>")
+    assert extract.align(*far)[0] == 29_001
+    assert extract.main_text("<div>" * 50_000 + "deep" + "</span>" * 50_000, extract.unpacked(extract.packed(far[0]))) == "deep"
+
+
+def test_template_in_long_pages_survives_an_inserted_block(spark):
+    def long_page(i):
+        items = [f"<p>item {i} {k}</p>" if k % 2 else f"<div>item {i} {k}</div>" for k in range(600 + i)]
+        return "<body>" + ("<h2>New</h2>" if i % 2 else "") + "".join(items[:300]) + "<h3>Always here</h3>" + "".join(items[300:]) + "<h4>End</h4></body>"
+
+    rows = [(i, f"http://long.org/{i}", long_page(i)) for i in range(6)]
+    found = by_id(extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert all("Always here" not in found[i].text and "End" not in found[i].text and f"item {i} 599" in found[i].text for i in range(6))
