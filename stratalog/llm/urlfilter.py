@@ -4,7 +4,7 @@ A rule fits its host and all subdomains where the path starts as the rule's does
 URLs that a rule fits are the labelled ones: trees learn from a bounded number of them (``LEARN_ROWS``,
 chosen by a hash of the URL), and judge the rest.  Features are lengths, depths, the share of digits, the
 entropy of the host's characters, parameters, and statistics over all labelled URLs of two affixes, the host's
-suffix and the path's first segment: block share and frequency, for the ``AFFIX_VALUES`` most frequent values of each.
+suffix and the path's first segment: block share and frequency of every value, in a table that Spark broadcasts if it is small.
 
 Learning is histogram boosting: values become bins by the sample's quantiles, equal rows are counted, and
 each level of a tree is one aggregation of gradients by node, feature and bin, whose few sums choose the splits.
@@ -33,7 +33,7 @@ class Rule(NamedTuple):
 
 #: The rules of the query.
 RULES = (Rule("com", "/", False), Rule("example.com", "/en/", True), Rule("www.example.com", "/en/", False), Rule("net", "/es/", True), Rule("net", "/fr/", True))
-LEARN_ROWS, AFFIX_VALUES, BINS = 20_000, 1024, 16
+LEARN_ROWS, BINS = 20_000, 16
 AFFIXES = ("suffix", "section")
 TREES, DEPTH, RATE, SMOOTH = 8, 2, 0.6, 1.0
 FEATURES = ("url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_share", "host_entropy", "parameters", "hyphens", "suffix_blocked", "suffix_share", "section_blocked", "section_share")
@@ -93,9 +93,9 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 class Model(NamedTuple):
-    """affixes: (value, block share, frequency) of a bounded number for each; cuts by feature; trees as nested (feature, bin, left, right) or leaf values."""
+    """affixes: a table of values, block shares and frequencies for each; cuts by feature; trees as nested (feature, bin, left, right) or leaf values."""
 
-    affixes: dict[str, list[tuple[str, float, float]]]
+    affixes: dict[str, DataFrame]
     usual: float
     cuts: dict[str, list[float]]
     base: float
@@ -111,8 +111,10 @@ class Model(NamedTuple):
 def with_affixes(urls: DataFrame, model: Model) -> DataFrame:
     for affix in AFFIXES:
         blocked, share = f"{affix}_blocked", f"{affix}_share"
-        table = urls.sparkSession.createDataFrame(model.affixes.get(affix, []), f"{affix} string, {blocked} double, {share} double")
-        urls = urls.join(F.broadcast(table), affix, "left")  # at most AFFIX_VALUES rows
+        if affix not in model.affixes:
+            urls = urls.withColumns({blocked: F.lit(model.usual), share: F.lit(0.0)})
+            continue
+        urls = urls.join(model.affixes[affix], affix, "left")
         urls = urls.withColumns({blocked: F.coalesce(blocked, F.lit(model.usual)), share: F.coalesce(share, F.lit(0.0))})
     return urls
 
@@ -140,7 +142,7 @@ def train(labelled: DataFrame) -> Model:
     affixes = {}
     for affix in AFFIXES:
         counts = labelled.groupBy(affix).agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("k"))
-        affixes[affix] = [(r[affix], (r["k"] + 1) / (r["n"] + 2), r["n"] / n) for r in counts.orderBy(F.desc("n"), affix).limit(AFFIX_VALUES).collect()]
+        affixes[affix] = common.written(counts.select(affix, ((F.col("k") + 1) / (F.col("n") + 2)).alias(f"{affix}_blocked"), (F.col("n") / n).alias(f"{affix}_share")), affix)
     model = Model(affixes, k / n, {}, math.log(k / (n - k)), [])
     share = min(1.0, 1.2 * LEARN_ROWS / n)
     rank = common.hash_rank("url")

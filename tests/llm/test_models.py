@@ -155,6 +155,16 @@ def test_trees_learn_what_rules_label(spark):
     assert np.mean([r.ok for r in tested]) > 0.95
 
 
+def test_url_statistics_of_every_section(spark):
+    rows = [(f"http://h.com/s{k:04d}/{i}", k % 2 == 0) for k in range(1500) for i in range(2)]
+    frame = spark.createDataFrame(rows, "url string, blocked boolean")
+    host, path = urlfilter.parts(frame.url)
+    known = urlfilter.lexical(frame.withColumns({"host": host, "path": path}))
+    found = urlfilter.with_affixes(known, urlfilter.train(known)).collect()
+    assert len(found) == 3000
+    assert all((r.section_blocked, r.section_share, r.suffix_share) == (0.75 if r.blocked else 0.25, 2 / 3000, 1.0) for r in found)
+
+
 def test_url_filter_without_labels(spark):
     pages = spark.createDataFrame([(1, "http://b.org/x"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in urlfilter.judge(pages).collect()} == {"allow"}
