@@ -413,6 +413,14 @@ def _(spark, sf_dir):
     return codecs.matrix_points(codecs.matrix(_payloads(spark, sf_dir), "doc_id", configs)).select("codec", "level", "original", "round_trip")
 
 
+_CONFIGS = ", ".join(f"('{name}', {level})" for name, level in codecs.CONFIGS)
+
+
+@query("codec_matrix_all", f"SELECT codec, level, CAST(sum(strlen(text)) AS BIGINT) AS original, true AS round_trip FROM documents, (VALUES {_CONFIGS}) AS c(codec, level) WHERE text <> '' GROUP BY codec, level")
+def _(spark, sf_dir):
+    return codecs.matrix_points(codecs.matrix(_payloads(spark, sf_dir), "doc_id")).select("codec", "level", "original", "round_trip")
+
+
 # -- safety -----------------------------------------------------------------------------------
 
 

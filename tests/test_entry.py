@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
+from stratalog.operators import codecs
 from stratalog.plans import registry
 from stratalog.streaming import throttle
 
@@ -58,6 +59,11 @@ def test_whole_orders(spark):
     assert [(r.path, r.depth) for r in rows[:100]] == [(r.path, r.depth) for r in registry.QUERIES["deepest_first"](spark, sf).collect()]
 
 
+def test_every_codec_configuration_is_run(spark):
+    rows = registry.QUERIES["codec_matrix_all"](spark, DIR).collect()
+    assert {(r.codec, r.level) for r in rows} == set(codecs.CONFIGS) and len(rows) == 64 and all(r.round_trip for r in rows)
+
+
 def test_flagship(spark):
     frame = __spark_entry__.entry(spark)
     assert frame.columns[0] == "dir" and frame.first().n_files > 0
