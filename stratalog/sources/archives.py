@@ -46,9 +46,9 @@ def entries(archives: DataFrame, with_payload: bool = False, key: str = "path",
     """A row for each entry of each archive; a broken archive is one row with an error.  salvage reads what headers are left."""
     columns = ["archive_id", *containers.FIELDS, "name", "ext", "error", *["payload"] * with_payload]
 
-    def read(data: bytes) -> tuple[list[dict], str | None]:
+    def read(data: bytes, name: str) -> tuple[list[dict], str | None]:
         if not salvage:
-            _, rows, error = containers.entries(data, with_payload)
+            _, rows, error = containers.entries(data, with_payload, name)
             return rows, error
         if containers.kind_of(data) == "tar":
             return list(containers.salvage_tar(data)), None
@@ -57,7 +57,7 @@ def entries(archives: DataFrame, with_payload: bool = False, key: str = "path",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, data in zip(batch["key"], batch["content"], strict=True):
-                rows, error = read(bytes(data)) if data is not None else ([], "no content")
+                rows, error = read(bytes(data), str(archive)) if data is not None else ([], "no content")
                 made = pd.DataFrame([{c: r.get(c) for c in (*containers.FIELDS, "payload")} for r in rows or [{}]], dtype=object)
                 yield _named(made).assign(archive_id=archive, error=error)[columns]
 
@@ -174,7 +174,7 @@ class _ArchiveReader(DataSourceReader):
 
         with open(partition.value, "rb") as file:
             try:
-                for row in containers.file_entries(file):
+                for row in containers.file_entries(file, partition.value):
                     row = shaped(row, None)
                     if self.passes(row):
                         yield tuple(row.get(c) for c in self.columns)

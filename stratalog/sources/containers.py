@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bz2
+import gzip
 import io
 import lzma
 import struct
@@ -13,6 +14,8 @@ from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from typing import BinaryIO
 
+import pyarrow as pa
+
 from stratalog.sources import sevenz
 
 #: Columns of an entry, in the order of the entries schema.
@@ -117,9 +120,9 @@ def salvage_zip(data: bytes, with_payload: bool = False) -> Iterator[dict]:
 # -- tar --------------------------------------------------------------------------------------
 
 
-def tar_entries(data: bytes | BinaryIO, with_payload: bool = False) -> Iterator[dict]:
+def tar_entries(data: bytes | BinaryIO, with_payload: bool = False, mode: str = "r:*") -> Iterator[dict]:
     """Rows of a TAR file, plain or compressed; sizes packed and checksums are unknown in this format."""
-    with tarfile.open(fileobj=_file(data), mode="r:*") as archive:
+    with tarfile.open(fileobj=_file(data), mode=mode) as archive:
         for k, info in enumerate(archive):
             extra = {key: str(value) for key, value in info.pax_headers.items()}
             extra |= {"uid": str(info.uid), "gid": str(info.gid), "uname": info.uname, "gname": info.gname, "typeflag": info.type.decode("latin-1")}
@@ -159,6 +162,122 @@ def salvage_tar(data: bytes) -> Iterator[dict]:
             at += -(-size // 512) * 512 if info.isreg() else 0
 
 
+# -- single streams ---------------------------------------------------------------------------
+
+SNAPPY_MAGIC = b"\xff\x06\0\0sNaPpY"
+ENDINGS = {"gzip": ("gz", "gzip"), "bzip2": ("bz2", "bz"), "xz": ("xz",), "zstd": ("zst", "zstd"), "snappy": ("sz", "snappy"), "brotli": ("br",)}
+
+
+def stream_kind(head: bytes, name: str = "") -> str | None:
+    """The codec of a compressed stream by its first bytes; Brotli has none and goes by name."""
+    for kind, magic in (("gzip", b"\x1f\x8b"), ("bzip2", b"BZh"), ("xz", b"\xfd7zXZ\0"), ("zstd", b"\x28\xb5\x2f\xfd"), ("snappy", SNAPPY_MAGIC)):
+        if head.startswith(magic):
+            return kind
+    return "brotli" if name.lower().endswith(".br") else None
+
+
+_CRC32C = []
+for _n in range(256):
+    for _ in range(8):
+        _n = _n >> 1 ^ (0x82F63B78 if _n & 1 else 0)
+    _CRC32C.append(_n)
+
+
+def _masked_crc32c(data: bytes) -> int:
+    crc = 0xFFFFFFFF
+    for b in data:
+        crc = _CRC32C[(crc ^ b) & 255] ^ crc >> 8
+    crc ^= 0xFFFFFFFF
+    return (crc >> 15 | crc << 17) + 0xA282EAD8 & 0xFFFFFFFF
+
+
+class _Snappy(io.RawIOBase):
+    """Reads the framed format chunk by chunk."""
+
+    def __init__(self, file: BinaryIO) -> None:
+        self.file, self.rest, self.codec = file, b"", pa.Codec("snappy")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into: memoryview) -> int:
+        while not self.rest:
+            head = self.file.read(4)
+            if not head:
+                return 0
+            size = int.from_bytes(head[1:4], "little")
+            body = self.file.read(size)
+            if len(head) < 4 or len(body) < size:
+                raise EOFError("snappy stream is cut")
+            if head[0] in (0, 1):
+                plain = body[4:]
+                if head[0] == 0:
+                    length = shift = 0
+                    for b in plain[:5]:
+                        length, shift = length | (b & 127) << shift, shift + 7
+                        if b < 128:
+                            break
+                    if length > 65_536:
+                        raise ValueError("snappy chunk is too long")
+                    plain = self.codec.decompress(plain, length, asbytes=True)
+                if _masked_crc32c(plain) != int.from_bytes(body[:4], "little"):
+                    raise ValueError("snappy chunk has the wrong checksum")
+                self.rest = plain
+            elif head[0] < 0x80:
+                raise ValueError("unknown snappy chunk")
+        n = min(len(into), len(self.rest))
+        into[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+class _Lent(io.RawIOBase):
+    """A file that stays open when its reader is closed."""
+
+    def __init__(self, file: BinaryIO) -> None:
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into: memoryview) -> int:
+        found = self.file.read(len(into))
+        into[: len(found)] = found
+        return len(found)
+
+
+def opened(file: BinaryIO, kind: str) -> BinaryIO:
+    """The plain bytes of a compressed stream."""
+    if kind == "snappy":
+        return io.BufferedReader(_Snappy(file))
+    if kind in ("zstd", "brotli"):
+        return pa.CompressedInputStream(pa.PythonFile(_Lent(file), mode="r"), kind)
+    return {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}[kind](file)
+
+
+def stream_entries(file: BinaryIO, kind: str, name: str = "", with_payload: bool = False) -> Iterator[dict]:
+    """Rows of the TAR file in a compressed stream, or else one row for what the stream holds."""
+    packed = file.seek(0, io.SEEK_END)
+    file.seek(0)
+    head = opened(file, kind).read(512)
+    file.seek(0)
+    stream = opened(file, kind)
+    if len(head) == 512 and (head[257:262] == b"ustar" or not any(head) or tar_checksum_ok(head)):
+        yield from tar_entries(stream, with_payload, "r|")
+        return
+    size, crc, kept = 0, 0, []
+    while piece := stream.read(1 << 20):
+        size, crc = size + len(piece), zlib.crc32(piece, crc)
+        if with_payload:
+            kept.append(piece)
+    base = name.rsplit("/", 1)[-1]
+    stem, _, ending = base.rpartition(".")
+    row = {
+        "entry_idx": 0, "path": stem if stem and ending.lower() in ENDINGS[kind] else base or "data", "uncompressed_size": size, "compressed_size": packed, "crc32": crc, "mtime_epoch": None, "mode": None,
+        "is_directory": False, "is_encrypted": False, "method": kind, "link_target": None, "extra": {},
+    }
+    yield row | {"payload": b"".join(kept)} if with_payload else row
+
+
 # -- both -------------------------------------------------------------------------------------
 
 
@@ -170,7 +289,7 @@ def _file(data: bytes | BinaryIO) -> BinaryIO:
 BROKEN = (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, ValueError, zlib.error, lzma.LZMAError, struct.error, NotImplementedError, IndexError, MemoryError, RuntimeError)
 
 
-def file_entries(file: BinaryIO) -> Iterator[dict]:
+def file_entries(file: BinaryIO, name: str = "") -> Iterator[dict]:
     """Rows of an open file; of ZIP files only the directory is read, of plain TAR files only the headers.  Raises what is in BROKEN."""
     size = file.seek(0, io.SEEK_END)
     file.seek(max(0, size - 65_557))
@@ -179,6 +298,8 @@ def file_entries(file: BinaryIO) -> Iterator[dict]:
     head = file.read(512)
     file.seek(0)
     kind = kind_of(head + tail)
+    if kind in ("tar", "unknown") and (stream := stream_kind(head, name)):
+        return stream_entries(file, stream, name)
     if kind == "7z":
         return sevenz.entries(file.read())
     if kind == "unknown":
@@ -196,10 +317,12 @@ def kind_of(data: bytes) -> str:
     return "unknown"
 
 
-def entries(data: bytes, with_payload: bool = False) -> tuple[str, list[dict], str | None]:
+def entries(data: bytes, with_payload: bool = False, name: str = "") -> tuple[str, list[dict], str | None]:
     """Kind, rows and error of a container; a broken one gives an error, never an exception."""
     kind = kind_of(data)
     try:
+        if kind in ("tar", "unknown") and (stream := stream_kind(data[:512], name)):
+            return kind if kind == "tar" else stream, list(stream_entries(io.BytesIO(data), stream, name, with_payload)), None
         if kind == "zip":
             return kind, list(zip_entries(data, with_payload)), None
         if kind == "tar":

@@ -1,8 +1,12 @@
+import bz2
+import gzip
 import io
+import lzma
 import struct
 import tarfile
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +187,26 @@ def test_reports(spark, tmp_path):
     diff_rows = spark.createDataFrame([("p", None)], "path string, status string")
     assert reports.as_json(diff_rows, "diff").first()[0] == '{"path":"p","status":null}'
     assert reports.corpus(spark, "noise", 2).where("length(payload) = 2048").count() == 2 and reports.corpus(spark, "xml", 1).first().payload[:7] == b"<items>"
+
+
+def test_compressed_streams(spark):
+    codecs = {c: pa.Codec(c) for c in ("brotli", "zstd", "snappy")}
+    plain, tar = b"hello " * 20_000, containers.pack_tar(FILES)
+
+    def snappy(data):
+        out = containers.SNAPPY_MAGIC
+        for at in range(0, len(data), 65_536):
+            body = containers._masked_crc32c(data[at : at + 65_536]).to_bytes(4, "little") + codecs["snappy"].compress(data[at : at + 65_536], asbytes=True)
+            out += b"\0" + len(body).to_bytes(3, "little") + body
+        return out
+
+    pack = {"br": lambda b: codecs["brotli"].compress(b, asbytes=True), "zst": lambda b: codecs["zstd"].compress(b, asbytes=True), "sz": snappy, "gz": gzip.compress, "bz2": bz2.compress, "xz": lzma.compress}
+    assert containers._masked_crc32c(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
+    rows = [(f"/in/{what}.{e}", f(data)) for e, f in pack.items() for what, data in (("notes.txt", plain), ("all.tar", tar))]
+    rows += [(f"/in/cut.{e}", f(plain)[:-9]) for e, f in pack.items()]
+    found = archives.entries(spark.createDataFrame(rows, "path string, content binary"), with_payload=True).collect()
+    for e in pack:
+        (one,) = [r for r in found if r.archive_id == f"/in/notes.txt.{e}"]
+        assert (one.path, one.uncompressed_size, bytes(one.payload), one.error) == ("notes.txt", len(plain), plain, None), e
+        assert [(r.path, r.error) for r in found if r.archive_id == f"/in/all.tar.{e}"] == [(p, None) for p, _, _ in FILES], e
+        assert [r.path for r in found if r.archive_id == f"/in/cut.{e}" and r.error] == [None], e
