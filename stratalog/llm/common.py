@@ -6,14 +6,16 @@ bounded number of bytes first, so that memory does not follow the batch size Spa
 
 from __future__ import annotations
 
-import atexit
+import contextlib
+import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a piece of a batch holds at most (one row may be longer).
@@ -36,50 +38,92 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir, or one set here where it is unset (tests)."""
+    """The folder all executors and the driver see: spark.checkpoint.dir.  Where it is unset, a session on one machine gets one of its own; a cluster must name one."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
-    import tempfile
-
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalog-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(hadoop).delete(where, True)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit; the folder is scratch
-        return
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder in the shared one, deleted when the driver ends."""
-    path = f"{shared_root(spark)}/stratalog-{what}-{uuid.uuid4().hex[:12]}"
-    atexit.register(delete, spark, path)
-    return path
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
 
 
 #: Removes a query's shuffle files when it ends, so that steps do not add up on disk; a table is all that is read again.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+#: What sessions had set, and how many writes go on in them.
+_WRITING: dict[str, list] = {}
+
+
+@contextlib.contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """The cleanup holds while any write goes on in the session: the first sets it, the last puts back what was there."""
+    key = spark._jsparkSession.sessionUUID()
+    with _LOCK:
+        state = _WRITING.setdefault(key, [spark.conf.get(_CLEANUP, "false"), 0])
+        state[1] += 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            state[1] -= 1
+            if not state[1]:
+                spark.conf.set(_CLEANUP, state[0])
+                del _WRITING[key]
 
 
 def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, in one folder for each value of a column if asked."""
+    """Cuts the lineage: df as a Parquet table in the shared folder, in one folder for each value of a column if asked.
+
+    The folder goes when its successor is written (``discard``), or else when the JVM ends, also if the session was stopped before.
+    """
     spark = df.sparkSession
-    path, before = scratch(spark, what), spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    path = f"{shared_root(spark)}/stratalog-{what}-{uuid.uuid4().hex[:12]}"
     try:
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        with cleaning(spark):
+            writer = df.write.option("compression", "zstd")
+            (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        files, where = _file_system(spark, path)
+        files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of written() that no plan reads any more."""
+    for table in tables:
+        if (path := getattr(table, "scratch_path", None)) is not None:
+            delete(table.sparkSession, path)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores more as it takes to clash with no column, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and back quotes included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -266,3 +310,12 @@ def sampled(df: DataFrame, key: str, limit: int) -> DataFrame:
     """At most limit rows, chosen by the hash of a key, alike on every run; a sieve by expected share goes first."""
     share = min(1.0, 1.2 * limit / max(1, df.count()))
     return df.withColumn("__rank", hash_rank(key)).where(F.col("__rank") < share).orderBy("__rank", key).limit(limit).drop("__rank")
+
+
+def within(df: DataFrame, size: Column, room: int, *order: str) -> DataFrame:
+    """The first rows in an order, as long as the sizes of those before them add up to less than the room: what goes to the driver is bounded here, in Spark.
+
+    df has a bounded number of rows already (see sampled); the window is over those.
+    """
+    before = F.coalesce(F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("__before", before).where(F.col("__before") < room).drop("__before")

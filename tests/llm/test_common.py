@@ -1,4 +1,7 @@
 import os
+import subprocess
+import sys
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +16,41 @@ def test_tables_are_written_to_the_shared_folder(spark):
     assert sorted((r.k, r["count"]) for r in df.collect()) == [(0, 4), (1, 3), (2, 3)]
     assert df.inputFiles()[0].removeprefix("file://").startswith(root.removeprefix("file:"))
     assert spark.conf.get(common._CLEANUP) == "false"
-    path = common.scratch(spark, "gone")
-    os.makedirs(path.removeprefix("file:"))
-    common.delete(spark, path)
-    assert not os.path.exists(path.removeprefix("file:"))
+    path = df.scratch_path.removeprefix("file:")
+    assert os.path.exists(path)
+    common.discard(df, None, spark.range(1))
+    assert not os.path.exists(path)
+
+
+def test_scratch_goes_when_the_session_was_stopped(tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+from stratalog.llm import common
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}").getOrCreate()
+common.written(spark.range(3), "left")
+import os
+assert sum(f.startswith("stratalog-") for f in os.listdir("{tmp_path}")) == 1
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=120)
+    for _ in range(50):
+        left = [f for f in os.listdir(tmp_path) if f.startswith("stratalog-")]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert left == []
+
+
+def test_two_writes_at_once_keep_the_setting(spark):
+    with common.cleaning(spark):
+        with common.cleaning(spark):
+            assert spark.conf.get(common._CLEANUP) == "true"
+        assert spark.conf.get(common._CLEANUP) == "true"
+    assert spark.conf.get(common._CLEANUP) == "false"
+
+
+def test_names_that_clash():
+    assert common.free_name(["__hit", "__HIT_"], "__hit") == "__hit__" and common.free_name(["a"], "__hit") == "__hit"
 
 
 def test_pieces_hold_all_rows_in_order():
@@ -42,5 +76,10 @@ def test_samples_are_bounded_and_repeatable(spark):
     assert len(a) == 100 and a == b and common.sampled(df.where("false"), "doc_id", 5).count() == 0
 
 
+def test_samples_are_bounded_in_bytes(spark):
+    df = spark.range(100).select("id", F.lit(10).alias("n"))
+    assert sorted(r.id for r in common.within(df, F.col("n"), 45, "id").collect()) == [0, 1, 2, 3, 4]
+
+
 def test_covered_words():
     assert common.covered(np.array([1, 2, 8]), 3, 10).tolist() == [False, True, True, True, True, False, False, False, True, True]

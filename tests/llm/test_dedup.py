@@ -95,6 +95,15 @@ def test_forests_lose_no_link(monkeypatch, large, huge):
         assert partition(zip(*simhash.forest(keys, owners), strict=True)) == wanted
 
 
+def test_rounds_are_logarithmic(spark):
+    chain = [(i, i + 1) for i in range(5000)]
+    star = [(10_000, 10_001 + i) for i in range(3000)]
+    rounds = []
+    found = {r.node: r.root for r in components.roots(spark.createDataFrame(chain + star, "a long, b long").coalesce(2), rounds).collect()}
+    assert len({found[i] for i in range(5001)}) == 1 and len({found[10_000 + i] for i in range(3001)}) == 1 and len(set(found.values())) == 2
+    assert len(rounds) <= 12 and all(b <= 0.6 * a for a, b in zip(rounds, rounds[1:], strict=False) if a > 50)
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (300, 200)]
     found = {r.node: r.root for r in components.roots(spark.createDataFrame(chain, "a long, b long")).collect()}
