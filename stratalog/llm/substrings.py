@@ -4,24 +4,29 @@ A window is ``WIDTH`` consecutive words.  Its fingerprint is the smallest hash o
 sequences in it, so that equal windows have equal fingerprints and neighbours mostly share one: about
 two in nine words start a new one, and only those are indexed.
 
-A batch is taken in like this.
+Batches are taken in one after the other.
 1. Each piece of text sends, for each of its fingerprints, the document that has it, or that several do.
    They are merge-joined, bucket by bucket, with the index's sorted immutable runs.  Fingerprints of
    more than one document are wanted in the documents that have them.
-2. Wanting documents are read once more; windows with a wanted fingerprint are verified by their own words: a 128-bit
-   BLAKE2 digest of the window's text.  Digests meet in buckets with the index's runs of digests; a
-   window of the batch is a repeat if its digest is in a run, or in a smaller id of the batch.
-3. The batch's fingerprints and digests become new runs; beyond ``MOST_RUNS`` the runs are merged into one.
+2. The batch's fingerprints become a new run; beyond ``MOST_RUNS`` the runs are compacted into one, and the old ones deleted.
+3. Wanting documents are verified by their own words: a 128-bit BLAKE2 digest of the text of each window with a wanted fingerprint.
+   Digests meet in buckets; a window is a repeat if its digest is in an earlier batch, or in a smaller id of its own.
 
-A run says of a fingerprint which document has it, or that several do, and then their digests are in a
-digest run; so a fingerprint that millions of documents share has one entry a run, and one a piece on the way.
+``Index.add`` does all three for a batch that arrives, and keeps runs of digests too.  A table that is there as a whole is
+filled in batch by batch (1 and 2) and verified once: no text is read again for each later batch.
+
+A run says of a fingerprint which document has it, or that several do; so a fingerprint that millions of documents share has one
+entry a run, and one a piece on the way.  Buckets are as many as the text needs (``BUCKET_BYTES``), and a run has as many rows a bucket
+as it needs (``ROW_ENTRIES``): no task and no cell grows with the table.
 
 Defined results: null texts have no words; documents without an id are neither source nor repeat; rows that
-repeat an id are one document, and each is cut by its own text; windows never cross rows.
+repeat an id are one document, and each is cut by its own text; windows never cross rows; a text of any length is cut whole; an empty table
+has no rows; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -35,11 +40,10 @@ from stratalog.llm import common
 
 WIDTH, GRAM = 13, 5
 MOST_RUNS = 3
-#: Batches that the query cuts the table into, by id, and the first one's share of the ids: a first load and smaller increments,
-#: so that what a step moves, the wanting documents of all batches and the digests of its own, is about the same for each.
-BATCHES, FIRST_SHARE = 2, 0.65
-#: Text that is combined before anything is sent.
-PIECE = 8 << 20
+#: Batches that the query cuts the table into, of about as many rows each, by id.
+BATCHES = 5
+#: Text that is combined before anything is sent, text a bucket stands for, and entries in one row of a run.
+PIECE, BUCKET_BYTES, ROW_ENTRIES = 8 << 20, 24 << 20, 1 << 20
 _WORD = common.byte_class([b for b in range(256) if b not in common.SPACES])
 #: Rows of both steps are parallel arrays as bytes.  First step: wants (docs, fps), entries and runs (fps, docs, many).
 _FOUND = {"kind": pa.int32(), "bucket": pa.int32(), "fps": pa.binary(), "docs": pa.binary(), "many": pa.binary()}
@@ -106,6 +110,12 @@ def window_digests(raw: bytes, starts: list[int]) -> bytes:
     return b"".join([hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(edge[starts].tolist(), (edge[np.asarray(starts) + WIDTH] - 1).tolist(), strict=True)])
 
 
+def run_rows(kind: int, bucket: int, **columns: np.ndarray) -> list[dict]:
+    """A sorted run of a bucket, in rows of a bounded number of entries."""
+    n = len(next(iter(columns.values())))
+    return [{"kind": kind, "bucket": bucket, **{c: v[at : at + ROW_ENTRIES].tobytes() for c, v in columns.items()}} for at in range(0, n, ROW_ENTRIES)]
+
+
 def dealt(kind: int, where: np.ndarray, **columns: np.ndarray) -> list[dict]:
     """Parallel arrays as one row for each bucket."""
     order = np.argsort(where, kind="stable")
@@ -146,25 +156,43 @@ def repeats(digests: np.ndarray, docs: np.ndarray, old: np.ndarray) -> tuple[np.
 
 
 class Index:
-    """A fingerprint index in the shared folder, filled batch by batch."""
+    """A fingerprint index in the shared folder, filled batch by batch.
+
+    buckets: fixed for the life of the index; buckets_for() tells how many a number of bytes of text needs.
+    """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
         self.spark, self.buckets = spark, buckets or common.shuffle_partitions(spark)
         self.runs: list[DataFrame] = []
         self.digests: list[DataFrame] = []
         self.history: DataFrame | None = None
+        self.compactions = 0
+
+    def fill(self, docs: DataFrame) -> DataFrame:
+        """Takes a batch in; returns its wants, one table of many rows a document.  Repeats are found by verify()."""
+        found = common.written(self._find(narrow(docs)), "found", by="kind")
+        self.runs.append(part(found, _RUN))
+        if len(self.runs) > MOST_RUNS:
+            self.compact()
+        return part(found, _WANT)
+
+    def verify(self, docs: DataFrame, wants: DataFrame) -> DataFrame:
+        """The repeats of all batches at once: docs and wants are those of all; smaller ids come first."""
+        checked = common.written(self._verify(narrow(docs), wants, keep=False), "checked", by="kind")
+        return checked.where(F.col("kind") == _HIT).groupBy("bucket").applyInArrow(hits_by_document, "doc_id long, text_key long, starts binary")
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """Repeats in docs (doc_id, text): doc_id, text_key, and starts, the 32-bit numbers of the windows' first words.
+        """Repeats in a batch that arrives (doc_id, text): doc_id, text_key, and starts, the 32-bit numbers of the windows' first words.
 
-        Earlier batches come before this one, whatever their ids.  keep: the batch becomes part of the index.
+        Earlier batches come before this one, whatever their ids; of them, the documents that share a fingerprint with it are
+        verified.  keep: the batch becomes part of the index.
         """
-        docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+        docs = narrow(docs)
         found = common.written(self._find(docs), "found", by="kind")
         checked = common.written(self._verify(docs, found.where(F.col("kind") == _WANT)), "checked", by="kind")
         if keep:
-            self.runs.append(found.where(F.col("kind") == _RUN))
-            self.digests.append(checked.where(F.col("kind") == _DIGESTS))
+            self.runs.append(part(found, _RUN))
+            self.digests.append(part(checked, _DIGESTS))
             self.history = docs if self.history is None else self.history.unionByName(docs)
             if len(self.runs) > MOST_RUNS:
                 self.compact()
@@ -216,7 +244,7 @@ class Index:
             asked = np.repeat(several, sizes) & ~many  # pieces in which several have it have asked already
             who, what = np.concatenate([docs[asked], *asked_docs]), np.concatenate([fps[asked], *asked_fps])
             rows = dealt(_WANT, shard(who, buckets), docs=who, fps=what)
-            rows.append({"kind": _RUN, "bucket": table.column("bucket")[0].as_py(), "fps": unique.tobytes(), "docs": least.tobytes(), "many": several.tobytes()})
+            rows += run_rows(_RUN, table.column("bucket")[0].as_py(), fps=unique, docs=least, many=several)
             return pa.concat_tables([passed, pa.Table.from_batches([batch_of(rows, _FOUND)]).cast(passed.schema)])
 
         sent = docs.select("doc_id", "text").mapInArrow(send, ddl(_FOUND))
@@ -224,8 +252,8 @@ class Index:
             sent = sent.unionByName(run.select(list(_FOUND)))
         return sent.groupBy("bucket").applyInArrow(merge, ddl(_FOUND))
 
-    def _verify(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-        """Hits of the batch and its run of digests."""
+    def _verify(self, docs: DataFrame, wanted: DataFrame, keep: bool = True) -> DataFrame:
+        """Hits of the batch and, if they are to be kept, its run of digests."""
         buckets = self.buckets
         texts = docs.withColumn("fresh", F.lit(True))
         if self.history is not None:
@@ -272,7 +300,8 @@ class Index:
             order, hit, _ = repeats(np.concatenate([past, digests]), np.concatenate([np.zeros(n, np.int64), docs]), np.concatenate([np.ones(n, dtype=bool), old]))
             mine = order[hit] - n
             rows = dealt(_HIT, shard(docs[mine], buckets), docs=docs[mine], keys=keys[mine], starts=at[mine])
-            rows.append({"kind": _DIGESTS, "bucket": table.column("bucket")[0].as_py(), "digests": np.unique(digests, axis=0).tobytes()})
+            if keep:
+                rows += run_rows(_DIGESTS, table.column("bucket")[0].as_py(), digests=np.unique(digests, axis=0))
             return pa.concat_tables([passed, pa.Table.from_batches([batch_of(rows, _CHECKED)]).cast(passed.schema)])
 
         sent = texts.join(asked, "doc_id").select("doc_id", "text_key", "text", "fresh", "wanted").mapInArrow(send, ddl(_SEEN_ROW))
@@ -289,33 +318,65 @@ class Index:
             fps, docs, many = fps[order], docs[order], many[order]
             starts = begins(fps)
             several = np.logical_or.reduceat(many, starts) | (docs[starts] != docs[ends(starts, len(fps)) - 1])
-            row = {"kind": _RUN, "bucket": table.column("bucket")[0].as_py(), "fps": fps[starts].tobytes(), "docs": docs[starts].tobytes(), "many": several.tobytes()}
-            return pa.Table.from_batches([batch_of([row], _FOUND)])
+            rows = run_rows(_RUN, table.column("bucket")[0].as_py(), fps=fps[starts], docs=docs[starts], many=several)
+            return pa.Table.from_batches([batch_of(rows, _FOUND)])
 
         def merge_digests(table: pa.Table) -> pa.Table:
             digests = np.unique(array_of(table, _DIGESTS, "digests", np.uint64).reshape(-1, 2), axis=0)
-            return pa.Table.from_batches([batch_of([{"kind": _DIGESTS, "bucket": table.column("bucket")[0].as_py(), "digests": digests.tobytes()}], _CHECKED)])
+            return pa.Table.from_batches([batch_of(run_rows(_DIGESTS, table.column("bucket")[0].as_py(), digests=digests), _CHECKED)])
 
+        self.compactions += 1
         for name, runs, merge, columns in (("runs", self.runs, merge_runs, _FOUND), ("digests", self.digests, merge_digests, _CHECKED)):
+            if not runs:
+                continue
             together = runs[0].select(list(columns))
             for run in runs[1:]:
                 together = together.unionByName(run.select(list(columns)))
-            setattr(self, name, [common.written(together.groupBy("bucket").applyInArrow(merge, ddl(columns)), name)])
+            merged = common.written(together.groupBy("bucket").applyInArrow(merge, ddl(columns)), name)
+            common.discard(*runs)  # the other rows of those tables may still be read
+            setattr(self, name, [merged])
+
+    def close(self) -> None:
+        """Deletes the runs."""
+        common.discard(*self.runs, *self.digests)
+        self.runs, self.digests = [], []
+
+
+def part(table: DataFrame, kind: int) -> DataFrame:
+    """The rows of a kind, which have a folder of their own that can be discarded."""
+    rows = table.where(F.col("kind") == kind)
+    rows.scratch_path = f"{table.scratch_path}/kind={kind}"
+    return rows
+
+
+def narrow(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+
+def buckets_for(spark: SparkSession, n_bytes: int) -> int:
+    return max(common.shuffle_partitions(spark), -(-n_bytes // BUCKET_BYTES))
 
 
 def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The repeats of a whole table, one row for each text that has any: the table is cut into batches by id, lower ids first, and each is added to an index."""
-    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    index, out = Index(docs.sparkSession), None
-    if least is None:
-        return index.add(docs, keep=False)
-    span, later = most - least + 1, batches - 1
-    first = int(span * FIRST_SHARE)
-    edges = [least, *(least + first + (span - first) * k // later for k in range(later)), most + 1]
-    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        found = index.add(docs.where(F.col("doc_id").between(low, high - 1)), keep=k < batches - 1)
-        out = found if out is None else out.unionByName(found)
-    return out
+    """The repeats of a whole table, one row for each text that has any.
+
+    The table is cut into batches of about as many rows each, lower ids first; an index is filled with one after the other, and all are verified at once.
+    """
+    spark, known = docs.sparkSession, docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n_bytes, edges = known.agg(F.sum(F.octet_length("text").cast("long")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()
+    index = Index(spark, buckets_for(spark, n_bytes or 0))
+    edges, wants = sorted(set(edges or ())), []
+    for k in range(len(edges) + 1):
+        batch = known
+        if k:
+            batch = batch.where(F.col("doc_id") > edges[k - 1])
+        if k < len(edges):
+            batch = batch.where(F.col("doc_id") <= edges[k])
+        wants.append(index.fill(batch))
+    index.close()
+    found = index.verify(known, functools.reduce(DataFrame.unionByName, wants))
+    common.discard(*wants)
+    return found
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:

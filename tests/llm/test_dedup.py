@@ -155,13 +155,27 @@ def test_removal_in_any_number_of_batches(spark, docs_of, monkeypatch, batches):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in found.values())
 
 
+def test_batches_are_of_like_size_and_runs_are_compacted(spark, docs_of, monkeypatch):
+    sizes, made = [], []
+    fill, close = substrings.Index.fill, substrings.Index.close
+    monkeypatch.setattr(substrings.Index, "fill", lambda self, docs: (sizes.append(docs.count()), fill(self, docs))[1])
+    monkeypatch.setattr(substrings.Index, "close", lambda self: (made.append((self.compactions, len(self.runs), self.buckets)), close(self))[1])
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(substrings, "ROW_ENTRIES", 7)
+    rows = [*passages(), (1 << 60, passages()[20][1])]  # one id far from the others
+    rows += [(700_000, "a b c " * 10)] * 5
+    found = by_id(substrings.deduplicate(docs_of(rows)))
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in found.items()} == brute_removal(rows)
+    assert len(sizes) == 5 and max(sizes) <= 2 * len(rows) / 5 and made[0][0] == 1 and made[0][2] > 4
+
+
 def test_an_index_sees_earlier_batches_first(spark, docs_of):
     text = " ".join(f"w{i}" for i in range(20))
     index = substrings.Index(spark, 4)
     assert index.add(docs_of([(50, text)])).count() == 0
     assert [r.doc_id for r in index.add(docs_of([(1, text), (2, "other")])).collect()] == [1]
     index.compact()
-    assert len(index.runs) == len(index.digests) == 1
+    assert len(index.runs) == len(index.digests) == 1 and index.compactions == 1
     assert [r.doc_id for r in index.add(docs_of([(0, "x " + text)])).collect()] == [0]
 
 
