@@ -1,18 +1,24 @@
 """Main-text extraction by wrapper induction.
 
 Of each host a few different pages (``REFERENCES``, those with the smallest digests of their html) are parsed, and the smallest
-of them is the frame.  All pages of the host are aligned with it by simple tree matching: children are matched in order so that most nodes pair up, equal tags
-only.  Nodes whose own text is the same in most different pages are the host's template, all others are
-slots: counted over all pages, copies once.  Each page is then aligned with its host's wrapper; what falls on a template node with its text is
-dropped, what fills slots or has no counterpart is content, unless the page itself says otherwise: navigation, headers, footers, asides,
-forms, scripts, adverts, notices and reader comments go by tag, role or class, and where there is an article or main element, only what it holds counts.
+of them is the frame.  All pages of the host are aligned with it by simple tree matching: children are matched in order so that most
+nodes pair up, equal labels only; a label is the tag with the words of class, id and role.  Over all different pages of the host each node of the frame then is
+- template text, if its own text is the same on most pages;
+- a menu, if the node is at its place on most pages and most of the text under it is in links, whatever the links say, unless it holds most of the
+  page or is part of an article or of the innermost body;
+- the body, if it is at its place on most pages and holds most of the text: there, doubtful class words do not count;
+- a slot otherwise.
+Each page is aligned with its host's wrapper once more: what falls on template text or a menu is dropped, and what fills slots or the body or has
+no counterpart is content.  The page's own markup is the prior that goes with it, and all there is on hosts with too few pages: navigation,
+headers, footers, asides, forms, scripts, adverts, notices and reader comments go by tag, role or class words, doubtful words among them only
+where the wrapper does not call the place the body; where there is an article or main element, only what it holds counts.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined by one space in page order.
 
 Defined results: null and empty html give an empty text; a null or hostless URL has the host ""; hosts with fewer than ``LEAST_REFERENCES``
 different pages have no template; repeated pages are extracted alike; broken markup is read as far as it
-goes, at any depth and length.
+goes, at any depth and length; an empty table has no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,8 +56,14 @@ FENCES = frozenset("table ul ol dl div article section main nav aside form body
 DROPPED_TAGS = frozenset("nav footer aside form button select input script style noscript template iframe textarea title head menu dialog svg object canvas audio video".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 DROPPED_WORDS = frozenset(
-    "ad ads adbox adslot advert advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice popup modal newsletter subscribe signup login share sharing social related recommended widget comment comments replies disqus toolbar pagination pager".split()
+    "ad ads adbox adslot advert advertisement advertising sponsored sidebar nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr newsletter signup login comment comments replies disqus toolbar pagination pager".split()
 )
+#: Words that also stand on what holds an article.
+DOUBTFUL_WORDS = frozenset("sponsor promo promotion banner menu masthead notice popup modal subscribe share sharing social related recommended widget".split())
+STRONG, DOUBTFUL = 2, 1
+#: What a node of a frame is: link text of a menu and text of the body, in tenths of what there is.
+MENU, BODY = 1, 2
+MENU_TENTHS, BODY_TENTHS = 6, 5
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -59,12 +71,13 @@ _NONE_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
 class Node:
-    __slots__ = ("dropped", "inner", "kids", "shape", "size", "tag", "template")
+    __slots__ = ("chars", "doubtful", "dropped", "inner", "kids", "label", "links", "part", "shape", "size", "tag", "template")
 
-    def __init__(self, tag: str, dropped: bool = False) -> None:
-        self.tag, self.dropped, self.kids = tag, dropped, []
+    def __init__(self, tag: str, prior: int = 0, words: str = "") -> None:
+        self.tag, self.dropped, self.doubtful, self.kids = tag, prior == STRONG, prior == DOUBTFUL, []
+        self.label = f"{tag} {words}" if words else tag
         self.template: int | None = None
-        self.shape = self.size = 0
+        self.part = self.shape = self.size = self.chars = self.links = 0
         self.inner: list[Node] = []
 
     def elements(self) -> list[Node]:
@@ -78,7 +91,19 @@ class Node:
         for node in reversed(list(self.walk())):
             kids = node.inner = node.elements()
             node.size = 1 + sum(k.size for k in kids)
-            node.shape = hash((node.tag, *(k.shape for k in kids)))
+            node.shape = hash((node.label, *(k.shape for k in kids)))
+        return self
+
+    def weighed(self) -> Node:
+        """Sets the characters of text under every node of a measured tree, and how many of them are in links; elements that are dropped count for themselves only."""
+        for node in reversed(list(self.walk())):
+            node.chars = sum(len(k.split()) and len(" ".join(k.split())) for k in node.kids if isinstance(k, str))
+            node.links = 0
+            for k in node.inner:
+                if not k.dropped:
+                    node.chars, node.links = node.chars + k.chars, node.links + k.links
+            if node.tag == "a":
+                node.links = node.chars
         return self
 
     def walk(self) -> Iterator[Node]:
@@ -89,17 +114,19 @@ class Node:
             todo += reversed(node.elements())
 
 
-def is_dropped(tag: str, attributes: str) -> bool:
-    """Whether an element is none of the main text by its tag, role, class, id or style."""
-    if tag in DROPPED_TAGS:
-        return True
+def prior(tag: str, attributes: str) -> tuple[int, str]:
+    """How sure an element is none of the main text by its tag, role, class, id or style; and the words of its class, id and role."""
+    sure, words = STRONG if tag in DROPPED_TAGS else 0, []
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "role" and value in DROPPED_ROLES or name == "style" and _NONE_SHOWN.search(value):
-            return True
-        if name in ("class", "id") and not DROPPED_WORDS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+            sure = STRONG
+        if name in ("class", "id", "role"):
+            found = [w for w in _SPLIT.split(value) if w and not w.isdigit()]
+            words += found
+            if name != "role":
+                sure = max(sure, 0 if DROPPED_WORDS.isdisjoint(found) else STRONG, 0 if DOUBTFUL_WORDS.isdisjoint(found) else DOUBTFUL)
+    return sure, " ".join(words)
 
 
 def parse(page: str) -> Node:
@@ -145,7 +172,7 @@ def parse(page: str) -> Node:
             inside = max(last(t) for t in ended)
             if inside and (not fences or inside >= fences[-1]):
                 close(inside)
-        node = Node(tag, is_dropped(tag, attributes))
+        node = Node(tag, *prior(tag, attributes))
         stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
@@ -166,7 +193,7 @@ _SCORES: dict[tuple[int, int], int] = {}
 
 def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """How many nodes of two measured trees pair up at most, and the pairs."""
-    if a.tag != b.tag:
+    if a.label != b.label:
         return 0, []
     if len(_SCORES) > KEPT_SCORES:
         _SCORES.clear()
@@ -202,7 +229,7 @@ def score(a: Node, b: Node) -> int:
     """How many nodes of two subtrees pair up at most: by shapes, each pair of shapes once, without recursion."""
 
     def known(x: Node, y: Node) -> int | None:
-        return 0 if x.tag != y.tag else x.size if x.shape == y.shape else _SCORES.get((x.shape, y.shape))
+        return 0 if x.label != y.label else x.size if x.shape == y.shape else _SCORES.get((x.shape, y.shape))
 
     todo = [(a, b)]
     while todo:
@@ -292,10 +319,14 @@ def induce(pages: list[str]) -> Node | None:
     return trees[0] if len(trees) >= LEAST_REFERENCES else None
 
 
-def marks(places: dict[int, int], frame: Node, page: str) -> list[dict[str, int]]:
-    """The texts of a page that fall on nodes of the frame, by the nodes' places in it."""
-    found = ((places[id(x)], y.own_text()) for x, y in align(frame, parse(page).measured())[1])
-    return [{"node": k, "text": signed(text_key(text))} for k, text in found if text]
+def marks(places: dict[int, int], frame: Node, page: str) -> list[dict[str, int | None]]:
+    """What of a page falls on nodes of the frame, by the nodes' places in it: own texts, and the weight of blocks."""
+    out: list[dict[str, int | None]] = []
+    for x, y in align(frame, parse(page).measured().weighed())[1]:
+        text, block = y.own_text(), y.tag in BLOCKS or y.tag == "#root"
+        if text or block:
+            out.append({"node": places[id(x)], "text": signed(text_key(text)) if text else None, "chars": y.chars if block else 0, "links": y.links if block else 0})
+    return out
 
 
 def signed(key: int) -> int:
@@ -303,18 +334,18 @@ def signed(key: int) -> int:
 
 
 def packed(node: Node) -> bytes:
-    """A wrapper as bytes: tags, template keys and numbers of children in page order."""
-    return pickle.dumps([(n.tag, n.template, len(n.elements())) for n in node.walk()])
+    """A wrapper as bytes: tags, labels, template keys, parts and numbers of children in page order."""
+    return pickle.dumps([(n.tag, n.label, n.template, n.part, len(n.elements())) for n in node.walk()])
 
 
 def unpacked(raw: bytes) -> Node:
     root = Node("")
     open_nodes = [[root, 1]]
-    for tag, template, n in pickle.loads(raw):
+    for tag, label, template, part, n in pickle.loads(raw):
         while not open_nodes[-1][1]:
             open_nodes.pop()
         node = Node(tag)
-        node.template = template
+        node.label, node.template, node.part = label, template, part
         open_nodes[-1][0].kids.append(node)
         open_nodes[-1][1] -= 1
         open_nodes.append([node, n])
@@ -328,11 +359,17 @@ def main_text(page: str | None, wrapper: Node | None = None) -> str:
     tree = parse(page)
     template: set[int] = set()
     if wrapper is not None:
-        template = {id(y) for x, y in align(wrapper, tree.measured())[1] if x.template is not None and text_key(y.own_text()) == x.template}
+        for x, y in align(wrapper, tree.measured())[1]:
+            if x.template is not None and text_key(y.own_text()) == x.template:
+                template.add(id(y))
+            if x.part == MENU:
+                y.dropped = True
+            elif x.part == BODY:
+                y.doubtful = False
     tops, todo = [], [tree]
     while todo:  # the outermost bodies that are not inside a dropped element
         node = todo.pop()
-        if node.dropped:
+        if node.dropped or node.doubtful:
             continue
         if node.tag in ("article", "main"):
             tops.append(node)
@@ -359,12 +396,14 @@ def collect(top: Node, template: set[int], blocks: list[str], in_article: bool)
             flush()
         elif isinstance(x, tuple):
             current.append(x[0])
-        elif not (x.dropped or x.tag == "header" and not in_article):
+        elif not (x.dropped or x.doubtful or x.tag == "header" and not in_article):
             block, fixed = x.tag in BLOCKS or x.tag == "#root", id(x) in template
             if block:
                 flush()
                 todo.append(None)
             todo += reversed([k if isinstance(k, Node) else (" " if fixed else k,) for k in x.kids])
+        elif x.tag in BLOCKS:  # what is dropped still parts what is around it
+            flush()
     flush()
 
 
@@ -412,28 +451,50 @@ def wrappers(pages: DataFrame) -> DataFrame:
                     last, frame = raw, unpacked(raw)
                     places = {id(n): k for k, n in enumerate(frame.walk())}
                 found.append(marks(places, frame, page))
-            kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.int64())]))
+            kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())]))
             yield pa.RecordBatch.from_arrays([piece.column("host"), piece.column("digest"), pa.array(found, kind)], names=["host", "digest", "marks"])
 
-    # every page of the host has its say, copies together one; only keys of texts travel
-    said = salted(known, learned, "inner").select("host", "digest", "html", "wrapper").mapInArrow(aligned, "host string, digest binary, marks array<struct<node: int, text: long>>")
-    counts = said.dropDuplicates(["host", "digest"]).select("host", F.inline("marks")).groupBy("host", "node", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_REFERENCES)
-    most = counts.join(different.groupBy("host").agg(F.count("*").alias("pages")), "host").where(2 * F.col("n") > F.col("pages"))
-    # more than half of the pages: one text a node at most
-    template = most.groupBy("host").agg(F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts"))
+    # every page of the host has its say, copies together one; only keys of texts and sums travel
+    said = salted(known, learned, "inner").select("host", "digest", "html", "wrapper").mapInArrow(aligned, "host string, digest binary, marks array<struct<node: int, text: long, chars: long, links: long>>")
+    counts = said.dropDuplicates(["host", "digest"]).select("host", F.inline("marks")).groupBy("host", "node", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    # a text that more than half of the pages have is the most frequent one of its node
+    best = F.max(F.when(F.col("text").isNotNull(), F.struct("n", "text"))).alias("best")
+    nodes = counts.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), best)
+    sizes = different.groupBy("host").agg(F.count("*").alias("pages"))
+    most = nodes.join(sizes, "host").where((F.col("n") >= LEAST_REFERENCES) & (2 * F.col("n") > F.col("pages")))
+    text = F.when((F.col("best.n") >= LEAST_REFERENCES) & (2 * F.col("best.n") > F.col("pages")), F.col("best.text"))
+    template = most.groupBy("host").agg(F.collect_list(F.struct("node", text.alias("text"), "chars", "links")).alias("nodes"))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for raw, nodes, texts in zip(*(batch.column(c).to_pylist() for c in ("wrapper", "nodes", "texts")), strict=True):
+            for raw, nodes in zip(*(batch.column(c).to_pylist() for c in ("wrapper", "nodes")), strict=True):
                 frame = unpacked(raw)
-                every = list(frame.walk())
-                for k, text in zip(nodes, texts, strict=True):
-                    every[k].template = text % (1 << 64)
+                decide(frame, nodes)
                 made.append(packed(frame))
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.binary())], names=["host", "wrapper"])
 
-    return learned.join(template, "host").select("host", "wrapper", "nodes", "texts").mapInArrow(marked, "host string, wrapper binary")
+    return learned.join(template, "host").select("host", "wrapper", "nodes").mapInArrow(marked, "host string, wrapper binary")
+
+
+def decide(frame: Node, nodes: list[dict]) -> None:
+    """Sets what each node of a frame is, from what most pages of the host have there."""
+    every = list(frame.walk())
+    whole = max((x["chars"] for x in nodes if not x["node"]), default=0)
+    bodies = [x["node"] for x in nodes if whole and 10 * x["chars"] >= BODY_TENTHS * whole]
+    inner = every[max((k for k in bodies if any(n.tag in BLOCKS - {"br", "hr"} for n in every[k].elements())), default=0)]
+    holds = {id(n) for n in every if n.tag in ("article", "main")} | ({id(inner)} if inner.tag not in ("#root", "html", "body") else set())
+    for node in every:  # lists of links in an article, or in the innermost body, are its text
+        if id(node) in holds:
+            holds.update(id(k) for k in node.elements())
+    for x in nodes:
+        node = every[x["node"]]
+        if x["text"] is not None:
+            node.template = x["text"] % (1 << 64)
+        if x["node"] in bodies:
+            node.part = BODY
+        elif x["chars"] and 10 * x["links"] >= MENU_TENTHS * x["chars"] and id(node) not in holds:
+            node.part = MENU
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

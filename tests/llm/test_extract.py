@@ -128,3 +128,92 @@ def test_template_in_long_pages_survives_an_inserted_block(spark):
     rows = [(i, f"http://long.org/{i}", long_page(i)) for i in range(6)]
     found = by_id(extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
     assert all("Always here" not in found[i].text and "End" not in found[i].text and f"item {i} 599" in found[i].text for i in range(6))
+
+
+def test_constant_lists_of_varying_links_are_menus(spark):
+    def listed(i, menu):
+        links = "".join(f"<div><a href='/{i}/{k}'>Topic {i} {k}</a></div>" for k in range(4))
+        body = f"<div class='share widget'><p>body of {i} with <a href='x'>a link {i}</a> and more words than all the rest has together, as a body does</p><ul><li><a href='y'>own list {i}</a></li></ul></div>"
+        return f"<body><div>{links if menu else ''}</div><div class='widget'>side words {i}</div>{body}<p>end {i}</p></body>"
+
+    rows = [(i, f"http://menus.org/{i}", listed(i, True)) for i in range(8)]
+    rows += [(100, "http://few.org/1", listed(100, True))]
+    found = by_id(extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    for i in range(8):  # the wrapper tells the menu from the body, and a doubtful word does not drop what holds most of the text
+        assert found[i].text == f"body of {i} with a link {i} and more words than all the rest has together, as a body does own list {i} end {i}"
+    assert found[100].text == "Topic 100 0 Topic 100 1 Topic 100 2 Topic 100 3 end 100"  # one page of a host: only its own markup counts
+
+
+def test_every_host_of_the_sample_has_a_wrapper_with_parts(spark):
+    pages = extract.common.read(spark, "/root/testdata/sf0.01", "pages")
+    narrow = pages.select("page_id", "url", extract.host(pages.url).alias("host"), "html")
+    enough = narrow.groupBy("host").agg({"html": "approx_count_distinct"}).where("`approx_count_distinct(html)` >= 3").count()
+    made = [extract.unpacked(r.wrapper) for r in extract.wrappers(narrow).collect()]
+    assert len(made) == enough and all(any(n.part == extract.BODY for n in w.walk()) for w in made)
+
+
+BLOCK_TAGS = "article aside blockquote br div footer form h1 h2 header li main nav ol p section table td tr ul".split()
+
+
+def brute_text(page):
+    """Well-formed markup without a wrapper, read by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.blocks, self.tops = [], [""], 0
+
+        def handle_starttag(self, tag, attrs):
+            words = set((dict(attrs).get("class") or "").split())
+            gone = bool(self.open and self.open[-1][1]) or tag in extract.DROPPED_TAGS or bool(words & (extract.DROPPED_WORDS | extract.DOUBTFUL_WORDS))
+            if tag in BLOCK_TAGS:
+                self.blocks.append("")
+            if tag != "br":
+                self.open.append((tag, gone, tag == "article" or bool(self.open and self.open[-1][2])))
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.open and not self.open[-1][1] and (self.open[-1][2] or not self.article):
+                self.blocks[-1] += data
+
+    reader = Reader()
+    reader.article = "<article" in page
+    reader.feed(page)
+    return " ".join(t for b in reader.blocks if (t := " ".join(b.split())))
+
+
+def test_whole_texts_agree_with_brute_force():
+    rng = random.Random(11)
+    words = ["one", "zwei", "trois &amp; more", "  four\n", "&#233;t&eacute;", "x<b>y</b>z"]
+
+    def some(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "p", "section", "ul", "nav", "aside", "span", "i", "div class='ad'", "div class='social'", "div class='text'", "footer"])
+            name = tag.split()[0]
+            inner = f"<li>{rng.choice(words)}</li>" * 2 if name == "ul" else rng.choice(words) if name == "p" or not depth else some(depth - 1)
+            out.append(f"<{tag}>{inner}</{name}>" if name not in ("span", "i") else f"<{tag}>{rng.choice(words)}</{name}> ")
+        return rng.choice(words).join(out)
+
+    for k in range(300):
+        page = f"<html><body><nav><ul><li>m</li></ul></nav>{some(2)}" + (f"<article><h1>T{k}</h1>{some(2)}</article>" if k % 2 else "") + "<footer>f</footer></body></html>"
+        assert extract.main_text(page) == brute_text(page)
+
+
+def test_sample_pages_give_their_articles(spark):
+    """The sample's pages have one article each: its text, read by plain patterns, is what the query returns."""
+    import html
+    import re
+
+    pages = extract.common.read(spark, "/root/testdata/sf0.01", "pages")
+    found = by_id(extract.extract(pages), "page_id")
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", r.html, re.S)[1]
+        blocks = re.split(r"</?(?:p|h1|br|article)\b[^>]*>", inner)
+        text = " ".join(t for b in blocks if (t := " ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split())))
+        assert found[r.page_id].text == text
