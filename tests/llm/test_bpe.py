@@ -44,3 +44,39 @@ def test_tables(spark, docs_of, library):
     back = by_id(bpe.decode(bpe.digests(docs, bpe.vocabulary(), with_ids=True), bpe.vocabulary()))
     assert bytes(back[3].raw) == b"Hello world" and bytes(back[1].raw) == b""
     assert bpe.digests(docs_of([]), bpe.vocabulary()).count() == 0
+
+
+def test_own_merges_are_those_of_the_library(library):
+    """merge_bytes alone, on pieces of all lengths, against the library's own."""
+    codec, rng = bpe.Codec(bpe.vocabulary()), random.Random(8)
+    tokens = [t for t in codec.ranks if len(t) > 1]
+    for _ in range(3000):
+        raw = b"".join(rng.choice(tokens) if rng.random() < 0.5 else bytes([rng.randrange(256)]) for _ in range(rng.randint(1, 12)))[: rng.choice([3, 30, 300])]
+        text = raw.decode("latin-1")
+        for piece in codec.find.findall(text):
+            assert codec.merge_bytes(piece.encode()) == library.encode_ordinary(piece)
+            assert codec.decode(codec.merge_bytes(piece.encode())) == piece.encode()
+
+
+def test_chunks_stitched_in_any_place(library):
+    rng = random.Random(3)
+    tool = bpe.Codec(bpe.vocabulary())
+    parts = ["a", "'s", "  ", "\n", " ", "Zz", "12", "!!", "é", "日", "\t\t", " the", "'", "x" * 30, " " * 25, "7" * 90]
+    for size, overlap in ((40, 7), (9, 3), (100, 50)):
+        for _ in range(1500):
+            text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))
+            chunks = [bpe.Chunk.of(tool, k, text[k : k + size]) for k in range(0, max(1, len(text) - overlap), size - overlap)]
+            ids = [int(i) for part in bpe.stitched(tool, chunks) for i in part]
+            assert ids == library.encode_ordinary(text), text
+
+
+def test_long_texts_are_encoded_in_parallel_rows(spark, docs_of, library):
+    rows = [(k, t * (1 + 3000 // max(1, len(t)))) for k, t in enumerate(HARD)] + [(50, HARD[2] * 3), (50, HARD[2] * 3), (None, HARD[2] * 3), (51, None)]
+    found = bpe.digests(docs_of(rows).selectExpr("*", "1 AS key", "2 AS n", "3 AS start"), bpe.vocabulary(), with_ids=True, size=2000).collect()
+    assert len(found) == len(rows)
+    texts = dict(rows)
+    for r in found:
+        text = texts[r.doc_id] or ""
+        ids = library.encode_ordinary(text)
+        assert (r.ids, r.n_tokens, r.decoded_sha256) == (ids, len(ids), hashlib.sha256(text.encode()).hexdigest())
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
