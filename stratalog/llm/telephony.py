@@ -3,10 +3,13 @@
 G.711 codes are expanded by lookup tables.  ADPCM is decoded across blocks: a step of the loop
 decodes one nibble of all blocks of a batch.  Media are RIFF files with one fmt and one data chunk.
 
-``store`` puts any bytes into such a file as 8-bit mu-law codes without loss; ``pcm_columns`` reads a
-media column and returns 16-bit PCM at twice or the same rate.  Defined results: null text is empty
-and gives one block of zeros; null or broken media give null PCM and the reason in ``error``;
-equal inputs give equal bytes; rows of any length are handled whole.
+``store`` puts any bytes into such a file as 8-bit mu-law codes without loss; ``measure`` reads a media column back: digests of the
+payload and of the file, and of what the codes expand to by both laws and as ADPCM, resampled to twice the rate; ``pcm_columns`` returns
+that PCM itself, 16-bit, at twice or the same rate, for a media column in any of the formats.
+
+Defined results: null text is empty and gives one block of zeros; null or broken media give null PCM and the reason in ``error``;
+equal inputs give equal bytes; rows of any length are handled whole, in slices of bounded memory; an empty table has no rows; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from stratalog.llm import common
 
 RATE = 8000
 BLOCK = 64
+#: Bytes of payload that are expanded at a time, a multiple of the block.
+SLICE = 1 << 20
 #: Format tags of RIFF audio.
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
 
@@ -81,11 +86,11 @@ def decode_ima(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def doubled(samples: np.ndarray) -> np.ndarray:
-    """Twice the rate: the mean of neighbours between them, the last sample repeated; along the last axis."""
+def doubled(samples: np.ndarray, after: int | None = None) -> np.ndarray:
+    """Twice the rate: the mean of neighbours between them, the last one's neighbour being itself if none comes after."""
     wide = samples.astype(np.int32)
-    after = np.concatenate([wide[..., 1:], wide[..., -1:]], axis=-1)
-    return np.stack([wide, wide + after >> 1], axis=-1).reshape(*samples.shape[:-1], -1).astype("<i2")
+    follow = np.append(wide[1:], wide[-1:] if after is None else after)
+    return np.stack([wide, wide + follow >> 1], axis=-1).reshape(-1).astype("<i2")
 
 
 def wrap(data: bytes, tag: int = MU_LAW, rate: int = RATE, block: int = 1) -> bytes:
@@ -165,49 +170,74 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def features(payload: np.ndarray, to: np.ndarray) -> list[str]:
-    """For each row: peak, mean size and sign changes of its mu-law samples; checksums of the doubled PCM and of its blocks as ADPCM."""
-    pcm, starts = TABLES[MU_LAW][payload], to[:-1]
-    size = np.abs(pcm.astype(np.int32))
-    turns = np.zeros(len(pcm), dtype=np.int64)
-    turns[1:] = (pcm[1:] < 0) != (pcm[:-1] < 0)
-    turns[starts] = 0
-    peak, total, turned = np.maximum.reduceat(size, starts), np.add.reduceat(size, starts, dtype=np.int64), np.add.reduceat(turns, starts)
-    blocks = decode_ima(payload.reshape(-1, BLOCK)).astype("<i2")
-    return [
-        f"peak={peak[r]};mean={total[r] // (b - a)};turns={turned[r]};pcm16k={zlib.crc32(doubled(pcm[a:b])):08x};adpcm={zlib.crc32(np.ascontiguousarray(blocks[a // BLOCK : b // BLOCK])):08x}"
-        for r, (a, b) in enumerate(zip(starts.tolist(), to[1:].tolist(), strict=True))
-    ]
-
-
-def store(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_media: bool = False) -> DataFrame:
-    """One row for each document: sizes and digests of the payload read back from the stored file, and its features; the file too with keep_media."""
+    """For each row: peak, mean size and sign changes of its mu-law samples; checksums of the doubled PCM by both laws and of its blocks as ADPCM."""
+    n = len(to) - 1
+    peak, total, turned = (np.zeros(n, dtype=np.int64) for _ in range(3))
+    sums = {"pcm16k": [0] * n, "alaw16k": [0] * n, "adpcm": [0] * n}
+    for at in range(0, len(payload), SLICE):
+        stop = min(at + SLICE, len(payload))
+        first, last = int(np.searchsorted(to, at, side="right")) - 1, int(np.searchsorted(to, stop, side="left"))
+        starts = np.maximum(to[first:last], at) - at
+        wide = {tag: TABLES[tag][payload[at : stop + 1]] for tag in TABLES}  # one sample beyond, for the mean at the slice's end
+        mu = wide[MU_LAW][: stop - at]
+        size, turns = np.abs(mu.astype(np.int32)), np.zeros(len(mu), dtype=np.int64)
+        turns[1:] = (mu[1:] < 0) != (mu[:-1] < 0)
+        turns[0] = (mu[0] < 0) != (TABLES[MU_LAW][payload[at - 1]] < 0) if to[first] < at else 0
+        turns[starts[to[first:last] >= at]] = 0
+        peak[first:last] = np.maximum(peak[first:last], np.maximum.reduceat(size, starts))
+        total[first:last] += np.add.reduceat(size, starts, dtype=np.int64)
+        turned[first:last] += np.add.reduceat(turns, starts)
+        blocks = decode_ima(payload[at:stop].reshape(-1, BLOCK)).astype("<i2")
+        for r, a in zip(range(first, last), starts.tolist(), strict=True):
+            b = min(int(to[r + 1]), stop) - at
+            for name, tag in (("pcm16k", MU_LAW), ("alaw16k", A_LAW)):
+                after = int(wide[tag][b]) if at + b < to[r + 1] else None
+                sums[name][r] = zlib.crc32(doubled(wide[tag][a:b], after), sums[name][r])
+            sums["adpcm"][r] = zlib.crc32(np.ascontiguousarray(blocks[a // BLOCK : b // BLOCK]), sums["adpcm"][r])
+    sizes = np.diff(to)
+    return [f"peak={peak[r]};mean={total[r] // sizes[r]};turns={turned[r]};" + ";".join(f"{name}={x[r]:08x}" for name, x in sums.items()) for r in range(n)]
+
+
+def store(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row for each document: id, n_bytes, and media, its text as a file of mu-law codes."""
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["media"] * keep_media]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches, "text"):
             data, offsets = common.utf8(piece.column("text"))
             payload, to = padded(data, offsets)
             media = [wrap(payload[a:b].tobytes()) for a, b in zip(to[:-1], to[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    kind = dict(narrow.dtypes)["doc_id"]
+    return narrow.mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary").withColumnRenamed("doc_id", id_column)
+
+
+def measure(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """One row for each row of store(): sizes and digests of the file and of the payload that is read back from it, and its features."""
+    narrow = stored.select(F.col(id_column).alias("doc_id"), "n_bytes", "media")
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in common.pieces(batches, "media"):
+            media = piece.column("media").to_pylist()
             back = [unwrap(m)[3] for m in media]
             columns = [
                 piece.column("doc_id"),
-                pa.array(np.diff(offsets)),
+                piece.column("n_bytes"),
                 pa.array([len(b) for b in back], pa.int64()),
                 pa.array([hashlib.sha256(b).hexdigest() for b in back]),
                 pa.array([zlib.crc32(b[-BLOCK:]) for b in back], pa.int64()),
                 pa.array([len(m) for m in media], pa.int64()),
                 pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-                pa.array(features(np.frombuffer(b"".join(back), dtype=np.uint8), to)),
-                *[pa.array(media, pa.binary())] * keep_media,
+                pa.array(features(np.frombuffer(b"".join(back), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(b) for b in back]))))),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = dict(narrow.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
-    return narrow.mapInArrow(run, schema).withColumnRenamed("doc_id", id_column)
+    return narrow.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("doc_id", id_column)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7_telephony: every document of the table stored as mu-law and read back."""
-    return store(common.read(spark, sf_dir, "documents"))
+    """op7_telephony: every document of the table stored as mu-law in a table of the shared folder, and read back from it."""
+    return measure(common.written(store(common.read(spark, sf_dir, "documents")), "media"))

@@ -50,15 +50,41 @@ def test_pcm_columns(spark):
     assert (rows[2].pcm, rows[2].error, rows[3].pcm) == (None, "null", None) and len(rows[4].pcm) == 2 * 2 * 121
 
 
+def scalar_feature(payload):
+    """The features of one payload, sample by sample."""
+    pcm, crc = {}, {}
+    for name, tag in (("pcm16k", telephony.MU_LAW), ("alaw16k", telephony.A_LAW)):
+        pcm[name] = [int(telephony.TABLES[tag][b]) for b in payload]
+        twice = [v for a, b in zip(pcm[name], [*pcm[name][1:], pcm[name][-1]], strict=True) for v in (a, (a + b) >> 1)]
+        crc[name] = zlib.crc32(np.array(twice, dtype="<i2").tobytes())
+    mu = pcm["pcm16k"]
+    blocks = [v for k in range(0, len(payload), 64) for v in scalar_ima(payload[k : k + 64])]
+    turns = sum((a < 0) != (b < 0) for a, b in zip(mu, mu[1:], strict=False))
+    return f"peak={max(map(abs, mu))};mean={sum(map(abs, mu)) // len(mu)};turns={turns};pcm16k={crc['pcm16k']:08x};alaw16k={crc['alaw16k']:08x};adpcm={zlib.crc32(np.array(blocks, dtype='<i2').tobytes()):08x}"
+
+
+def test_features_in_slices_are_those_of_single_samples(monkeypatch):
+    monkeypatch.setattr(telephony, "SLICE", 256)
+    rng = np.random.default_rng(2)
+    sizes = np.array([64, 128, 1024, 64, 640, 64])
+    to, data = np.concatenate(([0], np.cumsum(sizes))), rng.integers(0, 256, sizes.sum(), dtype=np.uint8)
+    assert telephony.features(data, to) == [scalar_feature(bytes(data[a:b])) for a, b in zip(to[:-1], to[1:], strict=True)]
+
+
 def test_store(spark, docs_of):
     texts = [(1, None), (2, ""), (3, "é" * 32), (4, "x" * 65), (5, "x" * 65), (6, "y" * 400_000)]
-    rows = by_id(telephony.store(docs_of(texts).selectExpr("*", "1 AS feature", "2 AS n_bytes"), keep_media=True))
+    stored = telephony.store(docs_of(texts).selectExpr("*", "1 AS media", "2 AS n_bytes")).cache()
+    rows, files = by_id(telephony.measure(stored)), by_id(stored)
+    pcm = by_id(telephony.pcm_columns(stored))
     for doc_id, text in texts:
         raw = (text or "").encode()
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
-        r = rows[doc_id]
+        r, media = rows[doc_id], bytes(files[doc_id].media)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
-        assert telephony.unwrap(bytes(r.media))[3] == payload
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert telephony.unwrap(media)[3] == payload
+        assert f"pcm16k={zlib.crc32(pcm[doc_id].pcm):08x}" in r.feature
+        if len(payload) < 1000:
+            assert r.feature == scalar_feature(payload)
     assert rows[4].feature == rows[5].feature != rows[6].feature
-    assert telephony.store(docs_of([])).count() == 0
+    assert telephony.measure(telephony.store(docs_of([]))).count() == 0
