@@ -5,9 +5,12 @@ Words are runs of digits, ASCII letters (lower-cased) and characters from U+0080
 text is scanned once: windows whose hash is in the set are compared word by word, and the words
 under a confirmed window are hit.
 
-Defined results: null text has no words and no hits; items without words or without an id are left
-out; repeated items or rows are judged like any other; an empty benchmark hits nothing.  Columns other than
-the id and the text are not read, so clashing names do not matter.
+The set is one buffer of normalised text and, for each window, its hash, its place in the buffer and its item: 28 bytes a window
+and the text once.  ``remove_documents`` drops contaminated rows, ``remove_passages`` cuts the hit words out of all.
+
+Defined results: null text has no words and no hits, and stays null; items without words or without an id are left
+out; repeated items or rows are judged like any other; an empty benchmark hits nothing, and an empty table has no rows; texts of any
+length are scanned whole.  Columns other than the id and the text are not read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from stratalog.llm import common
 
 WIDTH = 13
-#: The set is broadcast up to so many bytes of benchmark text; beyond, window hashes are joined by a shuffle.
+#: The set is broadcast up to so many bytes of benchmark text (about seven times that in memory); beyond, window hashes are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 #: Bytes 0x30-0x39 and 0x61-0x7A, and all of a character beyond ASCII.
 WORD_BYTES = common.byte_class([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -39,41 +43,74 @@ class Hits(NamedTuple):
     spans: list[tuple[int, int]]
 
 
+class Windows(NamedTuple):
+    """All windows of one width, sorted by hash: where each is in the buffer, and the number of its item."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    items: np.ndarray
+
+
 class WindowSet:
-    """The normalised windows of a benchmark: for each width a sorted hash array, and the items by window text."""
+    """The normalised windows of a benchmark."""
 
     def __init__(self, rows: list[tuple[str, str]], width: int = WIDTH) -> None:
-        self.items: dict[bytes, set[str]] = {}
-        hashes: dict[int, list[np.ndarray]] = {}
-        self.width = width
-        for item, text in rows:
-            words = split(text)
-            n = min(width, len(words))
-            if not n:
-                continue
-            first, h = words.windows(words.hashes(), n)
-            hashes.setdefault(n, []).append(h)
-            for i in first:
-                self.items.setdefault(words.text(int(i), n), set()).add(item)
-        self.hashes = {n: np.unique(np.concatenate(h)) for n, h in sorted(hashes.items())}
-        self.marks = {n: marks(h) for n, h in self.hashes.items()}
+        words = words_of(pa.array([text for _, text in rows], pa.large_string()))
+        sizes = words.ends - words.starts
+        place = np.concatenate(([0], np.cumsum(sizes + 1)))
+        buffer = np.full(place[-1], 32, dtype=np.uint8)
+        inside = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.arange(sizes.sum()) - inside
+        buffer[np.repeat(place[:-1], sizes) + at] = words.data[np.repeat(words.starts, sizes) + at]
+        self.buffer = buffer.tobytes()
+        self.items = list(dict.fromkeys(item for item, _ in rows))
+        known = {item: k for k, item in enumerate(self.items)}
+        number = np.array([known[item] for item, _ in rows], dtype=np.int32)
+        counts, hashed, self.windows = np.diff(words.of), words.hashes(), {}
+        for n in sorted({min(width, c) for c in counts.tolist() if c}):
+            first, h = words.windows(hashed, n)
+            row = np.searchsorted(words.of, first, side="right") - 1
+            if n < width:
+                mine = counts[row] == n
+                first, h, row = first[mine], h[mine], row[mine]
+            order = np.lexsort((number[row], h))
+            self.windows[n] = self._distinct(Windows(h[order], place[first][order], (place[first + n - 1] + sizes[first + n - 1])[order], number[row][order]))
+        self.marks = {n: marks(w.hashes) for n, w in self.windows.items()}
+
+    def _distinct(self, w: Windows) -> Windows:
+        """Without windows that an item has already."""
+        keep = np.ones(len(w.hashes), dtype=bool)
+        for k in np.flatnonzero((w.hashes[1:] == w.hashes[:-1]) & (w.items[1:] == w.items[:-1])).tolist():
+            keep[k + 1] = self.buffer[w.starts[k] : w.ends[k]] != self.buffer[w.starts[k + 1] : w.ends[k + 1]]
+        return Windows(*(x[keep] for x in w))
+
+    def items_of(self, n: int, h: np.uint64, text: bytes) -> list[str]:
+        """The items that have a window with this text."""
+        w = self.windows[n]
+        a, b = np.searchsorted(w.hashes, h, side="left"), np.searchsorted(w.hashes, h, side="right")
+        return [self.items[w.items[k]] for k in range(a, b) if self.buffer[w.starts[k] : w.ends[k]] == text]
 
     def scan(self, words: common.Words) -> list[Hits]:
         """Hits of each row of a piece."""
         hit = np.zeros(len(words), dtype=bool)
         rows = len(words.of) - 1
         items: list[set[str]] = [set() for _ in range(rows)]
-        if len(words) and self.hashes:
+        if len(words) and self.windows:
             hashed = words.hashes()
-            for n, known in self.hashes.items():
+            for n, known in self.windows.items():
                 first, h = words.windows(hashed, n)
                 near = np.flatnonzero(self.marks[n][h >> np.uint64(44)])
-                near = near[known[np.minimum(np.searchsorted(known, h[near]), len(known) - 1)] == h[near]]
-                found = []
-                for i, row in zip(first[near], np.searchsorted(words.of, first[near], side="right") - 1, strict=True):
-                    if who := self.items.get(words.text(int(i), n)):
+                near = near[known.hashes[np.minimum(np.searchsorted(known.hashes, h[near]), len(known.hashes) - 1)] == h[near]]
+                found, seen = [], {}
+                for i, x, row in zip(first[near].tolist(), h[near], (np.searchsorted(words.of, first[near], side="right") - 1).tolist(), strict=True):
+                    text = words.text(i, n)
+                    who = seen.get(text)
+                    if who is None:
+                        who = seen[text] = self.items_of(n, x, text)
+                    if who:
                         found.append(i)
-                        items[row] |= who
+                        items[row].update(who)
                 if found:
                     hit |= common.covered(np.array(found), n, len(words))
         return hits_of(words, hit, items)
@@ -182,7 +219,10 @@ def scan_by_join(narrow: DataFrame, benchmark: DataFrame, width: int) -> DataFra
     present = sorted(r.n for r in theirs.select("n").distinct().collect())
     keyed = narrow.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.coalesce("text", F.lit("")), 256)))
     ours = keyed.dropDuplicates(["key"]).mapInArrow(lambda b: windows(b, present, False), "key string, pos long, n int, h long, w binary")
-    found = ours.join(theirs, ["n", "h", "w"]).groupBy("key").agg(F.collect_set(F.struct("pos", "n")).alias("at"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("who"))
+    # a window that a third of the documents have is a skewed key, which adaptive execution splits; items are made distinct as rows
+    hits = common.written(ours.join(theirs, ["n", "h", "w"]).select("key", "pos", "n", "items"), "hits")
+    who = hits.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.collect_list("item").alias("who"))
+    found = hits.groupBy("key").agg(F.collect_set(F.struct("pos", "n")).alias("at")).join(who, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches, "text"):
@@ -201,8 +241,23 @@ def scan_by_join(narrow: DataFrame, benchmark: DataFrame, width: int) -> DataFra
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs without contaminated rows, all columns as they were.  Rows are judged one by one, so rows with one id may differ."""
-    verdicts = _with_verdict(docs, benchmark, limit)
-    return verdicts.where(~F.col("__hit")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged, hit, _ = _judged(docs, benchmark, limit)
+    return judged.where(~F.col(hit)).select(*common.quoted(docs.columns))
+
+
+def remove_passages(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """docs without the words under windows of the benchmark, contaminated or not, and what is between two such words; other columns as they were."""
+    judged, _, spans = _judged(docs, benchmark, limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in common.pieces(batches, "text"):
+            found = piece.column(spans).to_pylist()
+            texts = [remove_spans(t, [(x["start"], x["end"]) for x in some]) if some else t for t, some in zip(piece.column("text").to_pylist(), found, strict=True)]
+            columns = {name: piece.column(name) for name in docs.columns}
+            columns["text"] = pa.array(texts, piece.schema.field("text").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return judged.select(*common.quoted(docs.columns), spans).mapInArrow(run, docs.schema)
 
 
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -216,23 +271,27 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _with_verdict(docs: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
+_SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, limit: int) -> tuple[DataFrame, str, str]:
+    """docs with a verdict and the spans of hit words in two columns more, and the names of these."""
     rows = benchmark_rows(benchmark, limit)
+    hit, spans, key = (common.free_name(docs.columns, name) for name in ("__hit", "__spans", "__key"))
     if rows is None:
-        key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.coalesce("text", F.lit("")), 256))
-        keyed = docs.withColumn("__key", key)
-        bad = scan_by_join(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark, WIDTH).where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
-        return keyed.join(bad.withColumn("__hit", F.lit(True)), "__key", "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+        keyed = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
+        found = scan_by_join(keyed.select(F.col(key).alias("doc_id"), "text").dropDuplicates(["doc_id"]), benchmark, WIDTH).where("n_hit > 0")
+        bad = found.select(F.col("doc_id").alias(key), F.col("contaminated").alias(hit), F.col("spans").alias(spans))
+        return keyed.join(bad, key, "left").withColumn(hit, F.coalesce(hit, F.lit(False))), hit, spans
     shared = docs.sparkSession.sparkContext.broadcast(WindowSet(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches, "text"):
-            hits = shared.value.scan(words_of(piece.column("text")))
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([contaminated(h.n_hit, h.n_words) for h in hits], pa.bool_())], names=[*piece.schema.names, "__hit"])
-
-    from pyspark.sql.types import BooleanType, StructType
+            out = result(shared.value.scan(words_of(piece.column("text"))))
+            yield pa.RecordBatch.from_arrays([*piece.columns, out.column("contaminated"), out.column("spans")], names=[*piece.schema.names, hit, spans])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__hit", BooleanType()))
+    schema = StructType([*docs.schema.fields, StructField(hit, BooleanType()), StructField(spans, _SPANS)])
+    return docs.mapInArrow(run, schema), hit, spans
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 
@@ -78,6 +79,46 @@ def test_spans_can_be_removed(spark, docs_of):
     assert decontaminate.remove_spans(None, []) is None
 
 
+def brute_cut(text, items):
+    """text without the words under any window of the items, character by character."""
+    at = [(m.start(), m.end()) for m in WORD.finditer((text or "").translate(LOWER))]
+    w, hit = split(text), set()
+    for item, other in items:
+        g = split(other)
+        n = min(13, len(g))
+        for j in range(len(g) - n + 1 if n and item is not None else 0):
+            for k in range(len(w) - n + 1):
+                if w[k : k + n] == g[j : j + n]:
+                    hit |= set(range(k, k + n))
+    out, last = [], 0
+    for k in sorted(hit):
+        if k - 1 not in hit:
+            out.append(text[last : at[k][0]])
+        last = at[k][1]
+    return None if text is None else "".join([*out, text[last:]])
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 10], ids=["broadcast", "join"])
+def test_passages_are_cut_out_of_tables(spark, docs_of, limit):
+    docs, items = cases(5)
+    docs = [*docs[:-1], (None, docs[20][1]), (20, "alpha " * 40)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    frame = docs_of(docs).selectExpr("*", "true AS __hit", "1 AS __SPANS", "2 AS `a.b`")
+    kept = decontaminate.remove_passages(frame, benchmark, limit)
+    assert kept.schema == frame.schema
+    key = lambda x: (str(x[0]), str(x[1]))
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=key) == sorted([(i, brute_cut(t, items)) for i, t in docs], key=key)
+    assert decontaminate.remove_documents(frame, benchmark, limit).columns == frame.columns
+
+
+def test_the_set_is_small():
+    rng = random.Random(1)
+    rows = [(str(k), " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400))) for k in range(200)]
+    made = decontaminate.WindowSet(rows + rows[:50])
+    size = sum(len(t) for _, t in rows)
+    assert len(pickle.dumps(made)) < 7 * 1.25 * size + (2 << 20) and sum(len(w.hashes) for w in made.windows.values()) == 200 * 388
+
+
 def test_documents_are_removed_and_repeated_rows_stay(spark, docs_of):
     benchmark = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     docs = docs_of([(1, "one two three"), (2, "four"), (2, "four"), (None, "five"), (3, None)])
