@@ -6,11 +6,13 @@ maximum of each filter over the window, cut off at zero, goes to a softmax.  A t
 means over its windows.  A filter over one-hot bytes is a sum of table rows, so that inference adds rows of tables for
 byte pairs, and the gradient of a maximum touches one position only.
 
-Learning: text and non-null lang of a bounded number of documents per language (``PER_LANGUAGE``,
-chosen by a hash of the id) outside the held-out quarter; ``LANGUAGES`` most frequent values at most.
+Learning: text and non-null lang of a bounded number of documents per language (``PER_LANGUAGE``, fewer where more than
+``LEARN_DOCS`` would come together, one at least), chosen by a hash of the id outside the held-out quarter, one text a document.
+Every value of lang that has a text with a letter is learned; the bounds hold before anything reaches the driver.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and where nothing
-could be learned; equal texts are judged alike; ties between languages go to the first in sorted order.
+could be learned; equal texts are judged alike; ties between languages go to the first in sorted order; texts of any length are judged
+whole, window by window in bounded memory; an empty table has no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
 
@@ -30,8 +32,8 @@ UNDECIDED = "und"
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Documents learned from per language, windows of each, and languages at most.
-PER_LANGUAGE, WINDOWS_PER_TEXT, LANGUAGES = 600, 8, 256
+#: Documents learned from per language and together, and windows of each.
+PER_LANGUAGE, LEARN_DOCS, WINDOWS_PER_TEXT = 600, 60_000, 8
 #: Below this score the pipeline rejects a text.
 LEAST_SCORE = 0.3
 _SOME = 2048
@@ -79,7 +81,8 @@ class Network:
     # -- learning -------------------------------------------------------------------------
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, steps: int = 500, batch: int = 96, rate: float = 0.01, seed: int = 8) -> Network:
-        """Adam on the cross-entropy; each language is drawn equally often."""
+        """Adam on the cross-entropy; each language is drawn equally often, and beyond eight, each takes more steps."""
+        steps += steps // 16 * max(0, len(self.languages) - 8)
         rng = np.random.default_rng(seed)
         by_language = [np.flatnonzero(labels == k) for k in range(len(self.languages))]
         parts = [*self.filters.values(), *self.biases.values(), self.out]
@@ -162,33 +165,35 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, together: int = LEARN_DOCS) -> Network:
     """Learns from docs (doc_id, text, lang), held-out rows left out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    usable = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\pL") & ~common.held_out(F.col("doc_id"))
+    known = docs.where(usable).select("lang", "text", common.hash_rank("doc_id", "lang").alias("rank"), F.xxhash64("text").alias("key"))
+    # one row a language: as small as the labels' own set of values
+    counts = common.written(known.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n")), "counts")
+    languages = [r["lang"] for r in counts.select("lang").orderBy("lang").collect()]
+    if not languages:
         return Network([])
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
-    chosen = known.where(common.hash_rank("doc_id") < share).select("doc_id", "lang", "text")
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    per = max(1, min(per_language, together // len(languages)))
+    shares = counts.select("lang", F.least(F.lit(1.0), 1.5 * per / F.col("n") + 3.0 / F.sqrt("n")).alias("share"))
+    some = known.join(F.broadcast(shares), "lang").where(F.col("rank") < F.col("share")).groupBy("lang", "rank").agg(F.min("key").alias("key"))
+    # per rows a language are broadcast, one for each document
+    first = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("place") <= per).drop("place")
+    chosen = known.join(F.broadcast(first), ["lang", "rank", "key"]).select("lang", "rank", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches, "text"):
             windows, of = windowed(*common.utf8(piece.column("text")))
-            letters = has_letter(piece.column("text"))
-            rows = [(r, i) for r in range(piece.num_rows) if letters[r] for i in np.unique(np.linspace(of[r], of[r + 1] - 1, WINDOWS_PER_TEXT).astype(int))]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array([r for r, _ in rows], pa.int64())), piece.column("lang").take(pa.array([r for r, _ in rows], pa.int64())), pa.array([windows[i].tobytes() for _, i in rows], pa.binary())], names=["doc_id", "lang", "w"])
-
-    kind = dict(chosen.dtypes)["doc_id"]
-    rows = chosen.mapInArrow(some, f"doc_id {kind}, lang string, w binary").collect()
-    rows.sort(key=lambda r: (r.lang, r.doc_id, bytes(r.w)))
-    languages = sorted({r.lang for r in rows})
-    if not rows:
-        return Network([])
+            made = [windows[np.unique(np.linspace(a, b - 1, WINDOWS_PER_TEXT).astype(int))].tobytes() for a, b in zip(of[:-1], of[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("lang"), piece.column("rank"), pa.array(made, pa.binary())], names=["lang", "rank", "windows"])
+
+    # repeated rows once: at most per rows a language are left
+    rows = chosen.mapInArrow(cut, "lang string, rank double, windows binary").dropDuplicates(["lang", "rank"]).orderBy("lang", "rank").collect()
+    common.discard(counts)
     place = {lang: k for k, lang in enumerate(languages)}
-    windows = np.frombuffer(b"".join(bytes(r.w) for r in rows), dtype=np.uint8).reshape(-1, WINDOW)
-    return Network(languages).fit(windows, np.array([place[r.lang] for r in rows]))
+    windows = np.frombuffer(b"".join(r["windows"] for r in rows), dtype=np.uint8).reshape(-1, WINDOW)
+    labels = np.repeat([place[r["lang"]] for r in rows], [len(r["windows"]) // WINDOW for r in rows])
+    return Network(languages).fit(windows, labels)
 
 
 def predict(docs: DataFrame, network: Network, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -216,10 +221,11 @@ def keep_known(docs: DataFrame, network: Network, least: float = LEAST_SCORE) ->
                 known = (np.array(names, dtype=object) != UNDECIDED) & (score >= least)
             else:
                 known = has_letter(piece.column("text"))
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(known)], names=[*piece.schema.names, "__known"])
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(known)], names=[*piece.schema.names, mark])
 
-    out = docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__known", BooleanType()))
-    return out.where("__known").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark = common.free_name(docs.columns, "__known")
+    out = docs.mapInArrow(run, StructType([*docs.schema.fields]).add(mark, BooleanType()))
+    return out.where(F.col(mark)).select(*common.quoted(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,13 @@ with the logistic loss: the unlabelled text stands for both classes, the positiv
 out, and where that term falls below zero its gradient is turned round.  The prior is the share of toxic among the
 rows that may be learned from.
 
-Learning uses bounded numbers of positives (``POSITIVES``), unlabelled texts (``UNLABELLED``) and
-bytes of each (``SAMPLE_BYTES``), chosen by a hash of the id, never from the held-out quarter.
+Learning uses bounded numbers of positives (``POSITIVES``) and unlabelled texts (``UNLABELLED``) of any length, and bounded bytes
+of their features (``SAMPLE_BYTES``), chosen by a hash of the id, one text an id, never from the held-out quarter.  Features are made where the
+texts are, and both bounds hold before anything reaches the driver.
 
 Defined results: null and empty texts have no features and get the score of none; without a positive to learn from, all
-scores are 0; repeated rows score alike; a document with several labels is toxic if any is.
+scores are 0; repeated rows score alike; a document with several labels is toxic if any is; an empty table has no rows; texts of any
+length are scored whole; only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -34,8 +36,6 @@ POSITIVES, UNLABELLED, SAMPLE_BYTES = 3000, 6000, 48 << 20
 PREFIXES, FEATURES, LEAST_PURITY = (4, 5, 6), 4096, 0.6
 #: How often a word or beginning occurs in a text to be a second feature of it.
 OFTEN = 3
-#: Longer texts are scored like any other, but not learned from.
-LEARN_BYTES = 1 << 20
 THRESHOLD = 0.3
 _WORD = common.byte_class([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
@@ -116,10 +116,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     for step in range(1, steps + 1):
         zp = np.bincount(p[0], weights[p[1]], minlength=len(positive)) + bias
         zu = np.bincount(u[0], weights[u[1]], minlength=len(unlabelled)) + bias
+        _, negative_part = risk(zp, zu, prior)
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         towards_negative = sums(u, su) - prior * sums(p, sp)
-        g = prior * sums(p, sp - 1) + towards_negative if negative >= 0 else -towards_negative
+        g = prior * sums(p, sp - 1) + towards_negative if negative_part >= 0 else -towards_negative
         g[:-1] += decay * weights
         mean += 0.1 * (g - mean)
         square += 0.01 * (g * g - square)
@@ -129,6 +129,11 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(keys, weights, float(bias), prior)
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk from the margins of positive and unlabelled texts: of positives, and of negatives, which the estimator keeps from falling below zero."""
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
 def matrix(texts: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the features that texts have."""
     rows, columns = [], []
@@ -140,25 +145,37 @@ def matrix(texts: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(rows), np.concatenate(columns)
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, room: int = SAMPLE_BYTES) -> Model:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic)."""
     may = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id"))).select("doc_id", "toxic")
     prior = may.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0))).first()[0] or 0.0
+    if not prior:
+        return fit([], [], 0.0)
     kind = docs.schema["doc_id"].dataType
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~common.held_out(F.col("doc_id"))).select("doc_id", "text", F.xxhash64("text").alias("key"))
+    # of ids bounded numbers, and of an id's texts that with the smallest hash: what is broadcast below has positives + unlabelled short rows at most
     known = common.sampled(may.where("toxic = 1").select(F.col("doc_id").cast(kind).alias("doc_id")).distinct(), "doc_id", positives)
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id")))
-    chosen = known.select("doc_id", F.lit(True).alias("positive")).unionByName(common.sampled(ids, "doc_id", unlabelled).distinct().select("doc_id", F.lit(False).alias("positive")))
-
-    # at most positives + unlabelled ids: a bounded side to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= LEARN_BYTES).select("doc_id", "positive", "text", common.hash_rank("doc_id").alias("rank"))
-    texts: dict[bool, list[str]] = {True: [], False: []}
-    room = {True: SAMPLE_BYTES, False: SAMPLE_BYTES}
-    for r in sorted(rows.collect(), key=lambda r: (r["rank"], r.doc_id, r.text)):
-        if room[r.positive] > 0:
-            room[r.positive] -= len(r.text)
-            texts[r.positive].append(r.text)
-    found = {k: [features(*tokens(pa.array([t], pa.string())))[1] for t in v] for k, v in texts.items()}
-    return fit(found[True], found[False], prior)
+    marked = rows.join(F.broadcast(known), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("key").alias("key"))
+    share = min(1.0, 1.3 * unlabelled / max(1, rows.agg(F.approx_count_distinct("doc_id")).first()[0]))
+    others = rows.where(common.hash_rank("doc_id") < share).groupBy("doc_id").agg(F.min("key").alias("key")).orderBy(common.hash_rank("doc_id"), "doc_id").limit(unlabelled)
+    chosen = marked.withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in common.pieces(batches, "text"):
+            of, keys = features(*tokens(piece.column("text")))
+            order = np.argsort(of, kind="stable")
+            cuts = np.searchsorted(of[order], np.arange(piece.num_rows + 1))
+            made = [keys[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("positive"), pa.array(made, pa.binary())], names=["doc_id", "positive", "keys"])
+
+    found = rows.join(F.broadcast(chosen), ["doc_id", "key"]).select("doc_id", "positive", "text").mapInArrow(featured, f"doc_id {kind.simpleString()}, positive boolean, keys binary")
+    found = common.written(found.dropDuplicates(["doc_id", "positive"]).withColumn("rank", common.hash_rank("doc_id")), "features")
+    texts: dict[bool, list[np.ndarray]] = {}
+    for positive in (True, False):
+        some = common.within(found.where(F.col("positive") == positive), F.length("keys"), room, "rank", "doc_id").orderBy("rank", "doc_id").select("keys")
+        texts[positive] = [np.frombuffer(r["keys"], dtype=np.uint64) for r in some.toLocalIterator()]
+    common.discard(found)
+    return fit(texts[True], texts[False], prior)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -181,3 +181,84 @@ def test_hashes_do_not_depend_on_place():
     words = common.Words(*common.utf8(pa.array(["ab cd", "x ab", None, "cd ab cd"])), common.byte_class(range(97, 123)))
     h = words.hashes().tolist()
     assert h[0] == h[3] == h[5] and h[1] == h[4] == h[6] and len(set(h)) == 3
+
+
+def test_language_network_against_a_plain_forward_pass():
+    """One text at a time, one filter place at a time, without pair tables or batches."""
+    rng = random.Random(3)
+    net = language.Network(["a", "b", "c"])
+    net.biases = {w: np.float32(0.05) * np.arange(language.FILTERS, dtype=np.float32) for w in language.WIDTHS}
+    texts = ["Ab1 é", prose(rng, "fr", 90), "日本" * 70, " ", None, "12"]
+    names, scores = net.judge(pa.array(texts))
+    for text, name, score in zip(texts, names, scores, strict=True):
+        raw = (text or "").encode()
+        if not any(c.isalpha() for c in text or ""):
+            assert (name, score) == ("und", 0.0)
+            continue
+        total, n = np.zeros(3), 0
+        for at in range(0, len(raw), language.WINDOW):
+            x = [int(language.byte_classes()[b]) for b in raw[at : at + language.WINDOW]]
+            x += [0] * (language.WINDOW - len(x))
+            hidden = []
+            for w in language.WIDTHS:
+                for f in range(language.FILTERS):
+                    best = max(sum(float(net.filters[w][k][x[p + k]][f]) for k in range(w)) for p in range(language.WINDOW - w + 1))
+                    hidden.append(max(0.0, best + float(net.biases[w][f])))
+            z = [sum(h * float(net.out[i][c]) for i, h in enumerate([*hidden, 1.0])) for c in range(3)]
+            e = np.exp(np.array(z) - max(z))
+            total, n = total + e / e.sum(), n + 1
+        assert name == "abc"[int(np.argmax(total / n))] and abs(score - (total / n).max()) < 1e-4
+
+
+def test_every_language_can_be_predicted(spark):
+    rows = [(i, f"{chr(0x4E00 + i // 5)}" * 40, f"l{i // 5:03d}") for i in range(5 * 260)]
+    net = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), together=600)
+    assert len(net.languages) == 260
+
+
+def test_samples_of_repeated_ids_are_bounded(spark, monkeypatch):
+    """One id, and one row, a hundred thousand times: what reaches the driver stays small, and the others are still learned."""
+    rng, seen = random.Random(5), []
+    fit, learn = language.Network.fit, toxicity.fit
+    monkeypatch.setattr(language.Network, "fit", lambda self, windows, labels, **k: (seen.append(len(windows)), fit(self, windows, labels, steps=200))[1])
+    monkeypatch.setattr(toxicity, "fit", lambda positive, unlabelled, prior: (seen.append(len(positive) + len(unlabelled)), learn(positive, unlabelled, prior))[1])
+    rows = [(k, prose(rng, lang, 12) + (" zorg blarg" if k % 3 == 0 else ""), lang) for k in range(1, 300) for lang in [rng.choice(list(SOUNDS))]]
+    hot = next(k for k in range(1000, 2000) if not out_of_sample(k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    same = spark.range(100_000).selectExpr(f"{hot} AS doc_id", "'the same and the same ing' AS text", "'en' AS lang")
+    other = spark.range(3000).selectExpr(f"{hot} AS doc_id", "concat('der text und ', id) AS text", "'de' AS lang")
+    docs = docs.unionByName(same).unionByName(other)
+    net = language.train(docs, per_language=50)
+    assert seen.pop() <= 3 * 50 * language.WINDOWS_PER_TEXT and net.languages == ["de", "en", "fr"]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(1, 300)] + [(hot, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), labels, positives=60, unlabelled=200)
+    assert 60 < seen.pop() <= 260 and len(model.keys)
+    room = toxicity.train(docs.select("doc_id", "text"), labels, positives=60, unlabelled=200, room=2000)
+    assert seen.pop() < 60 and room.prior == model.prior
+
+
+def test_the_risk_by_single_texts():
+    """The estimator from its definition, one text at a time; and the trained model has less of it than the one it started from."""
+    rng = np.random.default_rng(2)
+    zp, zu, prior = rng.normal(size=40), rng.normal(size=90), 0.3
+    up = lambda z: np.log(1 + np.exp(-z))
+    down = lambda z: np.log(1 + np.exp(z))
+    positive, negative = toxicity.risk(zp, zu, prior)
+    assert abs(positive - prior * sum(up(z) for z in zp) / 40) < 1e-12
+    assert abs(negative - (sum(down(z) for z in zu) / 90 - prior * sum(down(z) for z in zp) / 40)) < 1e-12
+    texts = [np.unique(rng.integers(1, 40, 8)).astype(np.uint64) * np.uint64(2) for _ in range(200)]
+    marked = [np.append(t, np.uint64(1000)) for t in texts[:60]]
+    unlabelled = texts[60:] + [np.append(t, np.uint64(1000)) for t in texts[:30]]
+    model = toxicity.fit(marked, unlabelled, 0.18)
+    margin = lambda rows: np.array([model.bias + model.weights[np.isin(model.keys, t)].sum() for t in rows])
+    total = lambda a, b: sum(max(0.0, x) for x in toxicity.risk(a, b, 0.18))
+    assert total(margin(marked), margin(unlabelled)) < total(np.full(60, -1.0), np.full(len(unlabelled), -1.0))
+    assert np.mean(margin(marked) > 0) == 1
+
+
+def test_very_long_toxic_texts_are_learned_from(spark):
+    rows = [(k, ("zorg blarg vrak " * 100_000 if k < 24 else "calm words of a day number ") + str(k)) for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k < 24)) for k in range(200)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, labels)
+    assert len(model.keys) and by_id(toxicity.score(spark.createDataFrame([(1, "zorg blarg vrak zorg blarg vrak zorg")], "doc_id long, text string"), model))[1].predicted == 1
