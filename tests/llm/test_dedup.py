@@ -65,34 +65,81 @@ def test_repeated_rows_and_empty_tables(spark, docs_of):
     rows = simhash.components_of(docs_of([(5, "x y"), (5, "x y"), (9, "x y")])).collect()
     assert [r.component_id for r in rows] == [5, 5, 5]
     assert simhash.components_of(docs_of([])).count() == 0
-    kept = simhash.deduplicate(docs_of([(5, "x y"), (5, "x y"), (9, "x y"), (None, "x y"), (7, "other words altogether here")]))
+    kept = simhash.deduplicate(docs_of([(5, "x y"), (5, "x y"), (9, "x y"), (None, "x y"), (7, "other words altogether here"), (None, "none of these has any id"), (None, "none of these has any id")]))
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["5", "7", "None"]
 
 
-@pytest.mark.parametrize(("large", "huge"), [(64, 1 << 14), (2, 1 << 14), (2, 3)])
-def test_forests_lose_no_link(monkeypatch, large, huge):
-    monkeypatch.setattr(simhash, "LARGE", large)
-    monkeypatch.setattr(simhash, "HUGE", huge)
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
-    flips = [base]
+def test_of_rows_with_one_id_the_same_one_stays(spark, docs_of):
+    rows = [(5, f"text number {k} of five with words of its own: {'abcdefgh'[k] * 40}") for k in range(8)]
+    kept = [simhash.deduplicate(docs_of(some).selectExpr("*", "1 AS `a.b`", "2 AS `__ROW`", "map('k', doc_id) AS m").repartition(n)).collect() for n, some in ((1, rows), (4, rows[::-1]))]
+    assert kept[0] == kept[1] and len({r.doc_id for r in kept[0]}) == 1 and kept[0][0]["a.b"] == 1
+
+
+def around(n, seed=1):
+    """Some fingerprints, and others up to four, eight ... bits from them."""
+    rng = np.random.default_rng(seed)
+    out = [rng.integers(0, 1 << 63, n, dtype=np.uint64)]
     for _ in range(4):
-        f = base.copy()
+        f = out[-1].copy()
         for _ in range(4):
-            f ^= np.uint64(1) << rng.integers(0, 64, len(base), dtype=np.uint64)
-        flips.append(f)
-    fps = np.concatenate(flips)
-
-    def partition(edges):
-        joined = components.Union(len(fps))
-        place = {int(f): i for i, f in reversed(list(enumerate(fps)))}
-        for a, b in edges:
-            joined.join(place[int(a)], place[int(b)])
-        return [joined.find(place[int(f)]) for f in fps]
-
-    wanted = partition((a, b) for a in fps for b in fps[np.bitwise_count(fps ^ a) <= 4])
+            f ^= np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+        out.append(f)
+    return np.unique(np.concatenate(out))
+
+
+def partition(fps, edges):
+    joined = components.Union(len(fps))
+    place = {int(f): i for i, f in enumerate(fps)}
+    for a, b in edges:
+        joined.join(place[int(a)], place[int(b)])
+    return [joined.find(k) for k in range(len(fps))]
+
+
+def all_links(fps):
+    return partition(fps, ((a, b) for a in fps for b in fps[np.bitwise_count(fps ^ a) <= 4]))
+
+
+@pytest.mark.parametrize("large", [64, 2])
+def test_forests_lose_no_link(monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    fps = around(60)
     for keys, owners in (simhash.signatures(fps), (np.zeros(len(fps), dtype=np.uint64), fps)):
-        assert partition(zip(*simhash.forest(keys, owners), strict=True)) == wanted
+        a, b, huge = simhash.forest(keys, owners)
+        assert partition(fps, zip(a, b, strict=True)) == all_links(fps) and not huge
+
+
+def test_filing_again_loses_no_pair():
+    rng = np.random.default_rng(4)
+    for path in ("0", "1", "2", "02", "121", "2001"):
+        fps = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        left, width = simhash.rest(fps, path)
+        assert (left < np.uint64(1 << width)).all() and width == 64 - sum(simhash.segments(w)[int(d)][1] for w, d in zip(widths(path), path, strict=True))
+        other = fps.copy()
+        for _ in range(4):
+            other ^= np.uint64(1) << rng.integers(0, 64, len(fps), dtype=np.uint64)
+        met = np.zeros(len(fps), dtype=bool)
+        for (_, a), (_, b) in zip(simhash.refiled(7, path, fps), simhash.refiled(7, path, other), strict=True):
+            met |= a == b
+        assert met.all()
+
+
+def widths(path):
+    out = [64]
+    for d in path:
+        out.append(out[-1] - simhash.segments(out[-1])[int(d)][1])
+    return out[:-1]
+
+
+@pytest.mark.parametrize("huge", [3, 1 << 14])
+def test_links_of_huge_keys(spark, monkeypatch, huge):
+    """Fingerprints that agree in two segments, so that every file of those is huge and goes through all filings."""
+    monkeypatch.setattr(simhash, "HUGE", huge)
+    monkeypatch.setattr(simhash, "LARGE", 2)
+    fps = np.unique(np.concatenate([around(12), around(40) & np.uint64(0x3FFFFF) | np.uint64(0x5555 << 40)]))
+    found = simhash.links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"), len(fps)).collect()
+    edges = [(np.uint64(r.a % (1 << 64)), np.uint64(r.b % (1 << 64))) for r in found]
+    assert partition(fps, edges) == all_links(fps)
+    assert all(np.bitwise_count(a ^ b) <= 4 for a, b in edges)
 
 
 def test_rounds_are_logarithmic(spark):
