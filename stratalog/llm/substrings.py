@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import common
@@ -168,6 +168,10 @@ class Index:
         self.history: DataFrame | None = None
         self.compactions = 0
 
+    def _by_bucket(self, rows: DataFrame) -> GroupedData:
+        """As many tasks as buckets, so that what a task reads does not grow with the table."""
+        return rows.repartition(self.buckets, "bucket").groupBy("bucket")
+
     def fill(self, docs: DataFrame) -> DataFrame:
         """Takes a batch in; returns its wants, one table of many rows a document.  Repeats are found by verify()."""
         found = common.written(self._find(narrow(docs)), "found", by="kind")
@@ -179,7 +183,7 @@ class Index:
     def verify(self, docs: DataFrame, wants: DataFrame) -> DataFrame:
         """The repeats of all batches at once: docs and wants are those of all; smaller ids come first."""
         checked = common.written(self._verify(narrow(docs), wants, keep=False), "checked", by="kind")
-        return checked.where(F.col("kind") == _HIT).groupBy("bucket").applyInArrow(hits_by_document, "doc_id long, text_key long, starts binary")
+        return self._by_bucket(checked.where(F.col("kind") == _HIT)).applyInArrow(hits_by_document, "doc_id long, text_key long, starts binary")
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """Repeats in a batch that arrives (doc_id, text): doc_id, text_key, and starts, the 32-bit numbers of the windows' first words.
@@ -196,7 +200,7 @@ class Index:
             self.history = docs if self.history is None else self.history.unionByName(docs)
             if len(self.runs) > MOST_RUNS:
                 self.compact()
-        return checked.where(F.col("kind") == _HIT).groupBy("bucket").applyInArrow(hits_by_document, "doc_id long, text_key long, starts binary")
+        return self._by_bucket(checked.where(F.col("kind") == _HIT)).applyInArrow(hits_by_document, "doc_id long, text_key long, starts binary")
 
     def _find(self, docs: DataFrame) -> DataFrame:
         """Wants of the batch and its run."""
@@ -250,7 +254,7 @@ class Index:
         sent = docs.select("doc_id", "text").mapInArrow(send, ddl(_FOUND))
         for run in self.runs:
             sent = sent.unionByName(run.select(list(_FOUND)))
-        return sent.groupBy("bucket").applyInArrow(merge, ddl(_FOUND))
+        return self._by_bucket(sent).applyInArrow(merge, ddl(_FOUND))
 
     def _verify(self, docs: DataFrame, wanted: DataFrame, keep: bool = True) -> DataFrame:
         """Hits of the batch and, if they are to be kept, its run of digests."""
@@ -258,7 +262,7 @@ class Index:
         texts = docs.withColumn("fresh", F.lit(True))
         if self.history is not None:
             texts = texts.unionByName(self.history.withColumn("fresh", F.lit(False)))
-        asked = wanted.groupBy("bucket").applyInArrow(wants_by_document, "doc_id long, wanted binary")
+        asked = self._by_bucket(wanted).applyInArrow(wants_by_document, "doc_id long, wanted binary")
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for piece in common.pieces(batches, "text", PIECE):
@@ -307,7 +311,7 @@ class Index:
         sent = texts.join(asked, "doc_id").select("doc_id", "text_key", "text", "fresh", "wanted").mapInArrow(send, ddl(_SEEN_ROW))
         for run in self.digests:
             sent = sent.unionByName(run, allowMissingColumns=True)
-        return sent.groupBy("bucket").applyInArrow(merge, ddl(_CHECKED))
+        return self._by_bucket(sent).applyInArrow(merge, ddl(_CHECKED))
 
     def compact(self) -> None:
         """Merges the runs into one, bucket by bucket."""
@@ -332,7 +336,7 @@ class Index:
             together = runs[0].select(list(columns))
             for run in runs[1:]:
                 together = together.unionByName(run.select(list(columns)))
-            merged = common.written(together.groupBy("bucket").applyInArrow(merge, ddl(columns)), name)
+            merged = common.written(self._by_bucket(together).applyInArrow(merge, ddl(columns)), name)
             common.discard(*runs)  # the other rows of those tables may still be read
             setattr(self, name, [merged])
 
