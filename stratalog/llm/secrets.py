@@ -5,7 +5,7 @@ longest and does not overlap the kind's previous one; base matches that are too
 after they have taken their text.  Positions are code points, ends exclusive.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned alike; texts of any
-length are scanned whole; other columns are not read, so clashing names do not matter.
+length are scanned whole; an empty table has no rows; other columns are not read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -120,10 +120,11 @@ def redact(docs: DataFrame, drop: bool = False) -> DataFrame:
             if "n_chars" in piece.schema.names:
                 k = piece.schema.names.index("n_chars")
                 columns[k] = pa.array([len(t) if x else n for t, x, n in zip(texts, found, columns[k].to_pylist(), strict=True)], columns[k].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(x) for x in found], pa.bool_())], names=[*piece.schema.names, "__found"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(x) for x in found], pa.bool_())], names=[*piece.schema.names, mark])
 
-    out = docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__found", BooleanType()))
-    return (out.where(~F.col("__found")) if drop else out).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark = common.free_name(docs.columns, "__found")
+    out = docs.mapInArrow(run, StructType([*docs.schema.fields]).add(mark, BooleanType()))
+    return (out.where(~F.col(mark)) if drop else out).select(*common.quoted(docs.columns))
 
 
 def cut(text: str, spans: list[Span]) -> str:
