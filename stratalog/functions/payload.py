@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 def batched(kind: str) -> Callable:
@@ -115,25 +115,54 @@ def digests(payload: Column) -> Column:
     return F.struct(F.crc32(payload).alias("crc32"), adler32(payload).alias("adler32"), crc64(payload).alias("crc64"), F.md5(payload).alias("md5"), F.sha1(payload).alias("sha1"), F.sha2(payload, 256).alias("sha256"))
 
 
-def _times(matrix: list[int], vector: int) -> int:
-    out, i = 0, 0
-    while vector:
-        if vector & 1:
-            out ^= matrix[i]
-        vector, i = vector >> 1, i + 1
+@functools.cache
+def _crc32_skips() -> list[np.ndarray]:
+    """What a 32-bit state becomes after 1, 2, 4 ... zero bytes, by each of its bytes: the checksum is linear, and each table is the last one applied twice."""
+    ones = np.array([zlib.crc32(b"\0", 1 << bit ^ 0xFFFFFFFF) ^ 0xFFFFFFFF for bit in range(32)], dtype=np.uint32)
+    out = []
+    for _ in range(62):
+        table = np.zeros((4, 256), dtype=np.uint32)
+        for bit in range(32):
+            have = np.arange(256) >> bit % 8 & 1 == 1
+            table[bit // 8, have] ^= ones[bit]
+        out.append(table)
+        ones = _skipped(table, ones)
     return out
 
 
+def _skipped(table: np.ndarray, states: np.ndarray) -> np.ndarray:
+    return table[0][states & 255] ^ table[1][states >> 8 & 255] ^ table[2][states >> 16 & 255] ^ table[3][states >> 24]
+
+
+def shifted_crc32(crcs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The part of a whole's checksum that a piece's checksum has, so many bytes before the end."""
+    states = crcs.astype(np.uint32)
+    for k, table in enumerate(_crc32_skips()):
+        moved = lengths >> k & 1 == 1
+        if moved.any():
+            states[moved] = _skipped(table, states[moved])
+    return states
+
+
 def combine_crc32(first: int, second: int, second_length: int) -> int:
-    """The checksum of two parts together, from theirs: the first is moved past the second's zero bits by squaring the one-bit step."""
-    step = [0xEDB88320] + [1 << i for i in range(31)]
-    bits = second_length * 8
-    while bits:
-        if bits & 1:
-            first = _times(step, first)
-        step = [_times(step, row) for row in step]
-        bits >>= 1
-    return first ^ second
+    """The checksum of two parts together, from theirs."""
+    return int(shifted_crc32(np.array([first]), np.array([second_length]))[0]) ^ second
+
+
+@batched("long")
+def crc32_before(crc: pd.Series, tail: pd.Series) -> pd.Series:
+    """shifted_crc32 of columns; null for null."""
+    there = crc.notna() & tail.notna()
+    out = pd.Series(pd.NA, index=crc.index, dtype="Int64")
+    out[there] = shifted_crc32(crc[there].to_numpy(np.int64), tail[there].to_numpy(np.int64)).astype(np.int64)
+    return out
+
+
+def combined_crc32(chunks: DataFrame, key: str, order: str, crc: str = "crc32", size: str = "size") -> DataFrame:
+    """key and crc32 of every payload, from the checksums and sizes of its chunks: each moved past what follows it, then summed bit by bit."""
+    after = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    moved = chunks.select(key, crc32_before(F.col(crc), F.coalesce(F.sum(size).over(after), F.lit(0))).alias("part"))
+    return moved.groupBy(key).agg(F.bit_xor("part").alias("crc32"))
 
 
 # -- entropy ----------------------------------------------------------------------------------
@@ -157,9 +186,32 @@ def byte_histogram(payload: pd.Series) -> pd.Series:
     return payload.map(lambda b: None if b is None else byte_counts(b))
 
 
+def entropies_of(payloads: list[bytes]) -> np.ndarray:
+    """Bits a byte of each payload, all counted over one buffer."""
+    sizes = np.fromiter(map(len, payloads), dtype=np.int64, count=len(payloads))
+    out, at = np.zeros(len(payloads)), 0
+    ends = np.cumsum(sizes)
+    while at < len(payloads):  # some payloads at a time, so that keys stay in bounded memory
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 22), side="right")))
+        data = np.frombuffer(b"".join(payloads[at:stop]), dtype=np.uint8)
+        if stop == at + 1:
+            out[at] = entropy_of(np.bincount(data, minlength=256))
+        else:
+            rows = np.repeat(np.arange(stop - at, dtype=np.int64), sizes[at:stop])
+            counts = np.bincount(rows << 8 | data, minlength=(stop - at) << 8).reshape(-1, 256)
+            total = np.maximum(sizes[at:stop], 1)
+            p = counts / total[:, None]
+            out[at:stop] = np.clip(-(p * np.log2(np.where(counts > 0, p, 1.0))).sum(axis=1), 0.0, 8.0)
+        at = stop
+    return out
+
+
 @batched("double")
 def entropy(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda b: None if b is None else entropy_of(byte_counts(b)))
+    there = payload.notna()
+    out = pd.Series(pd.NA, index=payload.index, dtype="Float64")
+    out[there] = entropies_of(payload[there].tolist())
+    return out
 
 
 def strided(data: bytes, limit: int) -> bytes:
@@ -224,6 +276,7 @@ def scenario(text: Column) -> Column:
     return F.when(any_of("airdrop", "instant", "lan", "fast"), "instant").when(any_of("cold", "max", "backup", "archive"), "cold").otherwise("balanced")
 
 
+#: The thresholds, levels, speeds and factors of the recommendation below.
 def recommendation(entropy_bits: Column, ratio: Column, kind: Column) -> Column:
     """struct(algorithm, level, throughput_mbs, savings_pct) by entropy, trial ratio and scenario."""
 

@@ -52,6 +52,34 @@ def edited(entries: DataFrame, deletes: DataFrame | None = None, upserts: DataFr
     return out
 
 
+class Session:
+    """An edit of a catalogue that nothing sees until it is committed: the base stays as it is, later changes of a key win."""
+
+    def __init__(self, base: DataFrame, key: str = "path") -> None:
+        self.base, self.key, self.state = base, key, base
+        self.before: DataFrame | None = None
+
+    def delete(self, keys: DataFrame) -> Session:
+        self.state = edited(self.state, deletes=keys, key=self.key)
+        return self
+
+    def upsert(self, rows: DataFrame) -> Session:
+        self.state = edited(self.state, upserts=rows, key=self.key)
+        return self
+
+    def commit(self) -> DataFrame:
+        """The edited catalogue, which is the base of what follows."""
+        self.before, self.base = self.base, self.state
+        return self.base
+
+    def rollback(self) -> DataFrame:
+        """The catalogue before the last commit, or before the changes that were not committed."""
+        if self.state is self.base and self.before is not None:
+            self.base, self.before = self.before, None
+        self.state = self.base
+        return self.base
+
+
 def edit_effects(entries: DataFrame, deletes: DataFrame, upserts: DataFrame, key: str = "path") -> DataFrame:
     """What an edit would do: action and n, of deletes that hit, replacements and appends."""
     known = entries.select(key).distinct()

@@ -8,16 +8,20 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from stratalog.functions import paths
 
-#: Digits of a number in a natural key; longer numbers sort after by their length.
-DIGITS = 20
+#: Digits that the length of a number is written with in a natural key.
+WIDTH = 10
 COMPLETIONS, HITS = 15, 50
 
 
 def natural_key(name: Column) -> Column:
-    """A string whose plain order is the natural one: in lower case, numbers filled up with zeros; the name itself parts ties."""
+    """A string whose plain order is the natural one: in lower case, each number after the count of its digits, however many; the name itself parts ties."""
     pieces = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1)
-    padded = F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), DIGITS, "0")).otherwise(p))
-    return F.concat(F.array_join(padded, ""), F.lit("\x01"), name)
+
+    def counted(piece: Column) -> Column:
+        digits = F.regexp_replace(piece, "^0+(?=.)", "")
+        return F.when(piece.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), WIDTH, "0"), digits)).otherwise(piece)
+
+    return F.concat(F.array_join(F.transform(pieces, counted), ""), F.lit("\x01"), name)
 
 
 MODES = ("name_asc", "name_desc", "size_asc", "size_desc", "date_asc", "date_desc", "kind")

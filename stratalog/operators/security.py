@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import paths, payload
@@ -75,3 +75,21 @@ def issue_summary(issues: DataFrame, *by: str) -> DataFrame:
     """Errors and warnings of compliance issues, and whether there is no error."""
     errors = F.count_if(F.col("severity") == "ERROR")
     return issues.groupBy(*by).agg(errors.cast("long").alias("n_errors"), F.count_if(F.col("severity") == "WARNING").cast("long").alias("n_warnings"), (errors == 0).alias("is_compliant"))
+
+
+#: From this number on, a name that is taken gets a digest instead.
+MOST_NUMBER = 1000
+
+
+def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """name and free for each distinct wanted name: itself, or with the least number from 2 on that no taken name has."""
+    names = wanted.select("name").distinct()
+    number = F.regexp_extract("name", r" (\d{1,9})$", 1)
+    plain = taken.select("name", F.lit(1).alias("k"))
+    numbered = taken.where(number.rlike("^[1-9]")).select(F.regexp_extract("name", r"^(.*) \d{1,9}$", 1).alias("name"), number.cast("int").alias("k")).where("k >= 2")
+    used = plain.unionByName(numbered).distinct().join(names, "name", "left_semi")
+    # a gap is where a number is above its place; 1 is the name itself
+    place = used.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("k")))
+    gaps = place.groupBy("name").agg(F.coalesce(F.min(F.when(F.col("k") > F.col("place"), F.col("place"))), F.max("place") + 1).alias("first"), F.min("k").alias("least"))
+    free = F.when(F.col("least").isNull() | (F.col("least") > 1), F.col("name")).when(F.col("first") < MOST_NUMBER, F.concat_ws(" ", "name", F.col("first").cast("string"))).otherwise(F.concat(F.col("name"), F.lit("_"), F.substring(F.sha2("name", 256), 1, 6)))
+    return names.join(gaps, "name", "left").select("name", free.alias("free"))

@@ -72,9 +72,9 @@ def totals(entries: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def encryption_tier(entries: DataFrame, header_encrypted: Column) -> DataFrame:
-    """none, data or header+data."""
-    return entries.agg(F.when(F.coalesce(F.bool_or(header_encrypted), F.lit(False)), "header+data").when(F.coalesce(F.bool_or("is_encrypted"), F.lit(False)), "data").otherwise("none").alias("tier"))
+def encryption_tier(entries: DataFrame, header_encrypted: Column, *by: str) -> DataFrame:
+    """none, data or header+data, of each group."""
+    return entries.groupBy(*by).agg(F.when(F.coalesce(F.bool_or(header_encrypted), F.lit(False)), "header+data").when(F.coalesce(F.bool_or("is_encrypted"), F.lit(False)), "data").otherwise("none").alias("tier"))
 
 
 def composition(entries: DataFrame) -> DataFrame:

@@ -56,11 +56,12 @@ def local_header(path: Column) -> Column:
 
 
 def split_plan(archives: DataFrame, volume_size: int, naming: str = "numbered") -> DataFrame:
-    """name, volume, path, start and length of the volumes that archives (name, size) are cut into."""
+    """name, volume, path, start and length of the volumes that archives (name, size) are cut into, and their content if they have any."""
     if volume_size <= 0:
         raise ValueError("a volume has at least one byte")
     n = F.greatest(F.lit(1), F.ceil(F.col("size") / volume_size)).cast("int")
-    rows = archives.select("name", "size", F.posexplode(F.sequence(F.lit(1), n)).alias("k", "volume"), n.alias("n"))
+    more = ["content"] * ("content" in archives.columns)
+    rows = archives.select("name", "size", *more, F.posexplode(F.sequence(F.lit(1), n)).alias("k", "volume"), n.alias("n"))
     stem = F.regexp_replace("name", r"\.[^.]*$", "")
     ext = F.concat(F.lit("."), paths.extension(F.col("name")))
     path = {
@@ -69,4 +70,10 @@ def split_plan(archives: DataFrame, volume_size: int, naming: str = "numbered")
         "part": F.concat(F.format_string("%s.part%d", stem, "volume"), ext),
     }[naming]
     start = (F.col("volume") - 1) * F.lit(volume_size).cast("long")
-    return rows.select("name", "volume", path.alias("path"), start.alias("start"), F.least(F.lit(volume_size).cast("long"), F.col("size") - start).alias("length"))
+    return rows.select("name", "volume", path.alias("path"), start.alias("start"), F.least(F.lit(volume_size).cast("long"), F.col("size") - start).alias("length"), *more)
+
+
+def cut(files: DataFrame, volume_size: int, naming: str = "numbered") -> DataFrame:
+    """name, volume, path and bytes of the volumes of files (name, content): the plan is made on the row that holds the bytes, without a join."""
+    plan = split_plan(files.select("name", F.length("content").cast("long").alias("size"), "content"), volume_size, naming)
+    return plan.select("name", "volume", "path", F.substring(F.col("content"), (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("bytes"))

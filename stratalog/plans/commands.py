@@ -1,4 +1,4 @@
-"""The command surface as plans: each takes tables or paths and returns a DataFrame; nothing prints."""
+"""The command surface as plans: each takes tables, or files by path or as a table (path, size, content), and returns a DataFrame; nothing prints."""
 
 from __future__ import annotations
 
@@ -12,51 +12,55 @@ from stratalog.operators import bench, codecs, diff, security, tree, volumes
 from stratalog.sources import archives
 
 
-def list_(spark: SparkSession, path: str, query: str = "", now: int = 0) -> DataFrame:
+def _files(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    return source if isinstance(source, DataFrame) else archives.files(spark, source)
+
+
+def list_(spark: SparkSession, path: str | DataFrame, query: str = "", now: int = 0) -> DataFrame:
     """Entries that a query keeps, with their ratio."""
-    rows = archives.entries(archives.files(spark, path)).where("error is null")
+    rows = archives.entries(_files(spark, path)).where("error is null")
     return dsl.filter_entries(rows, query, now).withColumn("ratio_pct", paths.compression_ratio(F.col("compressed_size"), F.col("uncompressed_size")))
 
 
-def info(spark: SparkSession, path: str) -> DataFrame:
-    return tree.totals(archives.entries(archives.files(spark, path)).where("error is null"), "archive_id")
+def info(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    return tree.totals(archives.entries(_files(spark, path)).where("error is null"), "archive_id")
 
 
-def show_tree(spark: SparkSession, path: str, max_depth: int | None = None) -> DataFrame:
-    nodes = tree.nodes(archives.entries(archives.files(spark, path)).where("error is null"))
+def show_tree(spark: SparkSession, path: str | DataFrame, max_depth: int | None = None) -> DataFrame:
+    nodes = tree.nodes(archives.entries(_files(spark, path)).where("error is null"))
     return tree.tree_order(nodes if max_depth is None else nodes.where(F.col("depth") <= max_depth))
 
 
-def compare(spark: SparkSession, a: str, b: str) -> DataFrame:
+def compare(spark: SparkSession, a: str | DataFrame, b: str | DataFrame) -> DataFrame:
     """Differences of two archives; checksums that a format lacks are made from the payloads."""
 
-    def side(path: str) -> DataFrame:
-        rows = archives.entries(archives.files(spark, path), with_payload=True).where("error is null")
+    def side(path: str | DataFrame) -> DataFrame:
+        rows = archives.entries(_files(spark, path), with_payload=True).where("error is null")
         return tree.last_of_each_path(rows.select("path", "entry_idx", "uncompressed_size", F.coalesce("crc32", F.crc32("payload")).alias("crc32")))
 
     return diff.diff(side(a), side(b)).where("status <> 'same'").orderBy("status", "path")
 
 
-def hashes(spark: SparkSession, path: str) -> DataFrame:
-    return archives.files(spark, path).select("path", payload.digests(F.col("content")).alias("d")).select("path", "d.*")
+def hashes(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    return _files(spark, path).select("path", payload.digests(F.col("content")).alias("d")).select("path", "d.*")
 
 
-def check(spark: SparkSession, path: str) -> DataFrame:
+def check(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Every payload read and compared with its checksum; broken archives are CORRUPTED."""
-    rows = archives.entries(archives.files(spark, path), with_payload=True)
+    rows = archives.entries(_files(spark, path), with_payload=True)
     bad = rows.where("error is not null").groupBy("archive_id").agg(F.first("error").alias("error"))
     good = security.integrity(rows.where("error is null").withColumn("crc32", F.coalesce("crc32", F.crc32("payload"))), "archive_id")
     both = good.join(bad, "archive_id", "full_outer")
     return both.withColumn("status", F.when(F.col("error").isNotNull(), "CORRUPTED").otherwise(F.col("status")))
 
 
-def cat(spark: SparkSession, archive: str, path: str) -> DataFrame:
-    return diff.by_path(archives.entries(archives.files(spark, archive), with_payload=True).where("error is null"), path).select("path", "payload")
+def cat(spark: SparkSession, archive: str | DataFrame, path: str) -> DataFrame:
+    return diff.by_path(archives.entries(_files(spark, archive), with_payload=True).where("error is null"), path).select("path", "payload")
 
 
-def extract(spark: SparkSession, path: str, query: str = "") -> DataFrame:
+def extract(spark: SparkSession, path: str | DataFrame, query: str = "") -> DataFrame:
     """Payloads with the path each would be written to; paths that would escape are rows with a reason and no payload."""
-    rows = dsl.filter_entries(archives.entries(archives.files(spark, path), with_payload=True).where("error is null and not is_directory"), query)
+    rows = dsl.filter_entries(archives.entries(_files(spark, path), with_payload=True).where("error is null and not is_directory"), query)
     good = paths.is_extractable(F.col("path"))
     return rows.select("archive_id", "path", F.when(good, paths.normalised(F.col("path"))).alias("target"), F.when(good, F.col("payload")).alias("payload"), F.when(~good, "unsafe path").when(F.col("payload").isNull(), "not readable").alias("reason"))
 
@@ -65,25 +69,24 @@ def create(table: DataFrame, by: str, container: str = "zip") -> DataFrame:
     return archives.pack(table, by, container)
 
 
-def repair(spark: SparkSession, path: str) -> DataFrame:
-    return archives.entries(archives.files(spark, path), with_payload=True, salvage=True)
+def repair(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    return archives.entries(_files(spark, path), with_payload=True, salvage=True)
 
 
-def split(spark: SparkSession, path: str, volume_size: int, naming: str = "numbered") -> DataFrame:
+def split(spark: SparkSession, path: str | DataFrame, volume_size: int, naming: str = "numbered") -> DataFrame:
     """Volumes of every file: name, path and bytes."""
-    files = archives.files(spark, path).select(paths.basename(F.col("path")).alias("name"), "size", "content")
-    plan = volumes.split_plan(files.select("name", "size"), volume_size, naming)
-    return plan.join(files.select("name", "content"), "name").select("name", "volume", "path", F.substring(F.col("content"), (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("bytes"))
+    files = _files(spark, path).select(paths.basename(F.col("path")).alias("name"), "size", "content")
+    return volumes.cut(files, volume_size, naming)
 
 
-def join(spark: SparkSession, path: str) -> DataFrame:
-    files = archives.files(spark, path)
+def join(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    files = _files(spark, path)
     chains = volumes.chains(files.select("path", "size")).where("scheme <> 'single'")
     return archives.join_volumes(files, chains)
 
 
-def convert(spark: SparkSession, path: str, container: str) -> DataFrame:
-    rows = archives.entries(archives.files(spark, path), with_payload=True).where("error is null")
+def convert(spark: SparkSession, path: str | DataFrame, container: str) -> DataFrame:
+    rows = archives.entries(_files(spark, path), with_payload=True).where("error is null")
     return archives.pack(diff.converted(rows), "archive_id", container)
 
 
@@ -122,3 +125,9 @@ def batch(spark: SparkSession, tasks: dict[str, Callable[[], DataFrame]], tag: s
 
 def cancel(spark: SparkSession, tag: str) -> list[str]:
     return spark.interruptTag(tag)
+
+
+def cache_stats(spark: SparkSession) -> DataFrame:
+    """What Spark keeps of persisted tables: partitions, and bytes in memory and on disk."""
+    rows = [(i.name(), i.numCachedPartitions(), i.memSize(), i.diskSize()) for i in spark.sparkContext._jsc.sc().getRDDStorageInfo()]
+    return spark.createDataFrame(rows, "name string, n_partitions int, memory_bytes long, disk_bytes long")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import dsl, fuzzy, globs, parity, paths, payload, signatures
 from stratalog.operators import audit, bench, codecs, diff, search, security, tree, volumes
-from stratalog.plans import catalog
+from stratalog.plans import catalog, oracles
 from stratalog.sources import archives, reports
 from stratalog.streaming import throttle
 
@@ -203,10 +203,10 @@ def _(spark, sf_dir):
     return tree.deepest_first(catalog.page_entries(spark, sf_dir).select("path", paths.depth(F.col("path")).alias("depth")))
 
 
-@query("fuzzy_search")
+@query("fuzzy_search", oracles.FUZZY)
 def _(spark, sf_dir):
     rows = catalog.table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type", "p_name").alias("path"), F.col("p_name").alias("name"))
-    return fuzzy.search(rows, "smwd")
+    return fuzzy.search(rows, "smwd").withColumn("places", F.array_join("places", ","))
 
 
 # -- comparing and editing --------------------------------------------------------------------
@@ -276,7 +276,7 @@ def _(spark, sf_dir):
     return _payloads(spark, sf_dir).select("doc_id", F.md5("payload").alias("md5"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"))
 
 
-@query("checksums")
+@query("checksums", oracles.CHECKSUMS)
 def _(spark, sf_dir):
     return _payloads(spark, sf_dir).select("doc_id", payload.crc32(F.col("payload")).alias("crc32"), payload.crc64(F.col("payload")).alias("crc64"), payload.adler32(F.col("payload")).alias("adler32"))
 
@@ -311,7 +311,7 @@ def _(spark, sf_dir):
     return audit.text_segments(catalog.table(spark, sf_dir, "documents"), "doc_id", "text", 4096).withColumn("entropy", F.round("entropy", 5))
 
 
-@query("segment_bytes")
+@query("segment_bytes", oracles.SEGMENTS)
 def _(spark, sf_dir):
     return audit.segment_summary(audit.segments(_payloads(spark, sf_dir), "doc_id", size=4096), "doc_id").withColumn("mean_entropy", F.round("mean_entropy", 6))
 
@@ -344,9 +344,9 @@ def _(spark, sf_dir):
 # -- archives ---------------------------------------------------------------------------------
 
 
-def _packed(spark, sf_dir, container):
+def _packed(spark, sf_dir, container, level=6):
     rows = catalog.table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", (F.col("doc_id") % 50).cast("string")).alias("archive_id"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("payload"), (F.col("doc_id") * 2 + 1_600_000_000).alias("mtime_epoch"))
-    return archives.pack(rows, "archive_id", container).withColumnRenamed("archive_id", "path")
+    return archives.pack(rows, "archive_id", container, level).withColumnRenamed("archive_id", "path")
 
 
 _BACK = "SELECT source || '-' || (doc_id % 50) AS archive_id, 'd/' || doc_id || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS uncompressed_size, doc_id * 2 + 1600000000 AS mtime_epoch, sha256(text) AS sha256, 'txt' AS ext FROM documents"
@@ -433,10 +433,16 @@ def _(spark, sf_dir):
     return security.risk(rows, "source")
 
 
-@query("path_sanitize")
+@query("path_sanitize", """WITH r AS (SELECT page_id, page_id % 7 AS k, array_to_string([x FOR x IN string_split(replace(url, '://', '/'), '/') IF x != ''], '/') AS p FROM pages)
+SELECT page_id, CASE k WHEN 1 THEN 'C:/' || p WHEN 2 THEN p || '/CON.txt' WHEN 3 THEN p || '/y' WHEN 4 THEN 'srv/share/' || p WHEN 5 THEN p || '/f.txt' ELSE p END AS path, k = 0 AS traversal, k IN (1, 4) AS absolute, k = 4 AS unc,
+ length(CASE k WHEN 1 THEN 'C:/' || p WHEN 2 THEN p || '/CON.txt' WHEN 3 THEN p || '/y' WHEN 4 THEN 'srv/share/' || p WHEN 5 THEN p || '/f.txt' ELSE p END) > 260 AS long, k = 2 AS device, CASE k WHEN 5 THEN ':ads' ELSE ':' END AS stream FROM r""")
 def _(spark, sf_dir):
-    k = F.col("page_id")
-    raw = F.when(k % 5 == 0, F.concat(F.lit("../"), "url")).when(k % 5 == 1, F.concat(F.lit("C:\\"), "url")).when(k % 5 == 2, F.concat("url", F.lit("/CON.txt"))).otherwise(F.col("url"))
+    k = F.col("page_id") % 7
+    tail = F.regexp_replace("url", "://", "/")
+    raw = (
+        F.when(k == 0, F.concat(F.lit("../"), "url")).when(k == 1, F.concat(F.lit("C:\\"), "url")).when(k == 2, F.concat("url", F.lit("/CON.txt"))).when(k == 3, F.concat("url", F.lit("/x/../y")))
+        .when(k == 4, F.concat(F.lit("\\\\srv\\share\\"), "url")).when(k == 5, F.concat(tail, F.lit("/f.txt:ads"))).otherwise(F.concat("url", F.lit("/./")))
+    )
     return catalog.table(spark, sf_dir, "pages").select("page_id", payload.sanitize(raw).alias("s")).select("page_id", "s.*")
 
 
@@ -467,12 +473,12 @@ def _points(spark, sf_dir):
     return catalog.table(spark, sf_dir, "part").select(F.col("p_brand").alias("suite"), F.col("p_partkey").cast("string").alias("codec"), F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"))
 
 
-@query("pareto_tiers")
+@query("pareto_tiers", oracles.TIERS)
 def _(spark, sf_dir):
     return bench.tiers(_points(spark, sf_dir), "suite")
 
 
-@query("monotone_spline")
+@query("monotone_spline", oracles.SPLINE)
 def _(spark, sf_dir):
     return bench.interpolated(_points(spark, sf_dir), "suite").withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
@@ -491,7 +497,7 @@ def _(spark, sf_dir):
     return bench.welch(*_sides(spark, sf_dir), "metric", "l_tax", with_p=False).select("metric", F.round("t", 6).alias("t"), F.round("df", 3).alias("df"), F.round("delta_pct", 6).alias("delta_pct"))
 
 
-@query("ab_verdict")
+@query("ab_verdict", oracles.VERDICT)
 def _(spark, sf_dir):
     return bench.welch(*_sides(spark, sf_dir), "metric", "l_tax").select("metric", F.round("p", 6).alias("p"), "verdict")
 
@@ -529,3 +535,6 @@ SELECT user_id, event_id FROM g""")
 def _(spark, sf_dir):
     events = catalog.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     return throttle.throttle(events, "user_id", "ts", interval=86_400_000_000).select("user_id", "event_id")
+
+
+from stratalog.plans import registry_more  # noqa: E402, F401 - it registers its queries

@@ -15,6 +15,7 @@ from datetime import UTC, datetime
 from typing import BinaryIO
 
 import pyarrow as pa
+import zstandard
 
 from stratalog.sources import sevenz
 
@@ -494,7 +495,7 @@ def pack_zip(rows: list[tuple[str, bytes, int | None]], level: int = 6) -> bytes
 
 
 def pack_tar(rows: list[tuple[str, bytes, int | None]], stream: str = "") -> bytes:
-    """A PAX TAR file, plain or through gz, bz2 or xz."""
+    """A PAX TAR file, plain or through gz, bz2, xz or zst."""
     plain = io.BytesIO()
     with tarfile.open(fileobj=plain, mode="w", format=tarfile.PAX_FORMAT) as archive:
         for path, body, mtime in rows:
@@ -506,4 +507,4 @@ def pack_tar(rows: list[tuple[str, bytes, int | None]], stream: str = "") -> byt
     if stream == "gz":
         made = zlib.compressobj(6, zlib.DEFLATED, 31)
         return made.compress(raw) + made.flush()
-    return {"": lambda x: x, "bz2": bz2.compress, "xz": lzma.compress}[stream](raw)
+    return {"": lambda x: x, "bz2": bz2.compress, "xz": lzma.compress, "zst": lambda x: zstandard.ZstdCompressor(level=3).compress(x)}[stream](raw)

@@ -29,6 +29,23 @@ def run_row(spark: SparkSession, run_id: str, command: str, paths: list[str], su
 
 
 def undone(runs: DataFrame) -> DataFrame:
-    """Runs that no later undo names, newest first."""
-    undo = runs.where("command = 'undo'").select(F.element_at("metadata", F.lit("run_id")).alias("run_id"))
-    return runs.where("command <> 'undo'").join(undo, "run_id", "left_anti").orderBy(F.desc("ts"), "run_id")
+    """Runs that are in effect, newest first: those whose last undo, if any, was redone.
+
+    An undo and a redo name a run, or with ``macro`` all runs of a batch (metadata ``macro`` of the runs).
+    """
+    last = undo_state(runs)
+    return runs.where("command not in ('undo', 'redo')").join(last.where("command = 'undo'"), "run_id", "left_anti").orderBy(F.desc("ts"), "run_id")
+
+
+def undo_state(runs: DataFrame) -> DataFrame:
+    """run_id and the last undo or redo that reached each run."""
+    moves = runs.where("command in ('undo', 'redo')").select(F.col("command").alias("move"), "ts", F.col("run_id").alias("by"), F.element_at("metadata", F.lit("run_id")).alias("target"), F.element_at("metadata", F.lit("macro")).alias("macro"))
+    plain = runs.where("command not in ('undo', 'redo')").select("run_id", F.element_at("metadata", F.lit("macro")).alias("macro"))
+    single = moves.where("target is not null").select(F.col("target").alias("run_id"), "move", "ts", "by")
+    whole = plain.join(moves.where("target is null").select("macro", "move", "ts", "by"), "macro").select("run_id", "move", "ts", "by")
+    return single.unionByName(whole).groupBy("run_id").agg(F.max_by("move", F.struct("ts", "by")).alias("command"))
+
+
+def redoable(runs: DataFrame) -> DataFrame:
+    """Runs that were undone and not redone since, newest first."""
+    return runs.join(undo_state(runs).where("command = 'undo'").select("run_id"), "run_id", "left_semi").orderBy(F.desc("ts"), "run_id")

@@ -128,3 +128,19 @@ def test_t_tail():
         assert abs(payload.t_tail(t, 1) - (1 - 2 * np.arctan(t) / np.pi)) < 1e-9
         assert abs(payload.t_tail(t, 2) - (1 - t / np.sqrt(2 + t * t))) < 1e-9
     assert abs(payload.t_tail(1.959963985, 1e7) - 0.05) < 1e-6 and payload.t_tail(5, 0) == 1.0
+
+
+def test_checksums_of_chunks_add_up(spark):
+    rng = random.Random(4)
+    rows = [(k, i, rng.randbytes(rng.choice([0, 1, 7, 1000]))) for k in range(20) for i in range(rng.randint(1, 9))]
+    chunks = spark.createDataFrame([(k, i, zlib.crc32(b), len(b)) for k, i, b in rows], "id long, i int, crc32 long, size long")
+    wanted = {k: zlib.crc32(b"".join(b for x, _, b in rows if x == k)) for k in range(20)}
+    assert {r.id: r.crc32 for r in payload.combined_crc32(chunks, "id", "i").collect()} == wanted
+    assert payload.combine_crc32(zlib.crc32(b"a" * 3), zlib.crc32(bytes(1 << 20)), 1 << 20) == zlib.crc32(b"aaa" + bytes(1 << 20))
+
+
+def test_entropies_of_many_payloads():
+    rng = random.Random(5)
+    rows = [b"", b"\0" * 1024, bytes(range(256)) * 100, rng.randbytes(5_000_000), b"ab"] + [rng.randbytes(rng.randint(0, 300)) for _ in range(500)]
+    assert np.allclose(payload.entropies_of(rows), [payload.entropy_of(payload.byte_counts(b)) for b in rows])
+    assert payload.entropies_of([]).tolist() == []

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.functions import fuzzy
-from stratalog.operators import diff, search, tree
+from stratalog.operators import diff, search, security, tree
 
 ENTRY = "path string, entry_idx int, uncompressed_size long, compressed_size long, is_directory boolean, is_encrypted boolean"
 
@@ -109,3 +109,27 @@ def test_edits(spark):
     assert sorted(map(tuple, out.collect())) == [("b", 9), ("c", 3), ("d", 4)]
     assert diff.by_path(base.withColumn("path", F.concat(F.lit("/"), "path")), "b").first().v == 2
     assert [r.word for r in diff.word_list(spark.createDataFrame([("x",)], "word string"), spark.createDataFrame([("x",)], "word string")).collect()] == ["x"]
+
+
+def test_names_that_are_taken_get_numbers(spark):
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    taken = names("a", "a 2", "a 3", "a 5", "b", "b 02", "c 2", "e", *[f"e {k}" for k in range(2, 1000)], "f 2 2", "f 2")
+    found = {r.name: r.free for r in security.free_names(names("a", "b", "c", "d", "e", "f 2", "a"), taken).collect()}
+    assert {k: v for k, v in found.items() if k != "e"} == {"a": "a 4", "b": "b 2", "c": "c", "d": "d", "f 2": "f 2 3"} and found["e"].startswith("e_")
+
+
+def test_numbers_of_any_length_in_natural_order(spark):
+    names = ["v2", "v10", "v" + "9" * 22, "v1" + "0" * 24, "v002", "v", "w1", "v2b", "v2a", "V3"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r.name for r in rows.orderBy(search.natural_key(rows.name)).collect()] == ["v", "v002", "v2", "v2a", "v2b", "V3", "v10", "v" + "9" * 22, "v1" + "0" * 24, "w1"]
+
+
+def test_an_edit_session(spark):
+    base = spark.createDataFrame([("a", 1), ("b", 2)], "path string, v int")
+    session = diff.Session(base)
+    session.delete(base.where("path = 'a'")).upsert(spark.createDataFrame([("c", 3)], "path string, v int"))
+    assert sorted(r.path for r in session.base.collect()) == ["a", "b"]
+    assert sorted(r.path for r in session.commit().collect()) == ["b", "c"]
+    session.delete(base)
+    assert sorted(r.path for r in session.rollback().collect()) == ["b", "c"]
+    assert sorted(r.path for r in session.rollback().collect()) == ["a", "b"]
