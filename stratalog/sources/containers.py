@@ -1,4 +1,4 @@
-"""ZIP, TAR and 7z catalogues from bytes: entries, payloads, extra fields, salvage and compliance issues.  Plain Python, no Spark."""
+"""ZIP, TAR, 7z and other catalogues from bytes: entries, payloads, extra fields, salvage and compliance issues.  Plain Python, no Spark."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from typing import BinaryIO
 import pyarrow as pa
 import zstandard
 
-from stratalog.sources import sevenz
+from stratalog.sources import members, sevenz
 
 #: Columns of an entry, in the order of the entries schema.
 FIELDS = ("entry_idx", "path", "uncompressed_size", "compressed_size", "crc32", "mtime_epoch", "mode", "is_directory", "is_encrypted", "method", "link_target", "extra")
@@ -166,12 +166,12 @@ def salvage_tar(data: bytes) -> Iterator[dict]:
 # -- single streams ---------------------------------------------------------------------------
 
 SNAPPY_MAGIC = b"\xff\x06\0\0sNaPpY"
-ENDINGS = {"gzip": ("gz", "gzip"), "bzip2": ("bz2", "bz"), "xz": ("xz",), "zstd": ("zst", "zstd"), "snappy": ("sz", "snappy"), "brotli": ("br",)}
+ENDINGS = {"gzip": ("gz", "gzip"), "bzip2": ("bz2", "bz"), "xz": ("xz",), "zstd": ("zst", "zstd"), "snappy": ("sz", "snappy"), "brotli": ("br",), "lz4": ("lz4",), "lzip": ("lz",)}
 
 
 def stream_kind(head: bytes, name: str = "") -> str | None:
     """The codec of a compressed stream by its first bytes; Brotli has none and goes by name."""
-    for kind, magic in (("gzip", b"\x1f\x8b"), ("bzip2", b"BZh"), ("xz", b"\xfd7zXZ\0"), ("zstd", b"\x28\xb5\x2f\xfd"), ("snappy", SNAPPY_MAGIC)):
+    for kind, magic in (("gzip", b"\x1f\x8b"), ("bzip2", b"BZh"), ("xz", b"\xfd7zXZ\0"), ("zstd", b"\x28\xb5\x2f\xfd"), ("lz4", b"\x04\x22\x4d\x18"), ("lzip", b"LZIP"), ("snappy", SNAPPY_MAGIC)):
         if head.startswith(magic):
             return kind
     return "brotli" if name.lower().endswith(".br") else None
@@ -246,11 +246,32 @@ class _Lent(io.RawIOBase):
         return len(found)
 
 
+def lzip_bytes(data: bytes) -> bytes:
+    """The members of an lzip file, each checked against its trailer."""
+    out = []
+    while data:
+        if len(data) < 26 or data[:4] != b"LZIP" or data[4] > 1:
+            raise ValueError("no lzip member")
+        base = 1 << (data[5] & 31)
+        unpack = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": max(4096, base - base // 16 * (data[5] >> 5)), "lc": 3, "lp": 0, "pb": 2}])
+        body = unpack.decompress(data[6:])
+        if not unpack.eof or len(unpack.unused_data) < 20:
+            raise EOFError("an lzip member is cut")
+        crc, size = struct.unpack_from("<IQ", unpack.unused_data)
+        if crc != zlib.crc32(body) or size != len(body):
+            raise ValueError("an lzip member has the wrong checksum or size")
+        out.append(body)
+        data = unpack.unused_data[20:]
+    return b"".join(out)
+
+
 def opened(file: BinaryIO, kind: str) -> BinaryIO:
     """The plain bytes of a compressed stream."""
     if kind == "snappy":
         return io.BufferedReader(_Snappy(file))
-    if kind in ("zstd", "brotli"):
+    if kind == "lzip":
+        return io.BytesIO(lzip_bytes(file.read()))
+    if kind in ("zstd", "brotli", "lz4"):
         return pa.CompressedInputStream(pa.PythonFile(_Lent(file), mode="r"), kind)
     return {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}[kind](file)
 
@@ -304,7 +325,10 @@ def file_entries(file: BinaryIO, name: str = "") -> Iterator[dict]:
     if kind == "7z":
         return sevenz.entries(file.read())
     if kind == "unknown":
-        raise ValueError("unknown format")
+        other = members.file_kind(file)
+        if other is None:
+            raise ValueError("unknown format")
+        return members.READERS[other](file.read())
     return zip_entries(file) if kind == "zip" else tar_entries(file)
 
 
@@ -330,6 +354,8 @@ def entries(data: bytes, with_payload: bool = False, name: str = "") -> tuple[st
             return kind, list(tar_entries(data, with_payload)), None
         if kind == "7z":
             return kind, list(sevenz.entries(data, with_payload)), None
+        if other := members.kind_of(data):
+            return other, list(members.READERS[other](data, with_payload)), None
     except BROKEN as e:
         return kind, [], f"{type(e).__name__}: {e}"
     return kind, [], "unknown format"

@@ -1,4 +1,4 @@
-"""7z headers: entries, where each lies, and payloads of folders with one plain coder.  Plain Python, no Spark."""
+"""7z headers: entries, where each lies, and payloads of folders whose coders form a chain.  Plain Python, no Spark."""
 
 from __future__ import annotations
 
@@ -14,6 +14,9 @@ END, HEADER, ARCHIVE, STREAMS, FILES, PACK, UNPACK, SUBSTREAMS, SIZE, CRC, FOLDE
 EMPTY_STREAM, EMPTY_FILE, NAMES, MTIME, ATTRIBUTES, ENCODED = 14, 15, 17, 20, 21, 23
 #: Coder ids.
 CODERS = {b"\x00": "copy", b"\x21": "lzma2", b"\x03\x01\x01": "lzma", b"\x04\x01\x08": "deflate", b"\x04\x02\x02": "bzip2", b"\x06\xf1\x07\x01": "aes"}
+#: Ids of the filters that go before a coder, by the name liblzma has for them.
+FILTERS = {b"\x03\x03\x01\x03": "X86", b"\x03\x03\x02\x05": "POWERPC", b"\x03\x03\x04\x01": "IA64", b"\x03\x03\x05\x01": "ARM", b"\x03\x03\x07\x01": "ARMTHUMB", b"\x03\x03\x08\x05": "SPARC", b"\x03": "DELTA"}
+CODERS |= {k: v.lower() for k, v in FILTERS.items()}
 _EPOCH = 116_444_736_000_000_000
 
 
@@ -27,8 +30,12 @@ class Coder(NamedTuple):
 
 
 class Folder(NamedTuple):
+    """coders as listed, the order to undo them in (None if they are no chain), packed streams, and the sizes that each coder gives, the folder's own first."""
+
     coders: list[Coder]
+    chain: list[int] | None
     packed: int
+    sizes: list[int]
     size: int
 
 
@@ -104,12 +111,12 @@ def read_streams(r: Reader) -> Streams:
                 raise SevenZipError("folders outside the header are not read")
             coders = [read_coders(r) for _ in range(n)]
             r.expect(CODERS_SIZE)
-            sizes = [[r.number() for _ in made] for made, _ in coders]
+            sizes = [[r.number() for _ in made] for made, _, _ in coders]
             known = [None] * n
             while (inner := r.byte()) != END:
                 if inner == CRC:
                     known = r.checksums(n)
-            folders = [Folder(made, streams, s[0] if s else 0) for (made, streams), s in zip(coders, sizes, strict=True)]
+            folders = [Folder(made, chain, streams, s, s[chain[-1]] if chain else s[0] if s else 0) for (made, chain, streams), s in zip(coders, sizes, strict=True)]
         elif kind == SUBSTREAMS:
             counts = [1] * len(folders)
             inner = r.byte()
@@ -135,8 +142,8 @@ def read_streams(r: Reader) -> Streams:
     return Streams(start, packed, folders, counts, sub_sizes, sub_checksums)
 
 
-def read_coders(r: Reader) -> tuple[list[Coder], int]:
-    """The coders of a folder and the number of its packed streams."""
+def read_coders(r: Reader) -> tuple[list[Coder], list[int] | None, int]:
+    """The coders of a folder, the order in which they are undone, and the number of its packed streams."""
     coders, ins, outs = [], 0, 0
     for _ in range(r.count()):
         flag = r.byte()
@@ -144,19 +151,46 @@ def read_coders(r: Reader) -> tuple[list[Coder], int]:
         n_in, n_out = (r.count(), r.count()) if flag & 16 else (1, 1)
         ins, outs = ins + n_in, outs + n_out
         coders.append(Coder(CODERS.get(name, name.hex()), r.take(r.number()) if flag & 32 else b""))
+    bound = {}  # the input that each output goes to
     for _ in range(outs - 1):
-        r.number(), r.number()
+        into, out = r.number(), r.number()
+        bound[out] = into
     packed = ins - (outs - 1)
     if packed > 1:
         [r.number() for _ in range(packed)]
-    return coders, packed
+    if ins != len(coders) or outs != len(coders) or packed != 1:
+        return coders, None, packed
+    chain = [k for k in range(ins) if k not in bound.values()][:1]
+    while chain and chain[-1] in bound and len(chain) <= len(coders):
+        chain.append(bound[chain[-1]])
+    return coders, chain if len(chain) == len(coders) == len(set(chain)) else None, packed
+
+
+def unpacked(folder: Folder, raw: bytes) -> bytes:
+    """The bytes of a folder, its coders undone one after the other."""
+    if folder.chain is None:
+        raise SevenZipError("the folder's coders are no chain")
+    for k in folder.chain:
+        raw = decoded(folder.coders[k], raw, folder.sizes[k])
+    return raw
+
+
+def unfiltered(name: str, properties: bytes, data: bytes) -> bytes:
+    """What a filter made of data is undone by liblzma, which has filters before LZMA2 only: data is packed by that, and unpacked through both."""
+    kind = {"id": getattr(lzma, f"FILTER_{name.upper()}")}
+    if name == "delta":
+        kind["dist"] = properties[0] + 1 if properties else 1
+    last = {"id": lzma.FILTER_LZMA2, "preset": 0}
+    return lzma.decompress(lzma.compress(data, lzma.FORMAT_RAW, filters=[last]), lzma.FORMAT_RAW, filters=[kind, last])
 
 
 def decoded(coder: Coder, raw: bytes, size: int) -> bytes:
-    """size bytes of a folder with one coder."""
+    """size bytes that a coder gives."""
     match coder.name:
         case "copy":
             return raw[:size]
+        case name if name.upper() in FILTERS.values():
+            return unfiltered(name, coder.properties, raw[:size])
         case "deflate":
             return zlib.decompressobj(-15).decompress(raw, size)
         case "bzip2":
@@ -183,9 +217,9 @@ def header(data: bytes) -> Reader:
     r = Reader(raw)
     while size and (kind := r.byte()) == ENCODED:
         s = read_streams(r)
-        if len(s.folders) != 1 or len(s.folders[0].coders) != 1 or len(s.packed) != 1:
-            raise SevenZipError("the header is encrypted or packed in several steps")
-        r = Reader(decoded(s.folders[0].coders[0], data[32 + s.start : 32 + s.start + s.packed[0]], s.folders[0].size))
+        if len(s.folders) != 1 or len(s.packed) != 1:
+            raise SevenZipError("the header is in several streams")
+        r = Reader(unpacked(s.folders[0], data[32 + s.start : 32 + s.start + s.packed[0]]))
     if size and kind != HEADER:
         raise SevenZipError("no header")
     return r
@@ -249,7 +283,7 @@ def entries(data: bytes, with_payload: bool = False) -> Iterator[dict]:
                 if cache[0] != folder:
                     where, length = starts[folder]
                     try:
-                        cache = (folder, decoded(coders[0], data[where : where + length], streams.folders[folder].size) if len(coders) == 1 else None)
+                        cache = (folder, unpacked(streams.folders[folder], data[where : where + length]))
                     except (SevenZipError, lzma.LZMAError, zlib.error, OSError):
                         cache = (folder, None)
                 row["payload"] = None if cache[1] is None else cache[1][offset : offset + size]

@@ -10,7 +10,7 @@ from stratalog.functions import parity
 from stratalog.operators import bench, codecs
 from stratalog.sources import archives, containers, sevenz
 
-FILES = [("a/é.txt", b"hello " * 100), ("b.bin", bytes(range(256))), ("empty", b""), ("d", None)]
+FILES = [("a/é.txt", b"hello " * 100), ("b.bin", bytes(range(256)) + b"\xe8\x10\x20\0\0" * 30), ("empty", b""), ("d", None)]
 
 
 def number(n):
@@ -25,9 +25,14 @@ def write_7z(files, packed_header=False, method="lzma2"):
     chain = [{"id": lzma.FILTER_LZMA2, "dict_size": 1 << 20}]
     full = [(n, b) for n, b in files if b]
     plain = b"".join(b for _, b in full)
-    body = lzma.compress(plain, lzma.FORMAT_RAW, filters=chain) if method == "lzma2" else plain
-    coder = b"\x21\x21\x01\x10" if method == "lzma2" else b"\x01\x00"
-    streams = b"\x04\x06" + number(0) + number(1) + b"\x09" + number(len(body)) + b"\x00\x07\x0b" + number(1) + b"\x00" + number(1) + coder + b"\x0c" + number(len(plain)) + b"\x00"
+    filters = {"x86+lzma2": {"id": lzma.FILTER_X86}, "delta+lzma2": {"id": lzma.FILTER_DELTA, "dist": 3}}
+    body = plain if method == "copy" else lzma.compress(plain, lzma.FORMAT_RAW, filters=[*([filters[method]] if method in filters else []), *chain])
+    coder = b"\x21\x21\x01\x10" if method != "copy" else b"\x01\x00"
+    # two coders: the filter's input is what the second gives
+    first = {"x86+lzma2": b"\x04\x03\x03\x01\x03", "delta+lzma2": b"\x21\x03\x01\x02"}.get(method)
+    coders = number(1) + coder if first is None else number(2) + first + coder + number(0) + number(1)
+    sizes = number(len(plain)) * (1 if first is None else 2)
+    streams = b"\x04\x06" + number(0) + number(1) + b"\x09" + number(len(body)) + b"\x00\x07\x0b" + number(1) + b"\x00" + coders + b"\x0c" + sizes + b"\x00"
     streams += b"\x08\x0d" + number(len(full)) + b"\x09" + b"".join(number(len(b)) for _, b in full[:-1]) + b"\x0a\x01" + b"".join(struct.pack("<I", zlib.crc32(b)) for _, b in full) + b"\x00\x00"
     bits = lambda flags: bytes(sum(f << 7 - i % 8 for i, f in enumerate(flags[k : k + 8])) for k in range(0, len(flags), 8))
     prop = lambda kind, raw: bytes([kind]) + number(len(raw)) + raw
@@ -44,7 +49,7 @@ def write_7z(files, packed_header=False, method="lzma2"):
 
 
 @pytest.mark.parametrize("packed_header", [False, True])
-@pytest.mark.parametrize("method", ["lzma2", "copy"])
+@pytest.mark.parametrize("method", ["lzma2", "copy", "x86+lzma2", "delta+lzma2"])
 def test_7z_entries(packed_header, method):
     data = write_7z(FILES, packed_header, method)
     rows = list(sevenz.entries(data, with_payload=True))
