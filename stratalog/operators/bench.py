@@ -18,14 +18,24 @@ MOST_CRITICAL, LEAST_WARNING, LEAST_GAIN = -10.0, -3.0, 3.0
 # -- fronts -----------------------------------------------------------------------------------
 
 
-def pareto(points: DataFrame, *by: str) -> DataFrame:
+def pareto(points: DataFrame, *by: str, slices: int = 64) -> DataFrame:
     """points (x, y) with is_optimal: no point of the same group is as good in both and better in one.  Larger is better.
 
-    A window a group; a group that is the whole table belongs to one task, so group by suite.
+    A window a group.  Without groups, x is cut into slices of like size, each with a window of its own, which also
+    has to beat the best of the slices above: a row a slice is broadcast.
     """
-    before = Window.partitionBy(*by).orderBy(F.desc("x"), F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max("y").over(before)
-    return points.withColumn("is_optimal", best.isNull() | (F.col("y") > best + EPSILON))
+    order = [F.desc("x"), F.desc("y")]
+    if by:
+        best = F.max("y").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        return points.withColumn("is_optimal", best.isNull() | (F.col("y") > best + EPSILON))
+    edges = sorted(set(points.approxQuantile("x", [k / slices for k in range(1, slices)], 0.001)))
+    part = sum((F.when(F.col("x") > e, 1).otherwise(0) for e in edges), F.lit(0))
+    sliced = points.withColumn("__slice", part)
+    tops = sliced.groupBy("__slice").agg(F.max("y").alias("top"))
+    above = tops.select("__slice", F.max("top").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)).alias("__above"))
+    inside = F.max("y").over(Window.partitionBy("__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    best = F.greatest(inside, F.col("__above"))
+    return sliced.join(F.broadcast(above), "__slice").withColumn("is_optimal", best.isNull() | (F.col("y") > best + EPSILON)).select(*points.columns, "is_optimal")
 
 
 def tiers_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -88,9 +88,10 @@ def composition(entries: DataFrame) -> DataFrame:
 
 
 def render(tree: DataFrame, max_depth: int | None = None, limit: int = 10_000) -> str:
-    """The tree as text, for people; at most limit rows come to the driver."""
+    """The tree as text, for people; at most limit rows come to the driver, and the last line says so if there are more."""
     shown = tree if max_depth is None else tree.where(F.col("depth") <= max_depth)
-    rows = shown.select("path", "parent_path", "name", "is_directory", "total_uncompressed").orderBy("path").limit(limit).collect()
+    rows = shown.select("path", "parent_path", "name", "is_directory", "total_uncompressed").orderBy("path").limit(limit + 1).collect()
+    more, rows = len(rows) > limit, rows[:limit]
     below: dict[str, list] = {}
     for r in rows:
         below.setdefault(r.parent_path, []).append(r)
@@ -104,4 +105,4 @@ def render(tree: DataFrame, max_depth: int | None = None, limit: int = 10_000) -
             put(r.path, indent + ("    " if last else "│   "))
 
     put("", "")
-    return "\n".join(lines)
+    return "\n".join([*lines, *["further entries are left out"] * more])

@@ -404,6 +404,11 @@ def _(spark, sf_dir):
     return ingest.redoable(_runs(spark, sf_dir)).select("run_id")
 
 
+@query("pareto_of_all", "SELECT p_partkey, coalesce(y > m + 1e-7, true) AS is_optimal FROM (SELECT p_partkey, p_size AS y, max(p_size) OVER (ORDER BY p_retailprice DESC, p_size DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM part)")
+def _(spark, sf_dir):
+    return bench.pareto(catalog.table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("x"), F.col("p_size").alias("y"))).select("p_partkey", "is_optimal")
+
+
 @query("throughput", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / 1e6 / nullif(l_quantity, 0), 9) AS mb_s, round(l_quantity * 3 / l_extendedprice, 9) AS cycles_per_byte, round(l_linenumber / (l_quantity * 3), 9) AS ipc FROM lineitem")
 def _(spark, sf_dir):
     rows = catalog.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("bytes"), F.col("l_quantity").alias("seconds"), (F.col("l_quantity") * 3).alias("cycles"), F.col("l_linenumber").alias("instructions"))

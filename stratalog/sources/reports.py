@@ -66,40 +66,46 @@ def as_json(table: DataFrame, contract: str) -> DataFrame:
 # -- reports ----------------------------------------------------------------------------------
 
 
-def _rows(table: DataFrame, limit: int) -> list:
-    return table.limit(limit).collect()
+def _rows(table: DataFrame, limit: int | None) -> tuple[list, bool]:
+    """The rows of a report, and whether there are more than the limit that the caller set."""
+    rows = table.collect() if limit is None else table.limit(limit + 1).collect()
+    return rows[:limit], limit is not None and len(rows) > limit
 
 
-def markdown(table: DataFrame, limit: int = 1000) -> str:
-    rows = _rows(table, limit)
+#: What a report says where its caller limited it.
+MORE = "further rows are left out"
+
+
+def markdown(table: DataFrame, limit: int | None = None) -> str:
+    rows, more = _rows(table, limit)
     cell = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(table.columns) + " |", "|" + " --- |" * len(table.columns)]
-    return "\n".join([*lines, *["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]])
+    return "\n".join([*lines, *["| " + " | ".join(cell(v) for v in r) + " |" for r in rows], *[f"\n{MORE}"] * more])
 
 
-def as_html(table: DataFrame, title: str, limit: int = 1000) -> str:
-    rows = _rows(table, limit)
+def as_html(table: DataFrame, title: str, limit: int | None = None) -> str:
+    rows, more = _rows(table, limit)
     head = "".join(f"<th>{html.escape(c)}</th>" for c in table.columns)
     body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<!DOCTYPE html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+    return f"<!DOCTYPE html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>" + f"<p>{MORE}</p>" * more
 
 
-def svg(points: DataFrame, width: int = 640, height: int = 400, limit: int = 5000) -> str:
+def svg(points: DataFrame, width: int = 640, height: int = 400, limit: int | None = None) -> str:
     """A scatter plot of (codec, x, y, is_optimal)."""
-    rows = _rows(points.select("codec", "x", "y", "is_optimal"), limit)
+    rows, more = _rows(points.select("codec", "x", "y", "is_optimal"), limit)
     if not rows:
         return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"/>'
     xs, ys = [r.x for r in rows], [r.y for r in rows]
     place = lambda v, vs, size: 40 + (v - min(vs)) / ((max(vs) - min(vs)) or 1) * (size - 80)
     dots = "".join(f'<circle cx="{place(r.x, xs, width):.1f}" cy="{height - place(r.y, ys, height):.1f}" r="{5 if r.is_optimal else 3}" fill="{"#c22" if r.is_optimal else "#999"}"><title>{html.escape(str(r.codec))}</title></circle>' for r in rows)
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><rect width="100%" height="100%" fill="#fff"/>{dots}</svg>'
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><rect width="100%" height="100%" fill="#fff"/>{dots}{f"<desc>{MORE}</desc>" * more}</svg>'
 
 
-def bars(table: DataFrame, label: str, value: str, width: int = 40, limit: int = 50) -> str:
+def bars(table: DataFrame, label: str, value: str, width: int = 40, limit: int | None = None) -> str:
     """A bar for each row, as text."""
-    rows = _rows(table.select(label, value), limit)
+    rows, more = _rows(table.select(label, value), limit)
     most = max((abs(r[1]) for r in rows), default=0) or 1
-    return "\n".join(f"{str(r[0]):<24} {'█' * round(abs(r[1]) / most * width)} {r[1]:.2f}" for r in rows)
+    return "\n".join([*[f"{str(r[0]):<24} {'█' * round(abs(r[1]) / most * width)} {r[1]:.2f}" for r in rows], *[MORE] * more])
 
 
 # -- synthetic inputs ----------------------------------------------------------------------------

@@ -28,19 +28,34 @@ def passing(times: np.ndarray, interval: int, last: int | None = None) -> np.nda
 
 
 def throttle(events: DataFrame, by: str, ts: str, hz: float | None = None, interval: int | None = None) -> DataFrame:
-    """events that pass, for each key; ties in time in the order of all columns.  A key's times are sorted by one task.
+    """events that pass, for each key; ties in time in the order of all columns; events without a time do not pass.
 
-    interval is in microseconds, for rates below the one that hz is held to.
+    A task's events come sorted by key and time, batch by batch, and all it remembers is the last key and when that passed: a key of
+    any size needs no more memory than a batch.  interval is in microseconds, for rates below the one that hz is held to.
     """
     step = interval or interval_us(hz)
     rest = [c for c in events.columns if c not in (by, ts)]
-    stamped = events.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["__us", *rest], kind="stable")
-        return group[passing(group["__us"].to_numpy(), step)].drop(columns="__us")
-
-    return stamped.groupBy(by).applyInPandas(run, events.schema)
+    us, key, columns = "__us", "__key", events.columns
+    stamped = events.withColumns({us: F.unix_micros(F.col(ts).cast("timestamp")), key: F.xxhash64(by)}).where(F.col(us).isNotNull())
+    ordered = stamped.repartition(key).sortWithinPartitions(key, by, us, *rest)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before: tuple[object, int | None] | None = None
+        for batch in batches:
+            times, keys = batch[us].to_numpy(), batch[by]
+            missing = keys.isna().to_numpy()
+            new = np.ones(len(batch), dtype=bool)
+            new[1:] = (keys.to_numpy()[1:] != keys.to_numpy()[:-1]) & ~(missing[1:] & missing[:-1])
+            keep, starts = np.zeros(len(batch), dtype=bool), np.flatnonzero(new)
+            for start, end in zip(starts, np.append(starts[1:], len(batch)), strict=True):
+                mine = None if missing[start] else keys.iloc[start]
+                last = before[1] if before is not None and before[0] == mine else None
+                keep[start:end] = passing(times[start:end], step, last)
+                passed = times[start:end][keep[start:end]]
+                before = (mine, int(passed[-1]) if len(passed) else last)
+            yield batch[keep][columns]
+
+    return ordered.mapInPandas(run, events.schema)
 
 
 def throttle_stream(events: DataFrame, by: str, ts: str, hz: float) -> DataFrame:

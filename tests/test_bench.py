@@ -89,3 +89,15 @@ def test_audit(spark):
 def test_rates(spark):
     r = bench.throughput(spark.createDataFrame([(2_000_000, 2.0, 4_000_000, 8_000_000), (1, 0.0, 0, 0)], "bytes long, seconds double, c long, i long"), "c", "i").collect()
     assert (r[0].mb_s, r[0].cycles_per_byte, r[0].ipc) == (1.0, 2.0, 2.0) and r[1].mb_s is None
+
+
+def test_fronts_without_groups_are_cut_into_slices(spark):
+    rng = random.Random(8)
+    rows = [(k, float(rng.randint(0, 300)), float(rng.randint(0, 300))) for k in range(900)]
+    found = {r.k: r.is_optimal for r in bench.pareto(spark.createDataFrame(rows, "k int, x double, y double"), slices=9).collect()}
+    best = {}
+    for k, x, y in sorted(rows, key=lambda r: (-r[1], -r[2])):
+        best[k] = all(y > b + 1e-7 for _, b in best.values()), y
+    assert {k for k, v in found.items() if v} and sum(found.values()) == sum(v for v, _ in best.values())
+    points = {k: (x, y) for k, x, y in rows}
+    assert {points[k] for k, v in found.items() if v} == {points[k] for k, (v, _) in best.items() if v}

@@ -88,3 +88,23 @@ def test_throttled_stream(spark, tmp_path):
     query = out.writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r.u, r.n) for r in spark.sql("select u, count(*) n from throttled group by u").collect()) == [(1, 2), (2, 1)]
+
+
+def test_throttle_remembers_across_batches(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(10**9), k) for k in range(3000)] + [("b", None, -1)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        frame = spark.createDataFrame(rows, "u string, us long, k long").selectExpr("u", "timestamp_micros(us) AS ts", "k")
+        found = {r.k for r in throttle.throttle(frame, "u", "ts", interval=5_000_000).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    wanted = set()
+    for u in ("a", "b", None):
+        last = None
+        for t, k in sorted((t, k) for x, t, k in rows if x == u and t is not None):
+            if last is None or t >= last + 5_000_000:
+                wanted.add(k)
+                last = t
+    assert found == wanted
