@@ -5,6 +5,13 @@ near_dedup  of each component of near-duplicate documents the one with the small
 decontaminate  documents go of whose words a twentieth or more lie in passages of the benchmark
 secrets     every secret span is replaced by its kind; all documents stay
 bpe         token ids of what is left, with digests of the ids and of the bytes they decode to
+
+Defined results.  Null and empty texts go in the first stage; later stages take them as texts without words.  Rows without an id
+are documents like any other: they stay unless they are near copies of a row with an id, or of another without one.  Of rows with
+one id, near copies of each other, the one with the smallest hash of all its columns stays; others are documents of their own.  Ties between
+languages go to the first in sorted order.  Texts of any length are read whole by every stage.  Empty tables give empty tables.
+All stages but the last return the columns of documents, whatever they are named and however many more there are; they read doc_id,
+text and, to learn, lang, and secrets also sets n_chars.
 """
 
 from __future__ import annotations
@@ -52,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.written(stage(spark, docs, sf_dir), name)
+        common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -126,6 +126,15 @@ def quoted(columns: list[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
+def undotted(df: DataFrame) -> DataFrame:
+    """df with plain names for the columns that Python functions cannot be given by name; toDF with the old names turns it back."""
+    names = list(df.columns)
+    for k, name in enumerate(names):
+        if "." in name or "`" in name:
+            names[k] = free_name(names, f"__column{k}")
+    return df.toDF(*names)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -241,23 +241,26 @@ def scan_by_join(narrow: DataFrame, benchmark: DataFrame, width: int) -> DataFra
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs without contaminated rows, all columns as they were.  Rows are judged one by one, so rows with one id may differ."""
-    judged, hit, _ = _judged(docs, benchmark, limit)
-    return judged.where(~F.col(hit)).select(*common.quoted(docs.columns))
+    plain = common.undotted(docs)
+    judged, hit, _ = _judged(plain, benchmark, limit)
+    return judged.where(~F.col(hit)).select(plain.columns).toDF(*docs.columns)
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs without the words under windows of the benchmark, contaminated or not, and what is between two such words; other columns as they were."""
-    judged, _, spans = _judged(docs, benchmark, limit)
+    plain = common.undotted(docs)
+    names = plain.columns
+    judged, _, spans = _judged(plain, benchmark, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches, "text"):
             found = piece.column(spans).to_pylist()
             texts = [remove_spans(t, [(x["start"], x["end"]) for x in some]) if some else t for t, some in zip(piece.column("text").to_pylist(), found, strict=True)]
-            columns = {name: piece.column(name) for name in docs.columns}
+            columns = {name: piece.column(name) for name in names}
             columns["text"] = pa.array(texts, piece.schema.field("text").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return judged.select(*common.quoted(docs.columns), spans).mapInArrow(run, docs.schema)
+    return judged.select(*names, spans).mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -223,9 +223,10 @@ def keep_known(docs: DataFrame, network: Network, least: float = LEAST_SCORE) ->
                 known = has_letter(piece.column("text"))
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(known)], names=[*piece.schema.names, mark])
 
-    mark = common.free_name(docs.columns, "__known")
-    out = docs.mapInArrow(run, StructType([*docs.schema.fields]).add(mark, BooleanType()))
-    return out.where(F.col(mark)).select(*common.quoted(docs.columns))
+    plain = common.undotted(docs)
+    mark = common.free_name(plain.columns, "__known")
+    out = plain.mapInArrow(run, StructType([*plain.schema.fields]).add(mark, BooleanType()))
+    return out.where(F.col(mark)).select(plain.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

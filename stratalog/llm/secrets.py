@@ -122,9 +122,10 @@ def redact(docs: DataFrame, drop: bool = False) -> DataFrame:
                 columns[k] = pa.array([len(t) if x else n for t, x, n in zip(texts, found, columns[k].to_pylist(), strict=True)], columns[k].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(x) for x in found], pa.bool_())], names=[*piece.schema.names, mark])
 
-    mark = common.free_name(docs.columns, "__found")
-    out = docs.mapInArrow(run, StructType([*docs.schema.fields]).add(mark, BooleanType()))
-    return (out.where(~F.col(mark)) if drop else out).select(*common.quoted(docs.columns))
+    plain = common.undotted(docs)
+    mark = common.free_name(plain.columns, "__found")
+    out = plain.mapInArrow(run, StructType([*plain.schema.fields]).add(mark, BooleanType()))
+    return (out.where(~F.col(mark)) if drop else out).select(plain.columns).toDF(*docs.columns)
 
 
 def cut(text: str, spans: list[Span]) -> str:

@@ -188,8 +188,8 @@ def array_of(column: pa.ChunkedArray, dtype: object = np.uint64) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), dtype=dtype)
 
 
-def links(nodes: DataFrame, count: int) -> DataFrame:
-    """Edges (a, b) that span the links between the fingerprints of nodes (fp)."""
+def links(nodes: DataFrame, count: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) that span the links between the fingerprints of nodes (fp), and the tables that they are read from."""
     least = common.shuffle_partitions(nodes.sparkSession)
     files = max(least, -(-count * BITS // ENTRIES))
 
@@ -217,20 +217,21 @@ def links(nodes: DataFrame, count: int) -> DataFrame:
         return filed([(a, b)] if len(a) else [], [(which[key & 63], key, members) for key, members in huge])
 
     found = common.written(nodes.select("fp").mapInArrow(file, "file int, variants binary, fps binary").groupBy("file").applyInArrow(join, _FILED), "files", by="kind")
-    edges = [found.where(F.col("kind") == _EDGES)]
+    tables, edges = [found], [found.where(F.col("kind") == _EDGES)]
     for filing in range(1, FILINGS + 1):
         again = found.where(F.col("kind") == _HUGE)
         entries = again.agg(F.coalesce(F.sum(F.length("fps")), F.lit(0))).first()[0] // 8 * BITS
         if not entries:
             break
         found = common.written(file_again(again, max(least, -(-entries // ENTRIES)), filing == FILINGS), "files", by="kind")
+        tables.append(found)
         edges.append(found.where(F.col("kind") == _EDGES))
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(array_of(batch.column(c), np.int64)) for c in "ab"], names=["a", "b"])
 
-    return functools.reduce(DataFrame.union, edges).select("a", "b").mapInArrow(opened, "a long, b long")
+    return functools.reduce(DataFrame.union, edges).select("a", "b").mapInArrow(opened, "a long, b long"), tables
 
 
 def file_again(huge: DataFrame, files: int, last: bool) -> DataFrame:
@@ -262,9 +263,10 @@ def file_again(huge: DataFrame, files: int, last: bool) -> DataFrame:
 def rooted(found: DataFrame, least: Column) -> tuple[DataFrame, DataFrame]:
     """The nodes (fp, least, root) of a table with fp, and the least of each root; least is an aggregate."""
     nodes = common.written(found.groupBy("fp").agg(least.alias("least")), "nodes")
-    trees = components.roots(links(nodes, nodes.count())).withColumnRenamed("node", "fp")
-    with_roots = common.written(nodes.join(trees, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    common.discard(nodes)
+    edges, tables = links(nodes, nodes.count())
+    trees = components.roots(edges)
+    with_roots = common.written(nodes.join(trees.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    common.discard(nodes, trees, *tables)
     return with_roots, with_roots.groupBy("root").agg(F.min("least").alias("least"))
 
 
@@ -287,10 +289,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # 128 bits that tell rows apart; a hash leaves nulls out, so where they are is hashed too
     key = F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *columns, *[c.isNull() for c in columns])), 16, "0") for k in (0, 1)])
     keyed = docs.withColumn(row, key)
-    found = fingerprints(keyed.select("doc_id", "text", F.col(row).alias("row")), "row string")
-    nodes, least = rooted(common.written(found, "fingerprints"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")))
+    found = common.written(fingerprints(keyed.select("doc_id", "text", F.col(row).alias("row")), "row string"), "fingerprints")
+    nodes, least = rooted(found, F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")))
     kept = common.written(least.select(F.col("least.row").alias(row)), "kept")
-    common.discard(nodes)
+    common.discard(found, nodes)
     return keyed.join(kept, row, "left_semi").dropDuplicates([row]).select(*common.quoted(docs.columns))
 
 

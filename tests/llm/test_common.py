@@ -70,6 +70,12 @@ def test_long_rows_hash_alike_in_blocks(monkeypatch):
     assert (words.hashes() == whole[0]).all() and (words.windows(words.hashes(), 13)[1] == whole[1]).all()
 
 
+def test_dotted_names_and_back(spark):
+    df = spark.sql("SELECT 1 AS `a.b`, 2 AS __column0, 3 AS `x``y`, 4 AS text")
+    plain = common.undotted(df)
+    assert plain.columns == ["__column0_", "__column0", "__column2", "text"] and plain.toDF(*df.columns).schema == df.schema
+
+
 def test_samples_are_bounded_and_repeatable(spark):
     df = spark.range(5000).withColumnRenamed("id", "doc_id")
     a, b = ([r.doc_id for r in common.sampled(df.repartition(n), "doc_id", 100).collect()] for n in (1, 7))

@@ -136,7 +136,7 @@ def test_links_of_huge_keys(spark, monkeypatch, huge):
     monkeypatch.setattr(simhash, "HUGE", huge)
     monkeypatch.setattr(simhash, "LARGE", 2)
     fps = np.unique(np.concatenate([around(12), around(40) & np.uint64(0x3FFFFF) | np.uint64(0x5555 << 40)]))
-    found = simhash.links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"), len(fps)).collect()
+    found = simhash.links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"), len(fps))[0].collect()
     edges = [(np.uint64(r.a % (1 << 64)), np.uint64(r.b % (1 << 64))) for r in found]
     assert partition(fps, edges) == all_links(fps)
     assert all(np.bitwise_count(a ^ b) <= 4 for a, b in edges)

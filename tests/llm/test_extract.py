@@ -217,3 +217,19 @@ def test_sample_pages_give_their_articles(spark):
         blocks = re.split(r"</?(?:p|h1|br|article)\b[^>]*>", inner)
         text = " ".join(t for b in blocks if (t := " ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split())))
         assert found[r.page_id].text == text
+
+
+def test_wrappers_find_menus_and_bodies_that_no_tag_names(spark):
+    """The sample's menus and articles as plain divs: on hosts with enough pages, the wrapper alone gives the same text."""
+    from pyspark.sql import functions as F
+
+    pages = extract.common.read(spark, "/root/testdata/sf0.01", "pages")
+    plain = pages.withColumn("html", F.regexp_replace("html", "<(/?)(?:nav|article)>", "<$1div>"))
+    whole, bare = (by_id(extract.extract(x), "page_id") for x in (pages, plain))
+    hosts = {}
+    for r in pages.collect():
+        hosts.setdefault(r.url.split("://")[1].split("/")[0].split("?")[0].split("#")[0].lower(), set()).add((r.page_id, r.html))
+    some = [i for h in hosts.values() if len({x for _, x in h}) >= 3 for i, _ in h]
+    assert len(some) > 200 and all(bare[i].text == whole[i].text for i in some)
+    alone = [i for h in hosts.values() if len({x for _, x in h}) < 3 for i, _ in h]
+    assert all(bare[i].text != whole[i].text for i in alone)  # where there is no wrapper, menus stay

@@ -50,7 +50,7 @@ def test_stages_take_nulls_and_empty_tables(spark, docs_of):
 
 def test_stages_take_columns_with_clashing_names(spark, docs_of):
     docs = docs_of([(1, "the word " * 10), (2, None), (3, "other text of some length here")])
-    docs = docs.selectExpr("*", "1 AS fp", "2 AS score", "array(1) AS items", "'x' AS lang_pred", "map('a', 1) AS component_id", "current_date() AS held_out", "named_struct('a', 1) AS spans", "0 AS rank")
+    docs = docs.selectExpr("*", "1 AS fp", "2 AS score", "array(1) AS items", "'x' AS lang_pred", "map('a', 1) AS component_id", "current_date() AS held_out", "named_struct('a', 1) AS spans", "0 AS rank", "1 AS `a.b`", "2 AS __known", "3 AS __HIT", "4 AS __row", "5 AS __found", "6 AS Text_2")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DIR)
         assert out.columns == docs.columns, name
@@ -62,3 +62,25 @@ def test_entry_has_a_query_for_each_operator():
     names = list(__spark_entry__.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_stages_take_very_long_texts(spark, docs_of):
+    long = " ".join(f"word{i % 977} of the long text" for i in range(300_000))
+    docs = docs_of([(1, "the " + long), (2, "the words of a short text and of the others here"), (3, "the " + long + " end")])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DIR)
+    rows = {r.doc_id: r for r in docs.collect()}
+    assert sorted(rows) == [1, 2] and rows[1].n_tokens > 1_000_000
+
+
+def test_the_entry_works_without_a_library_of_these_operators(tmp_path):
+    """An import error anywhere in the training-data part takes only their queries away."""
+    import subprocess
+    import sys
+
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'tree_rollup' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
+    import os
+
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, env=os.environ | {"PYTHONPATH": f"{tmp_path}{os.pathsep}{root}"})
