@@ -6,11 +6,13 @@ chosen by a hash of the URL), and judge the rest.  Features are lengths, depths,
 entropy of the host's characters, parameters, and statistics over all labelled URLs of two affixes, the host's
 suffix and the path's first segment: block share and frequency of every value, in a table that Spark broadcasts if it is small.
 
-Learning is histogram boosting: values become bins by the sample's quantiles, equal rows are counted, and
-each level of a tree is one aggregation of gradients by node, feature and bin, whose few sums choose the splits.
+Learning is histogram boosting: values become bins by the sample's quantiles, and equal rows of bins are counted.  These counts, at
+most one for each sampled URL, come to the driver once; there, each level of a tree sums gradients by node, feature and bin, and the sums
+choose the splits.  The statistics of both affixes are one aggregation.
 
 Defined results: null URLs and URLs without ``://`` have empty host and path, no rule, and are judged like any other by
-the trees (a null as the empty string); without labelled URLs all is allowed, with one label all gets it; repeated URLs are judged alike.
+the trees (a null as the empty string); without labelled URLs all is allowed, with one label all gets it; repeated URLs are judged alike; ties between
+splits go to the first feature and cut; URLs of any length are read whole; an empty table has no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -134,15 +136,20 @@ def tree_value(tree: object) -> Column:
 # -- learning ---------------------------------------------------------------------------------
 
 
+def affix_tables(labelled: DataFrame) -> tuple[DataFrame, int, int]:
+    """which, value, n and k (labelled and blocked URLs) of every value of both affixes, and the sums of n and k."""
+    counts = labelled.groupingSets([["suffix"], ["section"]], "suffix", "section").agg(F.grouping("suffix").alias("which"), F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("k"))
+    found = common.written(counts.select("which", F.when(F.col("which") == 0, F.col("suffix")).otherwise(F.col("section")).alias("value"), "n", "k"), "affixes")
+    n, k = found.where("which = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+    return found, n, k
+
+
 def train(labelled: DataFrame) -> Model:
     """Learns from labelled (url, host, path, blocked), as lexical() returns them."""
-    n, k = labelled.agg(F.count("*"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0))).first()
+    counts, n, k = affix_tables(labelled)
     if k in (0, n):
         return Model({}, 0.5, {f: [] for f in FEATURES}, 10.0 if n and k == n else -10.0, [])
-    affixes = {}
-    for affix in AFFIXES:
-        counts = labelled.groupBy(affix).agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("k"))
-        affixes[affix] = common.written(counts.select(affix, ((F.col("k") + 1) / (F.col("n") + 2)).alias(f"{affix}_blocked"), (F.col("n") / n).alias(f"{affix}_share")), affix)
+    affixes = {affix: counts.where(F.col("which") == i).select(F.col("value").alias(affix), ((F.col("k") + 1) / (F.col("n") + 2)).alias(f"{affix}_blocked"), (F.col("n") / n).alias(f"{affix}_share")) for i, affix in enumerate(AFFIXES)}
     model = Model(affixes, k / n, {}, math.log(k / (n - k)), [])
     share = min(1.0, 1.2 * LEARN_ROWS / n)
     rank = common.hash_rank("url")
@@ -151,61 +158,68 @@ def train(labelled: DataFrame) -> Model:
     found = sample.agg(*[F.percentile_approx(f, levels, 10_000).alias(f) for f in FEATURES]).first()
     model = model._replace(cuts={f: sorted(set(found[f])) for f in FEATURES})
     bins = [f"bin_{f}" for f in FEATURES]
-    cells = common.written(binned(sample, model.cuts).groupBy("blocked", *bins).agg(F.count("*").alias("n")).coalesce(1), "cells")
+    # at most LEARN_ROWS rows of small numbers
+    cells = binned(sample, model.cuts).groupBy("blocked", *bins).agg(F.count("*").alias("n")).orderBy("blocked", *bins).collect()
+    common.discard(sample)
+    rows = [Cell(float(r["blocked"]), r["n"], tuple(r[b] for b in bins)) for r in cells]
+    margins = [model.base] * len(rows)
     for _ in range(TREES):
-        model.trees.append(grow(cells, model))
+        model.trees.append(grow(rows, margins))
     return model
 
 
-def grow(cells: DataFrame, model: Model) -> object:
-    """One more tree.  A level is one aggregation; the splits with the largest gain are chosen from its sums."""
-    chance = 1 / (1 + F.exp(-model.margin()))
-    rows = cells.withColumns({"g": F.col("n") * (F.col("blocked").cast("double") - chance), "h": F.col("n") * chance * (1 - chance), "node": F.lit(0)})
+class Cell(NamedTuple):
+    """Equal rows of the sample: their label, how many they are, and the bin of each feature."""
+
+    label: float
+    n: int
+    bins: tuple[int, ...]
+
+
+def grow(cells: list[Cell], margins: list[float]) -> object:
+    """One more tree, whose values are added to the margins of the cells.  A level sums gradients and curvatures by node, feature and bin; the splits with the largest gain are chosen."""
+    slopes = []
+    for cell, margin in zip(cells, margins, strict=True):
+        chance = 1 / (1 + math.exp(-margin))
+        slopes.append((cell.n * (cell.label - chance), cell.n * chance * (1 - chance)))
     splits: dict[int, tuple[str, int]] = {}
-    leaves: dict[int, float] = {}
-    open_nodes = {0}
+    members = {0: list(range(len(cells)))}
     for level in range(DEPTH):
-        sums = histogram(rows, open_nodes)
-        chosen = {}
-        for node in sorted(open_nodes):
-            split = best_split({f: sums.get((node, f), {}) for f in FEATURES})
-            g, h = total(sums, node)
+        below: dict[int, list[int]] = {}
+        for node in [m for m in members if m >= (1 << level) - 1]:
+            split = best_split(histogram(cells, slopes, members[node]))
             if split is None:
-                leaves[node] = RATE * g / (h + SMOOTH)
                 continue
-            feature, cut, (gl, hl), (gr, hr) = split
-            splits[node] = chosen[node] = (feature, cut)
-            leaves[2 * node + 1], leaves[2 * node + 2] = RATE * gl / (hl + SMOOTH), RATE * gr / (hr + SMOOTH)
-        open_nodes = {c for node in chosen for c in (2 * node + 1, 2 * node + 2)}
-        if not chosen or level == DEPTH - 1:
-            break
-        at = F.lit(-1)
-        for node, (feature, cut) in chosen.items():
-            at = F.when(F.col("node") == node, F.when(F.col(f"bin_{feature}") <= cut, 2 * node + 1).otherwise(2 * node + 2)).otherwise(at)
-        rows = rows.withColumn("node", at)
+            splits[node] = split
+            place = FEATURES.index(split[0])
+            for i in members[node]:
+                below.setdefault(2 * node + (1 if cells[i].bins[place] <= split[1] else 2), []).append(i)
+        members |= below
 
     def nested(node: int) -> object:
-        return (*splits[node], nested(2 * node + 1), nested(2 * node + 2)) if node in splits else float(leaves[node])
+        if node in splits:
+            return (*splits[node], nested(2 * node + 1), nested(2 * node + 2))
+        value = RATE * sum(slopes[i][0] for i in members[node]) / (sum(slopes[i][1] for i in members[node]) + SMOOTH)
+        for i in members[node]:
+            margins[i] += value
+        return value
 
     return nested(0)
 
 
-def histogram(rows: DataFrame, nodes: set[int]) -> dict[tuple[int, str], dict[int, tuple[float, float]]]:
-    """Sums of gradients and curvatures by node, feature and bin: at most nodes x features x bins rows."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"bin_{f}").alias("bin")) for f in FEATURES]))
-    found = rows.where(F.col("node").isin(sorted(nodes))).select("node", "g", "h", each.alias("x")).groupBy("node", "x.feature", "x.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-    out: dict[tuple[int, str], dict[int, tuple[float, float]]] = {}
-    for r in found:
-        out.setdefault((r["node"], r["feature"]), {})[r["bin"]] = (r["g"], r["h"])
+def histogram(cells: list[Cell], slopes: list[tuple[float, float]], members: list[int]) -> dict[str, dict[int, tuple[float, float]]]:
+    """Sums of gradients and curvatures of some cells, by feature and bin."""
+    out: dict[str, dict[int, tuple[float, float]]] = {}
+    for place, feature in enumerate(FEATURES):
+        bins = out[feature] = {}
+        for i in members:
+            g, h = bins.get(cells[i].bins[place], (0.0, 0.0))
+            bins[cells[i].bins[place]] = (g + slopes[i][0], h + slopes[i][1])
     return out
 
 
-def total(sums: dict, node: int) -> tuple[float, float]:
-    bins = sums.get((node, FEATURES[0]), {}).values()
-    return sum(g for g, _ in bins), sum(h for _, h in bins)
-
-
-def best_split(by_feature: dict[str, dict[int, tuple[float, float]]]) -> tuple | None:
+def best_split(by_feature: dict[str, dict[int, tuple[float, float]]]) -> tuple[str, int] | None:
+    """The feature and the last bin of the left side with the largest gain, if any gains."""
     best, best_gain = None, 1e-6
     for feature, bins in by_feature.items():
         g_all, h_all = sum(g for g, _ in bins.values()), sum(h for _, h in bins.values())
@@ -215,7 +229,7 @@ def best_split(by_feature: dict[str, dict[int, tuple[float, float]]]) -> tuple |
             gr, hr = g_all - gl, h_all - hl
             gain = gl * gl / (hl + SMOOTH) + gr * gr / (hr + SMOOTH) - g_all * g_all / (h_all + SMOOTH)
             if gain > best_gain * (1 + 1e-9):
-                best, best_gain = (feature, cut, (gl, hl), (gr, hr)), gain
+                best, best_gain = (feature, cut), gain
     return best
 
 

@@ -262,3 +262,32 @@ def test_very_long_toxic_texts_are_learned_from(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.train(docs, labels)
     assert len(model.keys) and by_id(toxicity.score(spark.createDataFrame([(1, "zorg blarg vrak zorg blarg vrak zorg")], "doc_id long, text string"), model))[1].predicted == 1
+
+
+def test_a_tree_is_the_best_of_all():
+    """grow() against the gain of every split, counted from the rows."""
+    rng = random.Random(6)
+    cells = [urlfilter.Cell(float(rng.random() < 0.4), rng.randint(1, 5), tuple(rng.randint(0, 3) for _ in urlfilter.FEATURES)) for _ in range(120)]
+    margins = [rng.uniform(-1, 1) for _ in cells]
+    slopes = [(c.n * (c.label - 1 / (1 + np.exp(-m))), c.n / (1 + np.exp(-m)) / (1 + np.exp(m))) for c, m in zip(cells, margins, strict=True)]
+
+    def gain(rows, place, cut):
+        sides = [[slopes[i] for i in rows if (cells[i].bins[place] <= cut) == left] for left in (True, False)]
+        value = lambda x: sum(g for g, _ in x) ** 2 / (sum(h for _, h in x) + urlfilter.SMOOTH)
+        return value(sides[0]) + value(sides[1]) - value(sides[0] + sides[1])
+
+    after = list(margins)
+    tree = urlfilter.grow(cells, after)
+    every = list(range(len(cells)))
+    best = max(gain(every, p, c) for p in range(len(urlfilter.FEATURES)) for c in range(3))
+    feature, cut, left, right = tree
+    assert abs(gain(every, urlfilter.FEATURES.index(feature), cut) - best) < 1e-9
+
+    def value(t, bins):
+        while not isinstance(t, float):
+            t = t[2] if bins[urlfilter.FEATURES.index(t[0])] <= t[1] else t[3]
+        return t
+
+    assert all(abs(b - a - value(tree, c.bins)) < 1e-12 for a, b, c in zip(margins, after, cells, strict=True))
+    leaf = [i for i in every if value(tree, cells[i].bins) == value(tree, cells[0].bins)]
+    assert abs(value(tree, cells[0].bins) - urlfilter.RATE * sum(slopes[i][0] for i in leaf) / (sum(slopes[i][1] for i in leaf) + urlfilter.SMOOTH)) < 1e-9
