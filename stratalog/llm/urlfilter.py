@@ -104,10 +104,7 @@ class Model(NamedTuple):
     trees: list[object]
 
     def margin(self) -> Column:
-        total = F.lit(self.base)
-        for tree in self.trees:
-            total = total + tree_value(tree)
-        return total
+        return F.expr(" + ".join([f"{self.base!r}D", *map(tree_value, self.trees)]))
 
 
 def with_affixes(urls: DataFrame, model: Model) -> DataFrame:
@@ -123,14 +120,15 @@ def with_affixes(urls: DataFrame, model: Model) -> DataFrame:
 
 def binned(urls: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     """A column bin_<feature> for each: how many cuts the value is above."""
-    return urls.withColumns({f"bin_{f}": sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0)) for f in FEATURES})
+    return urls.withColumns({f"bin_{f}": F.expr(" + ".join(["0", *[f"CAST({f} > {float(c)!r}D AS INT)" for c in cuts[f]]])) for f in FEATURES})
 
 
-def tree_value(tree: object) -> Column:
+def tree_value(tree: object) -> str:
+    """A tree as SQL over the bins."""
     if isinstance(tree, float):
-        return F.lit(tree)
+        return f"{tree!r}D"
     feature, cut, left, right = tree
-    return F.when(F.col(f"bin_{feature}") <= cut, tree_value(left)).otherwise(tree_value(right))
+    return f"CASE WHEN bin_{feature} <= {cut} THEN {tree_value(left)} ELSE {tree_value(right)} END"
 
 
 # -- learning ---------------------------------------------------------------------------------
