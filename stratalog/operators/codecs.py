@@ -32,7 +32,8 @@ def codec(name: str, level: int) -> tuple[Callable[[bytes], bytes], Callable[[by
         case "bzip2":
             return lambda b: bz2.compress(b, level), lambda b, n: bz2.decompress(b)
         case "lzma":
-            return lambda b: lzma.compress(b, preset=level), lambda b, n: lzma.decompress(b)
+            # a dictionary beyond the payload finds nothing more, and making one is what short payloads would cost
+            return lambda b: lzma.compress(b, filters=[{"id": lzma.FILTER_LZMA2, "preset": level, "dict_size": max(4096, min(DICTIONARIES[level], 1 << len(b).bit_length()))}]), lambda b, n: lzma.decompress(b)
         case "lz4":
             return _arrow("lz4_raw")
         case "snappy":
@@ -42,6 +43,8 @@ def codec(name: str, level: int) -> tuple[Callable[[bytes], bytes], Callable[[by
     raise ValueError(f"unknown codec {name!r}")
 
 
+#: Dictionary sizes of the LZMA presets.
+DICTIONARIES = [1 << n for n in (18, 20, 21, 22, 22, 23, 23, 24, 25, 26)]
 #: Those that are at hand here: 9 deflate, 22 zstd, 9 bzip2, 10 lzma, 12 brotli, lz4 and snappy.
 CONFIGS = [("deflate", n) for n in range(1, 10)] + [("zstd", n) for n in range(1, 23)] + [("bzip2", n) for n in range(1, 10)] + [("lzma", n) for n in range(10)] + [("brotli", n) for n in range(12)] + [("lz4", 1), ("snappy", 1)]
 

@@ -101,10 +101,9 @@ def _(spark, sf_dir):
     return catalog.page_entries(spark, sf_dir).select(F.col("entry_idx").cast("long").alias("page_id"), paths.basename(path).alias("name"), paths.extension(path).alias("ext"), paths.parent(path).alias("parent"), paths.depth(path).alias("depth"), paths.strip_components(path, 2).alias("stripped"))
 
 
-@query("size_and_mime", f"""WITH {_DOCS} SELECT doc_id, CASE WHEN size < 1024 THEN size || ' B' ELSE printf('%.1f KB', size / 1024.0) END AS size_text, CASE lower(ext) WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' ELSE 'application/octet-stream' END AS mime,
- round(packed * 100.0 / nullif(size, 0), 6) AS ratio FROM d WHERE size < 1048576""")
+@query("size_and_mime", f"""WITH {_DOCS} SELECT doc_id, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0) ELSE printf('%.2f GB', size / 1073741824.0) END AS size_text,
+ CASE lower(ext) WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' ELSE 'application/octet-stream' END AS mime, round(packed * 100.0 / nullif(size, 0), 6) AS ratio FROM d""")
 def _(spark, sf_dir):
-    # all documents: the SQL, which knows bytes and KB only, stops below 1 MB
     rows = catalog.document_entries(spark, sf_dir)
     return rows.select(F.col("entry_idx").cast("long").alias("doc_id"), paths.human_size(F.col("uncompressed_size"), trim=False).alias("size_text"), paths.mime(F.col("path")).alias("mime"), F.round(paths.compression_ratio(F.col("compressed_size"), F.col("uncompressed_size")), 6).alias("ratio"))
 
@@ -168,15 +167,7 @@ def _(spark, sf_dir):
 # -- orders and searches ----------------------------------------------------------------------
 
 
-@query("sort_natural", "SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey % 10 DESC, s_suppkey DESC) AS pos FROM supplier ORDER BY pos LIMIT 40")
-def _(spark, sf_dir):
-    rows = catalog.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.format_string("part%d vol %d", F.col("s_suppkey") % 10, "s_suppkey").alias("name"), F.lit(False).alias("is_directory"), F.lit(None).cast("long").alias("mtime"), F.lit("").alias("kind"), F.col("s_suppkey").alias("size"), F.col("s_name").alias("path"))
-    first = search.ordered(rows, "name_desc").limit(40)
-    place = F.row_number().over(Window.orderBy(search.natural_key(F.col("name")).desc(), "path"))
-    return first.select("s_suppkey", "s_name", place.cast("long").alias("pos"))
-
-
-@query("sort_natural_all", "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey % 10 DESC, p_partkey DESC) AS pos FROM part")
+@query("sort_natural", "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey % 10 DESC, p_partkey DESC) AS pos FROM part")
 def _(spark, sf_dir):
     rows = catalog.table(spark, sf_dir, "part").select("p_partkey", "p_name", F.format_string("part%d vol %d", F.col("p_partkey") % 10, "p_partkey").alias("name"), F.lit(False).alias("is_directory"), F.lit(None).cast("long").alias("mtime"), F.lit("").alias("kind"), F.col("p_partkey").alias("size"), F.col("p_name").alias("path"))
     return search.placed(search.ordered(rows, "name_desc").select("p_partkey", "p_name"))
@@ -193,12 +184,7 @@ def _(spark, sf_dir):
     return search.contains(catalog.with_names(catalog.document_entries(spark, sf_dir)), "12").select("path")
 
 
-@query("deepest_first", f"WITH {_PAGES} SELECT path, CAST(len([s FOR s IN string_split(path, '/') IF s != '']) AS INTEGER) AS depth FROM p ORDER BY depth DESC, path DESC LIMIT 100")
-def _(spark, sf_dir):
-    return tree.deepest_first(catalog.page_entries(spark, sf_dir).select("path", paths.depth(F.col("path")).alias("depth"))).limit(100)
-
-
-@query("deepest_first_all", f"WITH {_PAGES} SELECT path, CAST(len([s FOR s IN string_split(path, '/') IF s != '']) AS INTEGER) AS depth FROM p ORDER BY depth DESC, path DESC")
+@query("deepest_first", f"WITH {_PAGES} SELECT path, CAST(len([s FOR s IN string_split(path, '/') IF s != '']) AS INTEGER) AS depth FROM p ORDER BY depth DESC, path DESC")
 def _(spark, sf_dir):
     return tree.deepest_first(catalog.page_entries(spark, sf_dir).select("path", paths.depth(F.col("path")).alias("depth")))
 
@@ -407,16 +393,10 @@ def _(spark, sf_dir):
     return parity.repaired(rows.withColumn("payload", hurt), parity.recovery_records(rows, "doc_id"), "doc_id").select("doc_id", F.sha2("payload", 256).alias("sha256"))
 
 
-@query("codec_matrix", "SELECT codec, level, CAST(sum(strlen(text)) AS BIGINT) AS original, true AS round_trip FROM documents, (VALUES ('deflate', 1), ('deflate', 6), ('zstd', 1), ('zstd', 3), ('lz4', 1), ('snappy', 1)) AS c(codec, level) WHERE text <> '' GROUP BY codec, level")
-def _(spark, sf_dir):
-    configs = [("deflate", 1), ("deflate", 6), ("zstd", 1), ("zstd", 3), ("lz4", 1), ("snappy", 1)]
-    return codecs.matrix_points(codecs.matrix(_payloads(spark, sf_dir), "doc_id", configs)).select("codec", "level", "original", "round_trip")
-
-
 _CONFIGS = ", ".join(f"('{name}', {level})" for name, level in codecs.CONFIGS)
 
 
-@query("codec_matrix_all", f"SELECT codec, level, CAST(sum(strlen(text)) AS BIGINT) AS original, true AS round_trip FROM documents, (VALUES {_CONFIGS}) AS c(codec, level) WHERE text <> '' GROUP BY codec, level")
+@query("codec_matrix", f"SELECT codec, level, CAST(sum(strlen(text)) AS BIGINT) AS original, true AS round_trip FROM documents, (VALUES {_CONFIGS}) AS c(codec, level) WHERE text <> '' GROUP BY codec, level")  # all configurations
 def _(spark, sf_dir):
     return codecs.matrix_points(codecs.matrix(_payloads(spark, sf_dir), "doc_id")).select("codec", "level", "original", "round_trip")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import dsl, paths, payload, signatures
-from stratalog.operators import audit, bench, diff, search, security, tree, volumes
+from stratalog.operators import bench, diff, mutations, search, security, tree, volumes
 from stratalog.plans import catalog, commands
 from stratalog.plans.registry import _DOCS, _PAGES, _packed, _payloads, query
 from stratalog.sources import archives, containers, reports
@@ -534,3 +534,24 @@ def _(spark, sf_dir):
     session.upsert(doubled.where("path % 7 = 0")).delete(rows.where("path % 3 = 0"))
     sums = lambda state, table: table.agg(F.lit(state).alias("state"), F.sum("v").alias("total"), F.count("*").alias("n"))
     return sums("committed", session.commit()).unionByName(sums("rolled back", session.rollback()))
+
+
+@query("damaged_archives", """SELECT mutation, count(DISTINCT source || '-' || (doc_id % 50)) AS n_archives, true AS answered FROM documents, (VALUES ('empty'), ('cut_tail'), ('cut_head'), ('byte'), ('zeros'), ('ones'), ('inserted'), ('removed'), ('twice'), ('swapped')) AS v(mutation) GROUP BY mutation""")
+def _(spark, sf_dir):
+    # whatever is broken, a reader gives entries or an error for each archive
+    hurt = mutations.damaged(_packed(spark, sf_dir, "zip"), "path").withColumn("path", F.concat_ws("|", "mutation", "path"))
+    found = archives.entries(hurt, with_payload=True).groupBy("archive_id").agg((F.count("error") <= 1).alias("one"))
+    mutation = F.substring_index("archive_id", "|", 1)
+    return found.groupBy(mutation.alias("mutation")).agg(F.count("*").alias("n_archives"), F.bool_and("one").alias("answered"))
+
+
+@query("mutation_bytes", """SELECT page_id, 'twice' AS mutation, sha256(html || html) AS digest FROM pages UNION ALL SELECT page_id, 'empty', sha256('') FROM pages""")
+def _(spark, sf_dir):
+    rows = catalog.table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    return mutations.damaged(rows, "page_id").where("mutation IN ('twice', 'empty')").select("page_id", "mutation", F.sha2("content", 256).alias("digest"))
+
+
+@query("markdown_report", "SELECT '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS report FROM nation")
+def _(spark, sf_dir):
+    text = reports.markdown(catalog.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey"))
+    return spark.createDataFrame([(text,)], "report string")
