@@ -420,7 +420,8 @@ def frames(known: DataFrame, different: DataFrame) -> DataFrame:
     # chosen on narrow rows, so that only references carry their html; a task passes on REFERENCES rows a host at most
     place = F.row_number().over(Window.partitionBy("host").orderBy("digest"))
     chosen = common.written(different.withColumn("place", place).where(F.col("place") <= REFERENCES).select("host", "digest", "rank"), "references")
-    found = known.join(chosen, ["host", "digest", "rank"]).select("host", "html")
+    # one row a reference, however often the page is repeated
+    found = known.join(chosen, ["host", "digest", "rank"]).select("host", "digest", "html").dropDuplicates(["host", "digest"]).select("host", "html")
 
     def run(table: pa.Table) -> pa.Table:
         frame = induce(table.column("html").to_pylist())

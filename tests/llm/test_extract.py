@@ -233,3 +233,16 @@ def test_wrappers_find_menus_and_bodies_that_no_tag_names(spark):
     assert len(some) > 200 and all(bare[i].text == whole[i].text for i in some)
     alone = [i for h in hosts.values() if len({x for _, x in h}) < 3 for i, _ in h]
     assert all(bare[i].text != whole[i].text for i in alone)  # where there is no wrapper, menus stay
+
+
+def test_a_page_repeated_very_often_is_one_reference(spark):
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", page(f"T{i}", [f"p{i}"])) for i in range(4)], "page_id long, url string, html string")
+    row = pages.where("page_id = 0").first()
+    both = pages.unionByName(spark.range(20_000).selectExpr("0L AS page_id", f"'{row.url}' AS url", f"'{row.html}' AS html"))
+    narrow = both.select("page_id", "url", extract.host(both.url).alias("host"), "html")
+    known = narrow.where(extract.F.length("html") > 0).withColumns({"digest": extract.F.unhex(extract.F.md5(extract.F.col("html").cast("binary"))), "rank": extract.F.xxhash64("page_id", "url")})
+    different = extract.common.written(known.groupBy("host", "digest").agg(extract.F.min("rank").alias("rank")), "different")
+    plan = extract.frames(known, different)._jdf.queryExecution().toString()
+    assert different.count() == 4 and "Aggregate" in plan
+    texts = extract.extract(both).groupBy("page_id", "text").count().collect()
+    assert {(r.page_id, r.text, r["count"]) for r in texts} == {(0, "T0 p0", 20_001), (1, "T1 p1", 1), (2, "T2 p2", 1), (3, "T3 p3", 1)}
