@@ -1,7 +1,7 @@
 """DuckDB SQL over the whole tables, for the queries that SQL can express fast enough.
 
-Without SQL here, and held against brute force in tests/llm: positions of regular matches (op2), trained models
-(op3, op4, op6), tree matching (op5), stored media (op7), merges (op9), seeded XXH64 and components (op10).
+Without SQL here, and held against brute force in tests/llm: trained models (op3, op4, op6), tree matching (op5), stored
+media (op7), merges (op9), seeded XXH64 and components (op10).
 """
 
 from __future__ import annotations
@@ -50,4 +50,38 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept,
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op8_substring_dedup": OP8}
+#: Kinds in the order that breaks ties: pattern, and what a match needs to be kept.
+_KEYWORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""(?:{_KEYWORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = {
+    "assign": (_ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 1)) >= 12"),
+    "access": ("AKIA[A-Z0-9]+", "length(m) >= 18"),
+    "hex": ("[0-9a-f]+", "length(m) >= 16"),
+    "forge_token": ("gh[pousr]_[A-Za-z0-9]+", "length(m) >= 24"),
+    "chat_token": ("xox[abprs]-[A-Za-z0-9-]+", "length(m) >= 15"),
+    "private_key": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
+    "web_token": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "length(m) >= 40"),
+}
+
+
+def _matches(rank: int, kind: str, pattern: str, kept: str) -> str:
+    """Where the matches of a kind start: after the text between them and the matches before."""
+    cut = f"SELECT n, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM docs"
+    each = f"SELECT n, unnest(ms) AS m, unnest(gaps[1 : len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM ({cut})"
+    placed = f"SELECT n, m, i, sum(length(gap)) OVER (PARTITION BY n ORDER BY i) + coalesce(sum(length(m)) OVER (PARTITION BY n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ({each})"
+    return f"SELECT n, {rank} AS r, '{kind}' AS kind, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e FROM ({placed}) WHERE {kept}"
+
+
+OP2 = f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(_matches(r, kind, *x) for r, (kind, x) in enumerate(_KINDS.items()))}),
+joined AS (
+  SELECT n, count(*) FILTER (r = 0) AS a, count(*) FILTER (r = 1) AS b, count(*) FILTER (r = 2) AS c,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) FILTER (r < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) AS every
+  FROM spans GROUP BY n
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM docs LEFT JOIN joined USING (n)
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op2_secrets": OP2, "op8_substring_dedup": OP8}
