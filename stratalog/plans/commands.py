@@ -22,6 +22,11 @@ def list_(spark: SparkSession, path: str | DataFrame, query: str = "", now: int
     return dsl.filter_entries(rows, query, now).withColumn("ratio_pct", paths.compression_ratio(F.col("compressed_size"), F.col("uncompressed_size")))
 
 
+def first(spark: SparkSession, path: str | DataFrame, query: str, n: int, now: int = 0) -> DataFrame:
+    """Some n entries that a query keeps: archives are read a few at a time, and reading stops when there are enough."""
+    return list_(spark, path, query, now).limit(n)
+
+
 def info(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return tree.totals(archives.entries(_files(spark, path)).where("error is null"), "archive_id")
 

@@ -454,6 +454,11 @@ def _(spark, sf_dir):
     return commands.list_(spark, _archives(spark, sf_dir), "size:>2KB AND name:*7*").select("archive_id", "path", "uncompressed_size")
 
 
+@query("command_first", f"WITH {_PACKED} SELECT least(5, count(*)) AS n, true AS kept FROM z WHERE size > 100")
+def _(spark, sf_dir):
+    return commands.first(spark, _archives(spark, sf_dir), "size:>100", 5).agg(F.count("*").alias("n"), F.bool_and(F.col("uncompressed_size") > 100).alias("kept"))
+
+
 @query("command_info", f"WITH {_PACKED} SELECT archive_id, count(*) AS n_entries, CAST(sum(size) AS BIGINT) AS total_uncompressed, false AS any_encrypted FROM z GROUP BY archive_id")
 def _(spark, sf_dir):
     return commands.info(spark, _archives(spark, sf_dir)).select("archive_id", "n_entries", "total_uncompressed", "any_encrypted")
