@@ -9,8 +9,9 @@ Batches are taken in one after the other.
    They are merge-joined, bucket by bucket, with the index's sorted immutable runs.  Fingerprints of
    more than one document are wanted in the documents that have them.
 2. The batch's fingerprints become a new run; beyond ``MOST_RUNS`` the runs are compacted into one, and the old ones deleted.
-3. Wanting documents are verified by their own words: a 128-bit BLAKE2 digest of the text of each window with a wanted fingerprint.
-   Digests meet in buckets; a window is a repeat if its digest is in an earlier batch, or in a smaller id of its own.
+3. Wanting documents are verified by their own words: a 128-bit BLAKE2 digest of the text of each window with a wanted fingerprint,
+   one place for each digest of a text, so that a line that a text repeats is sent once.  Digests meet in buckets; a window is
+   a repeat if its digest is in an earlier batch, or in a smaller id of its own; and with it, in ``deduplicate``, all windows of the text with the same words.
 
 ``Index.add`` does all three for a batch that arrives, and keeps runs of digests too.  A table that is there as a whole is
 filled in batch by batch (1 and 2) and verified once: no text is read again for each later batch.
@@ -186,7 +187,7 @@ class Index:
         return self._by_bucket(checked.where(F.col("kind") == _HIT)).applyInArrow(hits_by_document, "doc_id long, text_key long, starts binary")
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """Repeats in a batch that arrives (doc_id, text): doc_id, text_key, and starts, the 32-bit numbers of the windows' first words.
+        """Repeats in a batch that arrives (doc_id, text): doc_id, text_key, and starts, the 32-bit numbers of the windows' first words, one for each different window.
 
         Earlier batches come before this one, whatever their ids; of them, the documents that share a fingerprint with it are
         verified.  keep: the batch becomes part of the index.
@@ -274,12 +275,14 @@ class Index:
                     mine = slice(bounds[r], bounds[r + 1])
                     starts = first[mine][np.isin(fps[mine], np.frombuffer(mine_wanted, dtype=np.uint64))] - words.of[r]
                     if len(starts):
-                        raw.append(window_digests(words.data[words.offsets[r] : words.offsets[r + 1]].tobytes(), starts))
-                        at.append(starts)
-                        row.append(np.full(len(starts), r))
+                        made = np.frombuffer(window_digests(words.data[words.offsets[r] : words.offsets[r + 1]].tobytes(), starts), dtype=np.uint64).reshape(-1, 2)
+                        lone = np.unique(made, axis=0, return_index=True)[1] if len(starts) > 1 else np.zeros(1, np.int64)
+                        raw.append(made[lone])
+                        at.append(starts[lone])
+                        row.append(np.full(len(lone), r))
                 if not raw:
                     continue
-                digests, at, row = np.frombuffer(b"".join(raw), dtype=np.uint64).reshape(-1, 2), np.concatenate(at).astype(np.int32), np.concatenate(row)
+                digests, at, row = np.concatenate(raw), np.concatenate(at).astype(np.int32), np.concatenate(row)
                 docs, keys, old = (piece.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "text_key", "fresh"))
                 order, hit, led = repeats(digests, docs, old := ~old)
                 digests, docs, keys, at, old = digests[order], docs[order], keys[order], at[order], old[order]
@@ -383,6 +386,19 @@ def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     return found
 
 
+def same_windows(raw: np.ndarray, words: list[bytes], starts: np.ndarray) -> np.ndarray:
+    """The starts of all windows of a text that have the words of one of the given windows: found by hash, compared by their bytes."""
+    first, h = (found := common.Words(raw, np.array([0, len(raw)]), _WORD)).windows(found.hashes(), WIDTH)
+    near = first[np.isin(h, h[starts])]
+    if len(near) == len(starts):
+        return starts
+    text = b" ".join(words)
+    edge = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)))
+    window = lambda i: text[edge[i] : edge[i + WIDTH] - 1]
+    wanted = {window(i) for i in starts.tolist()}
+    return np.array([i for i in near.tolist() if window(i) in wanted], dtype=np.int64)
+
+
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
     """One row for each document: id, n_words, n_removed, kept_sha256; the kept words joined by one space too with keep_text."""
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
@@ -394,10 +410,11 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             data, offsets = common.utf8(piece.column("text"))
             n_words, n_removed, kept = [], [], []
             for r, repeated in enumerate(piece.column("starts").to_pylist()):
-                words = data[offsets[r] : offsets[r + 1]].tobytes().split()
+                raw = data[offsets[r] : offsets[r + 1]]
+                words = raw.tobytes().split()
                 n_words.append(len(words))
                 if repeated:
-                    gone = common.covered(np.frombuffer(repeated, dtype=np.int32).astype(np.int64), WIDTH, len(words))
+                    gone = common.covered(same_windows(raw, words, np.frombuffer(repeated, dtype=np.int32).astype(np.int64)), WIDTH, len(words))
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words))

@@ -216,6 +216,16 @@ def test_batches_are_of_like_size_and_runs_are_compacted(spark, docs_of, monkeyp
     assert len(sizes) == 5 and max(sizes) <= 2 * len(rows) / 5 and made[0][0] == 1 and made[0][2] > 4
 
 
+def test_lines_that_a_text_repeats(spark, docs_of):
+    """A text of one line many times is sent as that line's windows once, and loses all of them if a smaller id has the line."""
+    line = " ".join(f"w{i}" for i in range(15))
+    rows = [(1, f"{line} a"), (2, f"{line} " * 400 + "own words"), (3, "x " * 500), (4, "x " * 12), (5, "x " * 30 + f"{line} z {line}")]
+    found = by_id(substrings.deduplicate(docs_of(rows)))
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in found.items()} == brute_removal(rows)
+    starts = {r.doc_id: len(r.starts) // 4 for r in substrings.repeated_windows(docs_of(rows)).collect()}
+    assert starts[2] == 3 and starts[5] <= 4
+
+
 def test_an_index_sees_earlier_batches_first(spark, docs_of):
     text = " ".join(f"w{i}" for i in range(20))
     index = substrings.Index(spark, 4)
