@@ -109,7 +109,8 @@ def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
 def discard(*tables: DataFrame | None) -> None:
     """Deletes tables of written() that no plan reads any more."""
     for table in tables:
-        if (path := getattr(table, "scratch_path", None)) is not None:
+        # a column of that name is no path
+        if isinstance(path := getattr(table, "scratch_path", None), str):
             delete(table.sparkSession, path)
 
 

@@ -18,7 +18,7 @@ def test_tables_are_written_to_the_shared_folder(spark):
     assert spark.conf.get(common._CLEANUP) == "false"
     path = df.scratch_path.removeprefix("file:")
     assert os.path.exists(path)
-    common.discard(df, None, spark.range(1))
+    common.discard(df, None, spark.range(1), spark.range(1).withColumnRenamed("id", "scratch_path"))
     assert not os.path.exists(path)
 
 
