@@ -41,7 +41,7 @@ def pareto(points: DataFrame, *by: str, slices: int = 64) -> DataFrame:
 def tiers_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Tier of each point, from 1: by falling x, the first tier whose best y so far the point beats by more than epsilon.
 
-    Best ys fall from tier to tier, so the tier is found by bisection.  A point equal to another gets a later tier.
+    Best ys fall from tier to tier, so the tier is found by bisection.  Of equal points, the earlier in the arrays gets the earlier tier.
     """
     out = np.zeros(len(x), dtype=np.int64)
     tops: list[float] = []  # negated, rising
@@ -76,9 +76,13 @@ def hull_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def tiers(points: DataFrame, by: str) -> DataFrame:
-    """points (by, codec, x, y) with tier, is_optimal and on_hull (corners among the optimal ones)."""
+    """points (by, codec, x, y) with tier, is_optimal and on_hull (corners among the optimal ones).
+
+    Of points at the same place, the codec that sorts first has the earlier tier, in whatever order they arrive.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("codec", kind="stable")
         x, y = group["x"].to_numpy(float), group["y"].to_numpy(float)
         tier = tiers_of(x, y)
         first = tier == 1

@@ -44,6 +44,15 @@ def test_tiers_are_peeled_fronts():
     assert sorted(bench.tiers_of(np.array([1.0, 1.0]), np.array([2.0, 2.0])).tolist()) == [1, 2]
 
 
+def test_tiers_of_equal_points_follow_the_codec(spark):
+    """Whatever the order of the rows: by code points, so that "10" comes before "9"."""
+    names = ["9", "10", "b", "B", "é", "\U0001f600", "\uffee"]
+    for order in (names, names[::-1]):
+        rows = spark.createDataFrame([("s", k, 1.0, 2.0) for k in order], "suite string, codec string, x double, y double").coalesce(1)
+        found = {r.codec: (r.tier, r.is_optimal, r.on_hull) for r in bench.tiers(rows, "suite").collect()}
+        assert found == {k: (n, n == 1, n == 1) for n, k in enumerate(sorted(names, key=str.encode), 1)}
+
+
 def test_hull_lies_above_all_points():
     rng = np.random.default_rng(3)
     x, y = rng.random(80), rng.random(80)
