@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -47,9 +48,8 @@ SIGNATURES = (
     Signature("lzh", 2, "2D6C68", 24, "LHA archive"),
 )
 COMPOUND = {"gzip": (".tar.gz", ".tgz"), "bzip2": (".tar.bz2", ".tbz2", ".tbz"), "xz": (".tar.xz", ".txz"), "zstd": (".tar.zst", ".tzst"), "lz4": (".tar.lz4",)}
-#: The end record of a ZIP file lies in so many last bytes; an embedded archive is looked for in so many first ones.
-END_WINDOW, EMBEDDED_WINDOW = 65_557, 65_536
-#: Whole bytes as Latin-1 text, so that string functions search them.
+#: The end record of a ZIP file lies in so many last bytes; an embedded archive is looked for in the whole payload, so many bytes at a time.
+END_WINDOW, EMBEDDED_STEP = 65_557, 65_536
 _EMBEDDED = (("zip", b"PK\x03\x04"), ("7z", b"7z\xbc\xaf\x27\x1c"), ("rar", b"Rar!\x1a\x07"))
 
 
@@ -57,6 +57,25 @@ def _bytes(payload: Column, start: int, size: int) -> Column:
     return F.substring(payload, start + 1 if start >= 0 else start, size)
 
 
+def _latin(payload: Column) -> Column:
+    """Whole bytes as Latin-1 text, so that string functions search them."""
+    return F.decode(payload, "ISO-8859-1")
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which value is computed once however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _first(payload: Column, magic: bytes, start: int) -> Column:
+    """Where magic first stands in payload from start on, or NULL."""
+
+    def within(at: Column) -> Column:
+        return F.nullif(F.instr(_latin(F.substring(payload, at + 1, F.lit(EMBEDDED_STEP + len(magic) - 1))), magic.decode("latin-1")), F.lit(0)) + at - 1
+
+    return F.array_min(F.transform(F.sequence(F.lit(start), F.greatest(F.length(payload), F.lit(start)), F.lit(EMBEDDED_STEP)), within))
+
+
 def sniff(payload: Column, name: Column | None = None) -> Column:
     """struct(format, compound, description, confidence, embedded_at) of a binary column."""
 
@@ -67,13 +86,16 @@ def sniff(payload: Column, name: Column | None = None) -> Column:
             compound = F.when(tar, f"tar.{kind}")
         return F.struct(F.lit(kind).alias("format"), compound.alias("compound"), F.lit(description).alias("description"), F.lit(confidence).alias("confidence"), (at if at is not None else F.lit(None).cast("int")).alias("embedded_at"))
 
+    def inside(places: Column) -> Column:
+        out = row("unknown", "unknown", 0)
+        for kind, _ in reversed(_EMBEDDED):
+            out = F.when(places[kind].isNotNull(), row(kind, f"self-extracting {kind} archive", 95, places[kind])).otherwise(out)
+        return out
+
     size = F.length(payload)
-    out = row("unknown", "unknown", 0)
-    latin = F.decode(payload, "ISO-8859-1")
-    head, tail = F.substring(latin, 1, EMBEDDED_WINDOW), F.substring(latin, -END_WINDOW, END_WINDOW)
-    for kind, magic in reversed(_EMBEDDED):
-        at = F.locate(magic.decode("latin-1"), head, 65)
-        out = F.when((size >= 64) & (_bytes(payload, 0, 2) == F.unhex(F.lit("4D5A"))) & (at > 0), row(kind, f"self-extracting {kind} archive", 95, at - 1)).otherwise(out)
+    places = _with(payload, lambda p: F.struct(*[_first(p, magic, 64).alias(kind) for kind, magic in _EMBEDDED]))
+    out = F.when((size >= 64) & (_bytes(payload, 0, 2) == F.unhex(F.lit("4D5A"))), _with(places, inside)).otherwise(row("unknown", "unknown", 0))
+    tail = _latin(F.substring(payload, -END_WINDOW, END_WINDOW))
     out = F.when((size >= 22) & (F.instr(tail, "PK\x05\x06") > 0), row("zip", "ZIP archive by its end record", 90)).otherwise(out)
     for s in reversed(SIGNATURES):
         here = _bytes(payload, s.offset, len(s.magic) // 2)

@@ -113,6 +113,17 @@ def test_signatures(spark):
     assert found[2].s.compound == "tar.gzip" and found[11].s.embedded_at == 102 and found[11].s.confidence == 95
 
 
+def test_embedded_archives_anywhere(spark):
+    """Behind stubs of any length, at the borders of the pieces that are searched, among bytes of any value; the first place counts."""
+    kinds = {"zip": b"PK\x03\x04", "7z": b"7z\xbc\xaf\x27\x1c", "rar": b"Rar!\x1a\x07"}
+    places = [64, 65, 65_000, *range(65_530, 65_540), *range(65_594, 65_604), 131_135, 1_000_003]
+    stub = b"MZ" + bytes(range(255, 127, -1)) * 8000
+    cases = [(kind, at, stub[:at] + magic + stub[:100] + magic) for kind, magic in kinds.items() for at in places]
+    cases += [("zip", 200_000, stub[:100_000] + kinds["rar"] + stub[: 99_994] + kinds["zip"]), ("unknown", None, stub), ("unknown", None, b"MZ" + kinds["zip"] + bytes(100)), ("unknown", None, b"MZ"), ("unknown", None, b"mz" + stub + kinds["7z"])]
+    found = spark.createDataFrame([(n, c) for n, (_, _, c) in enumerate(cases)], "n int, c binary").select("n", signatures.sniff(F.col("c")).alias("s")).collect()
+    assert {r.n: (r.s.format, r.s.embedded_at) for r in found} == {n: (kind, at) for n, (kind, at, _) in enumerate(cases)}
+
+
 def test_segments_and_divergence(spark, rows):
     pieces = audit.segments(rows.where("k in (2, 5, 6)"), "k", size=4096)
     got = {r.k: r for r in audit.segment_summary(pieces, "k").collect()}
