@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalog.functions import parity
 from stratalog.operators import bench, codecs
@@ -141,6 +142,47 @@ def test_recovery_records(spark):
     assert {r.k: bytes(r.payload) for r in parity.repaired(hurt, records, "k").collect()} == {1: b"a" * 1000, 2: b""}
 
 
+def test_streams_that_levels_share():
+    """What is not made again is what the level would have made, also where bzip2's blocks end and LZMA's dictionaries differ."""
+    rng = random.Random(5)
+    runs = lambda n: b"".join(bytes([k % 251]) * 4 for k in range(n // 4 + 1))[:n]
+    words = lambda n: b" ".join(rng.choice([b"strata", b"log", b"row", b"file"]) for _ in range(n))[:n]
+    made = [rng.randbytes(1), words(5000), runs(5000), runs(79_950), runs(79_990), rng.randbytes(99_981), runs(160_000)]
+    shared = [(name, level) for name, level in codecs.CONFIGS if name in ("bzip2", "lzma")]
+    for payload in made:
+        levels = shared if len(payload) < 10_000 else shared[:9]
+        for order in (levels, levels[::-1]):
+            for name, level, [(size, *_, same)] in codecs.measured(order, [payload]):
+                there, back = codecs.codec(name, level)
+                by = codecs.maker(name, level, len(payload))
+                alike = codecs.codec(name, by)[0](payload)
+                assert there(payload) == (b"BZh%d" % level + alike[4:] if name == "bzip2" else alike)
+                assert same and size == len(alike) and by <= level
+    assert {codecs.maker("lzma", n, 5 << 20) for n in (6, 7, 8, 9)} == {6} and [codecs.maker("lzma", n, 40 << 20) for n in (5, 6, 7, 8, 9)] == [5, 6, 7, 8, 9]
+    # contexts that are used again make what new ones make
+    texts = [rng.randbytes(300), words(20_000), b"a", words(7000), runs(30_000)]
+    for name, level, found in codecs.measured([c for c in codecs.CONFIGS if c[0] == "zstd"], texts):
+        assert [size for size, *_ in found] == [len(codecs.codec(name, level)[0](t)) for t in texts] and all(r[-1] for r in found)
+
+
+def test_codec_matrix_deals_payloads_out(spark):
+    """Rows of one partition become several tasks, and Python gets each payload once."""
+    rows = spark.range(300).select("id", F.repeat(F.lit("text "), 1000).cast("binary").alias("payload")).coalesce(1)
+    found = codecs.matrix(rows, "id", [("lz4", 1), ("zstd", 1)])
+    parts = [len(p) for p in found.rdd.glom().collect() if p]
+    assert sum(parts) == 600 and len(parts) >= 8 and "Generate" not in found._jdf.queryExecution().toString()
+    assert {(r.id, r.codec, r.original, r.round_trip) for r in found.collect()} == {(k, c, 5000, True) for k in range(300) for c in ("lz4", "zstd")}
+
+
+def test_copies_count_in_the_codec_matrix(spark):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([b"some text " * 30] * 7 + [b"other", None, b""])], "k long, payload binary")
+    configs = [("lz4", 1), ("bzip2", 1), ("bzip2", 9), ("lzma", 9)]
+    once = codecs.matrix(codecs.copies(rows), "copies", configs)
+    assert once.count() == 8
+    numbers = lambda points: {(r.codec, r.level, r.original, r.compressed, r.ratio, r.round_trip) for r in points.collect()}
+    assert numbers(codecs.matrix_points(once, "copies")) == numbers(codecs.matrix_points(codecs.matrix(rows, "k", configs)))
+
+
 def test_codec_matrix(spark):
     rows = spark.createDataFrame([(1, b"some text " * 300), (2, b""), (3, None)], "k long, payload binary")
     points = codecs.matrix_points(codecs.matrix(rows, "k"))
