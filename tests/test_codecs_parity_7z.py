@@ -165,6 +165,35 @@ def test_streams_that_levels_share():
         assert [size for size, *_ in found] == [len(codecs.codec(name, level)[0](t)) for t in texts] and all(r[-1] for r in found)
 
 
+def test_different_streams_are_read_back_once(monkeypatch):
+    """LZMA's levels 6 to 9 make the same bytes of a short payload, bzip2's have different headers; what does not come back fails at each level that made it."""
+    plain, read = codecs.codec, []
+
+    def hurt(name, level):
+        there, back = plain(name, level)
+        return there, lambda b, n: (read.append((name, bytes(b))), back(b, n)[: 600 if name == "lzma" else None])[1]
+
+    monkeypatch.setattr(codecs, "codec", hurt)
+    payloads = [b"strata " * 80, b"a log of rows " * 50]
+    found = {(name, level): [r[-1] for r in rows] for name, level, rows in codecs.measured([c for c in codecs.CONFIGS if c[0] in ("bzip2", "lzma")], payloads)}
+    assert len(read) == 2 * 9 + 2 * 7 and sum(name == "bzip2" for name, _ in read) == 18 == len({r for r in read if r[0] == "bzip2"})
+    assert found == {(name, level): [True, name == "bzip2"] for name, level in codecs.CONFIGS if name in ("bzip2", "lzma")}
+
+
+def test_codec_matrix_sizes_its_tasks_before_copies_are_found(spark):
+    """The number of tasks comes from a scan; the payloads are grouped once, when they are measured."""
+    rows = spark.createDataFrame([(k, b"payload %d" % (k % 5)) for k in range(50)], "k long, payload binary")
+    spark.sparkContext.setJobGroup("sizes", "")
+    try:
+        found = codecs.matrix(codecs.copies(rows), "copies", [("lz4", 1)], sized=rows)
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("sizes") for s in tracker.getJobInfo(job).stageIds}
+    assert 0 < len(stages) <= 3
+    assert sorted((r.copies, r.original, r.round_trip) for r in found.collect()) == [(10, 9, True)] * 5
+
+
 def test_codec_matrix_deals_payloads_out(spark):
     """Rows of one partition become several tasks, and Python gets each payload once."""
     rows = spark.range(300).select("id", F.repeat(F.lit("text "), 1000).cast("binary").alias("payload")).coalesce(1)
